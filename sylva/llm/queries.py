@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, simhash
 
 QUERIES: dict = {
+    "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES: dict = {
