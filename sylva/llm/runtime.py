@@ -35,12 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def kept(key: str, make: Callable):
-    """``make()``, made once in each Python process and kept for later tasks."""
-    store = sys.__dict__.setdefault("_sylva_kept", {})
-    if key not in store:
-        store[key] = make()
-    return store[key]
+def latest(slot: str, key, make: Callable):
+    """``make()``, made once for ``key`` in each Python process; a slot holds one value."""
+    store = sys.__dict__.setdefault("_sylva_latest", {})
+    if slot not in store or store[slot][0] != key:
+        store.pop(slot, None)
+        store[slot] = (key, make())
+    return store[slot][1]
 
 
 def fresh(df: DataFrame, stem: str) -> str:
