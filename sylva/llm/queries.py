@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, simhash
+from . import decontaminate, exact_dedup, packing, simhash
 
 QUERIES: dict = {
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
