@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, simhash
+from . import decontaminate, exact_dedup, packing, secret_scan, simhash
 
 QUERIES: dict = {
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES: dict = {
+    "op5_secret_scan": secret_scan.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
