@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, secret_scan, simhash
+from . import decontaminate, exact_dedup, language_id, packing, secret_scan, simhash
 
 QUERIES: dict = {
+    "op8_language_id": language_id.op8_language_id,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
