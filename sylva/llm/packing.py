@@ -145,6 +145,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             seen[ordered[starts]] += n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(ordered), here, np.int32)), pa.array(place)], names=[*batch.schema.names, "part", "place"])
 
+    found = cut(found)  # the sort's sampling pass would encode the texts once more
     by_size = found.repartitionByRange(F.col("length").desc(), "doc_id", "piece", "ids_crc32").sortWithinPartitions(F.col("length").desc(), "doc_id", "piece", "ids_crc32")
     rows = cut(by_size.mapInArrow(ranked, f"{schema}, part int, place long"))
     counts = rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
