@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, sha256_text, width
+from .runtime import cut, sha256_text, staying, table, text_hash, width
 
 #: The characters that normalisation deletes.
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -45,7 +45,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         F.col(doc_id).alias("doc_id"),
         normalised(F.col(text)).alias("norm"),
         (-F.length(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("shorter"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
+        text_hash(F.col(text)).alias("text_hash"),
     )
     keyed = source.select(
         "*",
@@ -93,18 +93,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     Rows that share doc_id and text are one choice; the other columns of the one
     that stays are those of any of them.
     """
-    stay = exact_groups(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
-    left = docs.alias("d")
-    found = left.join(
-        stay.alias("s"),
-        F.col(f"d.{doc_id}").eqNullSafe(F.col("s.stay_id")) & (F.xxhash64(F.coalesce(F.col(f"d.{text}"), F.lit(""))) == F.col("s.stay_hash")),
-        "left_semi",
-    )
-    return found.dropDuplicates([doc_id, text]) if _repeats(docs, doc_id) else found
-
-
-def _repeats(docs: DataFrame, doc_id: str) -> bool:
-    return not docs.groupBy(doc_id).count().where("count > 1").isEmpty()
+    return staying(docs, exact_groups(docs, text, doc_id).where("kept"), text, doc_id)
 
 
 ORACLE = """
@@ -123,7 +112,5 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from .runtime import table
-
     groups = exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -40,6 +40,7 @@ CHAIN = 64
 BUCKETS = 1 << 16
 ROUNDS = 40
 UNKNOWN = "und"
+LEAST_SCORE = 0.3
 SLICE_BYTES = 2 << 20
 
 #: What a byte of lowered UTF-8 counts as: letters stay, the rest separates words.
@@ -255,6 +256,18 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     return kept.mapInArrow(label, f"{schema}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of at least ``LEAST_SCORE``, unchanged."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _judged(shared.value, batch.column(at))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= LEAST_SCORE for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def label_words(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, runs): runs of words with one language, as (start, end, lang) in word numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

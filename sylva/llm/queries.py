@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, exact_dedup, language_id, packing, secret_scan, simhash
 
 QUERIES: dict = {
+    "pipeline": corpus_pipeline.run,
     "op8_language_id": language_id.op8_language_id,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
@@ -16,3 +19,5 @@ ORACLES: dict = {
     "op5_secret_scan": secret_scan.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -6,21 +6,23 @@ import sys
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the session's checkpoint folder.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; a temporary one
-    is set only where the session has none, as in tests.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: what ``spark.checkpoint.dir`` names, which all
+    executors share. A temporary one is set only where there is none, as in tests.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sylva-checkpoint-")
-        )
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sylva-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and stored in the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -44,14 +46,20 @@ def latest(slot: str, key, make: Callable):
     return store[slot][1]
 
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken, name = {c.lower() for c in df.columns}, stem
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def sha256_text(column) -> object:
+def sha256_text(column: Column) -> Column:
     """Lowercase hex SHA-256 of a string column's UTF-8 bytes."""
     return F.sha2(column.cast("binary"), 256)
+
+
+def text_hash(text: Column) -> Column:
+    """A 64-bit hash that tells rows apart which share a doc_id; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def staying(docs: DataFrame, stay: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, text_hash) is in ``stay``, with all columns, one for each pair."""
+    chosen = stay.select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).alias("s")
+    rows = docs.alias("d")
+    found = rows.join(chosen, F.col(f"d.{doc_id}").eqNullSafe(F.col("s.stay_id")) & (text_hash(F.col(f"d.{text}")) == F.col("s.stay_hash")), "left_semi")
+    repeats = not docs.groupBy(doc_id).count().where("count > 1").isEmpty()
+    return found.dropDuplicates([doc_id, text]) if repeats else found

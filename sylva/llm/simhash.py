@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import cut, table
+from .runtime import cut, staying, table, text_hash
 
 SHINGLE = 3
 SEED = 42
@@ -78,14 +78,15 @@ def fingerprint(text: bytes | None) -> bytes:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = b"".join(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column(1).cast(pa.binary()))
+        marks = b"".join(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column(2).cast(pa.binary()))
         values = np.frombuffer(marks, ">u8").astype(np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_hash, fp) of every row; fp is the fingerprint as a signed long."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -240,21 +241,20 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest doc_id of the component)."""
+    """One row per document: doc_id, text_hash, fp, component_id (smallest doc_id of the component), kept."""
     marked = cut(fingerprints(docs, text, doc_id))
-    firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    firsts = cut(marked.groupBy("fp").agg(F.min(row).alias("first")))
     roots = connected_components(links(firsts.select("fp")))
     known = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = known.join(lowest, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    lowest = known.groupBy("root").agg(F.min("first").alias("lowest"))
+    by_fp = known.join(lowest, "root").select("fp", "lowest")
+    return marked.join(by_fp, "fp").select("doc_id", "text_hash", "fp", F.col("lowest.doc_id").alias("component_id"), (row == F.col("lowest")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id, with all columns."""
-    stay = near_groups(docs, text, doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    left = docs.alias("d")
-    return left.join(stay.alias("s"), F.col(f"d.{doc_id}") == F.col("s.stay_id"), "left_semi")
+    """The rows of ``docs`` that stay, with all columns: of each group one with the smallest doc_id."""
+    return staying(docs, near_groups(docs, text, doc_id).where("kept"), text, doc_id)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
