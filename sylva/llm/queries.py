@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, language_id, packing, secret_scan, simhash
+from . import decontaminate, exact_dedup, language_id, packing, secret_scan, simhash, substring_dedup
 
 QUERIES: dict = {
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "pipeline": corpus_pipeline.run,
     "op8_language_id": language_id.op8_language_id,
     "op5_secret_scan": secret_scan.op5_secret_scan,
@@ -16,6 +17,7 @@ QUERIES: dict = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES: dict = {
+    "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_secret_scan": secret_scan.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
