@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, language_id, packing, secret_scan, simhash, substring_dedup
+from . import decontaminate, exact_dedup, language_id, packing, secret_scan, simhash, substring_dedup, suffix_index
 
 QUERIES: dict = {
+    "op6_suffix_array_dedup": suffix_index.op6_suffix_array_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "pipeline": corpus_pipeline.run,
     "op8_language_id": language_id.op8_language_id,

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .runtime import cut, text_hash
+from .runtime import cut, split_join, text_hash
 
 FILTER_BITS = 1 << 27
 SLICE_BYTES = 2 << 20
@@ -92,7 +92,7 @@ def classes(rows: DataFrame, unit: type, size: int, gram: int) -> tuple[DataFram
     own = F.struct("did", "th", "place")
     known = cut(found.groupBy("anchor", "block").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).select("anchor", "block", "first.*", "n"))
     several = cut(known.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
-    firsts = known.join(several, "anchor").select("anchor", "did", "th", "place", "classes")
+    firsts = split_join(known, several, ["anchor"]).select("anchor", "did", "th", "place", "classes")
     shared = known.where("n > 1").select("anchor", "block", F.col("did").alias("first"), F.col("th").alias("first_th"), F.col("place").alias("first_place"))
-    members = found.join(shared, ["anchor", "block"]).where("did <> first or th <> first_th or place <> first_place")
+    members = split_join(found, shared, ["anchor", "block"]).where("did <> first or th <> first_th or place <> first_place")
     return members.select("anchor", "did", "th", "place", "first"), firsts, several

@@ -63,3 +63,14 @@ def staying(docs: DataFrame, stay: DataFrame, text: str = "text", doc_id: str =
     found = rows.join(chosen, F.col(f"d.{doc_id}").eqNullSafe(F.col("s.stay_id")) & (text_hash(F.col(f"d.{text}")) == F.col("s.stay_hash")), "left_semi")
     repeats = not docs.groupBy(doc_id).count().where("count > 1").isEmpty()
     return found.dropDuplicates([doc_id, text]) if repeats else found
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner equi-join whose hot keys Spark may split.
+
+    Adaptive execution splits a partition of a join only if both sides come
+    straight from a shuffle that the join asked for. A key more, the hash of the
+    others, makes it ask for one on a side that is already partitioned by ``on``.
+    """
+    key = F.xxhash64(*on)
+    return left.withColumn("_key", key).join(right.withColumn("_key", key), ["_key", *on]).drop("_key")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .anchors import Words
 from .repeats import LAST_ID, PLACE, classes, numbered, sliced, texts_of
-from .runtime import table
+from .runtime import split_join, table
 
 SIZE = 50
 GRAM = 14
@@ -72,7 +72,7 @@ def repeated_windows(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> Dat
     partly = firsts.select("anchor", "did", "th", "place").union(members.where("did = first").select("anchor", "did", "th", "place"))
     windows = window_hashes(rows, partly, size)
     lowest = windows.groupBy("anchor", "window").agg(F.min("did").alias("low"), F.max("did").alias("high")).where("low < high").select("anchor", "window", "low")
-    single = windows.join(lowest, ["anchor", "window"]).where("did > low").select("did", "th", (F.col("at") * PLACE + 1).alias("place"))
+    single = split_join(windows, lowest, ["anchor", "window"]).where("did > low").select("did", "th", (F.col("at") * PLACE + 1).alias("place"))
     return whole.union(single)
 
 
