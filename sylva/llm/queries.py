@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, language_id, packing, secret_scan, simhash, substring_dedup, suffix_index
+from . import decontaminate, exact_dedup, language_id, line_dedup, packing, secret_scan, simhash, substring_dedup, suffix_index, token_counts
 
 QUERIES: dict = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op6_suffix_array_dedup": suffix_index.op6_suffix_array_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "pipeline": corpus_pipeline.run,

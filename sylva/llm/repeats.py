@@ -60,7 +60,7 @@ def find_anchors(rows: DataFrame, unit: type, size: int, gram: int, passing: np.
                 found = anchors.winnow(unit(texts[a:b]), size, gram)
                 anchor, ok = found["anchor"], slice(None)
                 if shared is not None:
-                    ok = np.flatnonzero(shared.value[(anchor >> np.uint64(43)).astype(np.int64)] >> (anchor >> np.uint64(37) & np.uint64(63)) & np.uint64(1))
+                    ok = in_bitmap(shared.value, anchor)
                 text = found["text"][ok] + a
                 place = (found["start"] * PLACE + found["windows"])[ok]
                 columns = [anchor[ok].view(np.int64), found["block"][ok].view(np.int64), did[text], th[text], place]
@@ -69,17 +69,21 @@ def find_anchors(rows: DataFrame, unit: type, size: int, gram: int, passing: np.
     return rows.mapInArrow(find, "anchor long, block long, did long, th long, place long")
 
 
-def repeated_filter(found: DataFrame) -> np.ndarray:
-    """The bitmap of anchors that occur twice or more: bit by the anchor's 27 highest bits."""
-    often = found.groupBy("anchor").count().where("count > 1")
-    word = F.shiftrightunsigned("anchor", 43)
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(anchor, 37) & 63 as int))")
-    words = often.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value of a long column, by its 27 highest bits, as 64-bit words."""
+    word = F.shiftrightunsigned(column, 43)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 37) & 63 as int))")
+    words = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    word = bits[(keys >> np.uint64(43)).astype(np.int64)]
+    return word >> (keys >> np.uint64(37) & np.uint64(63)) & np.uint64(1) == 1
+
+
 def classes(rows: DataFrame, unit: type, size: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables of anchors of ``numbered`` rows.
 
@@ -87,7 +91,7 @@ def classes(rows: DataFrame, unit: type, size: int, gram: int) -> tuple[DataFram
     ``first`` being that one's did; firsts: (anchor, did, th, place) of the first members of
     anchors with several classes; several: (anchor, classes) of those anchors.
     """
-    passing = repeated_filter(find_anchors(rows, unit, size, gram))
+    passing = bitmap(find_anchors(rows, unit, size, gram).groupBy("anchor").count().where("count > 1"), "anchor")
     found = find_anchors(rows, unit, size, gram, passing)
     own = F.struct("did", "th", "place")
     known = cut(found.groupBy("anchor", "block").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).select("anchor", "block", "first.*", "n"))
