@@ -33,6 +33,7 @@ from .runtime import cut, shared_folder, table
 from .tokens import rank_encoder
 
 TOKENIZERS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+ROWS_A_FILE = 100_000
 GROUP = ("source", "lang", "tokenizer")
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
@@ -121,9 +122,15 @@ class TotalsStore:
         if self._checked(batch) in self.committed():
             return False
         staged = f"{self.folder}/_staged-{uuid.uuid4().hex}"
-        rolled_up(deltas).write.parquet(staged)
+        self._write(rolled_up(deltas), staged)
         return self._publish(staged, f"batch={batch}")
 
+    @staticmethod
+    def _write(sums: DataFrame, path: str) -> None:
+        """In as many files as the rows need, not as many as there were shuffle partitions."""
+        sums = cut(sums)
+        sums.coalesce(-(-sums.count() // ROWS_A_FILE) or 1).write.parquet(path)
+
     def totals(self) -> DataFrame:
         """Current totals: source, lang, tokenizer, n_docs, n_tokens."""
         compacted = self._covered()
@@ -138,7 +145,7 @@ class TotalsStore:
         """Fold all committed batches into one; their own folders go."""
         ids = sorted(self.committed())
         staged = f"{self.folder}/_staged-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{staged}/sums")
+        self._write(self.totals(), f"{staged}/sums")
         self.spark.createDataFrame([(b,) for b in ids], "value string").coalesce(1).write.text(f"{staged}/ids")
         if self._publish(staged, f"compact={uuid.uuid4().hex}"):
             for b in self._names("batch="):
