@@ -14,8 +14,10 @@ Only lines that can have a partner emit variants. Of two lines within one edit t
 first half or the second is the same in both, so each line first emits the hashes of its halves; halves
 that two different lines share go into a bitmap of bounded size, which lines look up.
 
-Scale. Four 16-byte rows for each line are shuffled first, then variants of few
-lines, then the texts, once, for the join with their own removed lines. Groups
+A second bitmap, of variants that occur twice, leaves only those that meet.
+
+Scale. Lines are stored as a row of hashes each; four 16-byte rows for each are shuffled
+first, then the variants of few lines, then the texts, once, for the join with their own removed lines. Groups
 are reduced to their earliest line with partial aggregation, and joins on hot
 keys may be split.
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from .anchors import Words
 from .repeats import LAST_ID, bitmap, in_bitmap, numbered, sliced, texts_of
 from .rolling import INVERSE, mixed
-from .runtime import split_join, table
+from .runtime import cut, split_join, stored, table
 
 LEAST_WORDS = 5
 
@@ -92,43 +94,58 @@ def _scan(rows: DataFrame, schema: str, make) -> DataFrame:
             texts = texts_of(batch.column(2))
             did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b in sliced(texts):
-                for columns in make(Lines(texts[a:b]), did[a:b], th[a:b]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=names)
+                columns = make(Lines(texts[a:b]), did[a:b], th[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=names)
 
     return rows.mapInArrow(scan, schema)
 
 
-def _half_keys(rows: DataFrame) -> DataFrame:
+def _keys(rows: DataFrame) -> DataFrame:
+    """(hash, k0..k3, did, th, line): each line with its halves' hashes, 0 for a line that is too short."""
+
     def make(lines, did, th):
-        lines.take(lines.end - lines.start >= LEAST_WORDS)
-        return [(key, lines.hash) for key in lines.halves()]
+        long = (lines.end - lines.start >= LEAST_WORDS).astype(np.uint64)
+        return [lines.hash, *(key * long for key in lines.halves()), did[lines.text], th[lines.text], lines.line]
 
-    return _scan(rows, "key long, hash long", make)
+    return _scan(rows, "hash long, k0 long, k1 long, k2 long, k3 long, did long, th long, line long", make)
 
 
-def _equal(rows: DataFrame) -> DataFrame:
-    """(did, th, line) of lines that equal an earlier one."""
-    lines = _scan(rows, "hash long, did long, th long, line long", lambda x, did, th: [(x.hash, did[x.text], th[x.text], x.line)])
-    own = F.struct("did", "th", "line")
-    earliest = lines.groupBy("hash").agg(F.min(own).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return split_join(lines, earliest, ["hash"]).where(own > F.col("low")).select("did", "th", "line")
+def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows (keys, did, th, line) that agree in ``keys`` all but the earliest.
+
+    The smallest did comes first from a hash aggregation; only rows of that very document are compared further.
+    """
+    low = rows.groupBy(*keys).agg(F.min("did").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, "low")
+    shared = split_join(rows, low, keys)
+    own = F.struct("th", "line")
+    first = shared.where("did = low").groupBy(*keys).agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, "first")
+    within = split_join(shared.where("did = low"), first, keys).where(own > F.col("first"))
+    return shared.where("did > low").select("did", "th", "line").union(within.select("did", "th", "line"))
 
 
-def _near(rows: DataFrame) -> DataFrame:
+def _near(rows: DataFrame, keyed: DataFrame) -> DataFrame:
     """(did, th, line) of lines within one edit of an earlier one."""
-    shared = _half_keys(rows).groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high")
-    passing = rows.sparkSession.sparkContext.broadcast(bitmap(shared, "key"))
+    halves = keyed.where("k0 <> 0").select("hash", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
+    shared = halves.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high")
+    partners = rows.sparkSession.sparkContext.broadcast(bitmap(shared, "key"))
 
-    def make(lines, did, th):
+    def candidates(lines):
         lines.take(lines.end - lines.start >= LEAST_WORDS)
-        lines.take(np.logical_or.reduce([in_bitmap(passing.value, key) for key in lines.halves()]))
-        line, at, hashes = lines.variants()
-        yield hashes, at, did[lines.text[line]], th[lines.text[line]], lines.line[line]
+        lines.take(np.logical_or.reduce([in_bitmap(partners.value, key) for key in lines.halves()]))
+        return lines.variants()
+
+    met = _scan(rows, "variant long", lambda lines, did, th: [candidates(lines)[2]]).groupBy("variant").count().where("count > 1")
+    meeting = rows.sparkSession.sparkContext.broadcast(bitmap(met, "variant"))
+
+    def make(lines, did, th):
+        line, at, hashes = candidates(lines)
+        ok = in_bitmap(meeting.value, hashes)
+        line = line[ok]
+        return hashes[ok], at[ok], did[lines.text[line]], th[lines.text[line]], lines.line[line]
 
-    variants = _scan(rows, "variant long, lacks long, did long, th long, line long", make)
+    variants = cut(_scan(rows, "variant long, lacks long, did long, th long, line long", make))
+    found = _later(variants.where("lacks >= 0"), ["variant", "lacks"])
     own = F.struct("did", "th", "line")
-    replaced = variants.where("lacks >= 0").groupBy("variant", "lacks").agg(F.min(own).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = split_join(variants, replaced, ["variant", "lacks"]).where(own > F.col("low")).select("did", "th", "line")
     inserted = variants.groupBy("variant").agg(F.min(F.when(F.col("lacks") < 0, own)).alias("short"), F.min(F.when(F.col("lacks") >= 0, own)).alias("long")).where("short is not null and long is not null")
     other = F.when(F.col("lacks") < 0, F.col("long")).otherwise(F.col("short"))
     return found.union(split_join(variants, inserted, ["variant"]).where(own > other).select("did", "th", "line"))
@@ -140,7 +157,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", text
     A kept text is the lines that stay, unchanged, joined by line feeds.
     """
     rows = numbered(docs, text, doc_id)
-    gone = _equal(rows).union(_near(rows)).groupBy("did", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    keyed = stored(_keys(rows))
+    gone = _later(keyed.select("hash", "did", "th", "line"), ["hash"]).union(_near(rows, keyed)).groupBy("did", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     joined = rows.join(gone, ["did", "th"], "left").select("did", "text", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
     names = ["did", "n_lines", "n_removed", "removed", "kept_sha256", *(["kept"] if texts else [])]
 
