@@ -1,6 +1,6 @@
-"""Registered graph queries and their DuckDB equivalents."""
+"""All registered graph queries and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import downstream_queries, score_queries, search_queries, tree_queries  # noqa: F401
+from .register import ORACLES, QUERIES  # noqa: F401
