@@ -14,7 +14,7 @@ Only lines that can have a partner emit variants. Of two lines within one edit t
 first half or the second is the same in both, so each line first emits the hashes of its halves; halves
 that two different lines share go into a bitmap of bounded size, which lines look up.
 
-A second bitmap, of variants that occur twice, leaves only those that meet.
+A second bitmap, of variants that two different lines have, leaves only those that meet.
 
 Scale. Lines are stored as a row of hashes each; four 16-byte rows for each are shuffled
 first, then the variants of few lines, then the texts, once, for the join with their own removed lines. Groups
@@ -134,7 +134,12 @@ def _near(rows: DataFrame, keyed: DataFrame) -> DataFrame:
         lines.take(np.logical_or.reduce([in_bitmap(partners.value, key) for key in lines.halves()]))
         return lines.variants()
 
-    met = _scan(rows, "variant long", lambda lines, did, th: [candidates(lines)[2]]).groupBy("variant").count().where("count > 1")
+    def emitted(lines, did, th):
+        line, _, hashes = candidates(lines)
+        return hashes, lines.hash[line]
+
+    # Repeats of one line meet in all variants and don't count; the earliest of equal lines stands for them.
+    met = _scan(rows, "variant long, hash long", emitted).groupBy("variant").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high")
     meeting = rows.sparkSession.sparkContext.broadcast(bitmap(met, "variant"))
 
     def make(lines, did, th):
