@@ -165,14 +165,17 @@ def relocate_deltas(edges: DataFrame, tree: DataFrame, anc: DataFrame, noted: Da
     rest = w.join(tree.select(GID, F.col("node").alias("a"), F.col("parent").alias("pa")), [GID, "a"]).join(tree.select(GID, F.col("node").alias("b"), F.col("parent").alias("pb")), [GID, "b"])
     rest = rest.where("pa = pb").groupBy(GID, F.col("a").alias("x")).agg(F.sum("w").alias("wp"))
     total = noted.where("parent is null").select(GID, F.col("v").alias("vol"))
-    own = x.join(p, [GID, "p"]).join(rest, [GID, "x"], "left").join(total, GID).withColumn("wp", F.coalesce("wp", F.lit(0.0)))
+    # A leaf's cut has its self-loop, the weight that leaves it, bx, doesn't.
+    own_loop = edges.where("src = dst").select(GID, F.concat(F.lit("v"), F.col("src").cast("string")).alias("x"), F.col("w").alias("loop"))
+    own = x.join(p, [GID, "p"]).join(rest, [GID, "x"], "left").join(own_loop, [GID, "x"], "left").join(total, GID)
+    own = own.withColumn("wp", F.coalesce("wp", F.lit(0.0))).withColumn("bx", F.col("gx") - 2 * F.coalesce("loop", F.lit(0.0)))
     to_q = w.select(GID, F.col("a").alias("x"), F.col("b").alias("q"), F.col("w").alias("wq"))
 
     c = F.col
     lower = lambda v: F.when(v > 1e-12, F.log2(v)).otherwise(F.lit(0.0))
-    gp2 = c("gp") - c("gx") + 2 * c("wp")
+    gp2 = c("gp") - c("bx") + 2 * c("wp")
     left = (gp2 - c("sp") + c("gx")) * lower(c("vp") - c("vx")) - (c("gp") - c("sp")) * lower(c("vp"))
-    gq2 = c("gq") + c("gx") - 2 * c("wq")
+    gq2 = c("gq") + c("bx") - 2 * c("wq")
     taken = (gq2 - c("sq") - c("gx")) * lower(c("vq") + c("vx")) - (c("gq") - c("sq")) * lower(c("vq"))
 
     near = own.join(q.withColumnRenamed("qp", "p"), [GID, "p"]).where("q <> x").join(to_q, [GID, "x", "q"], "left").withColumn("wq", F.coalesce("wq", F.lit(0.0)))
