@@ -187,3 +187,22 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", text
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), texts=False)
     return done.select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+o AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS t FROM d),
+l AS (SELECT doc_id, line, w, array_to_string(w, ' ') AS k FROM (SELECT doc_id, line, [x for x in regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+') if x <> ''] AS w FROM o) WHERE len(w) > 0),
+f AS (SELECT k, any_value(w) AS w, min((doc_id, line)) AS first FROM l GROUP BY k),
+v AS (SELECT k, first, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS v FROM (SELECT k, first, w, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 5)),
+near AS (
+  SELECT k FROM (SELECT k, first, min(first) OVER (PARTITION BY v, i) AS low FROM v) WHERE first > low
+  UNION SELECT f.k FROM f JOIN v ON v.v = f.k WHERE len(f.w) >= 5 AND v.first < f.first
+  UNION SELECT v.k FROM f JOIN v ON v.v = f.k WHERE len(f.w) >= 5 AND f.first < v.first),
+gone AS (SELECT doc_id, line FROM l JOIN f USING (k) WHERE (doc_id, line) > first OR k IN (SELECT k FROM near)),
+n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS g FROM gone GROUP BY doc_id),
+kept AS (SELECT o.doc_id, string_agg(t, chr(10) ORDER BY o.line) AS kept FROM o LEFT JOIN gone ON gone.doc_id = o.doc_id AND gone.line = o.line WHERE gone.line IS NULL GROUP BY o.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_lines, coalesce(g, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

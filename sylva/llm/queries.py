@@ -20,6 +20,9 @@ QUERIES: dict = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES: dict = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op2_benchmark_decontamination": decontaminate.ORACLE,
+    "op6_suffix_array_dedup": suffix_index.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_secret_scan": secret_scan.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
