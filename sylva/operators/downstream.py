@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
 from .graph import GID, canonical, contracted, labelled
+from .ranking import running
 
 # --- rewiring ---
 
@@ -19,9 +20,9 @@ def dropped_edges(edges: DataFrame, labels: DataFrame, sim: DataFrame, fraction:
     """
     cross = labelled(edges, labels).where("cu <> cv").select(GID, "src", "dst").join(sim, [GID, "src", "dst"])
     values = cross.groupBy(GID, "sim").agg(F.count(F.lit(1)).alias("n"))
-    running = values.withColumn("upto", F.sum("n").over(Window.partitionBy(GID).orderBy("sim")))
+    upto = running(values, [GID], "sim", ["n"]).withColumn("upto", F.col("before_n") + F.col("n"))
     total = values.groupBy(GID).agg(F.floor(F.sum("n") * fraction).alias("most"))
-    cutoff = running.join(total, GID).withColumn("room", F.col("most") - F.col("upto") + F.col("n")).where("room > 0").select(GID, "sim", "n", "room")
+    cutoff = upto.join(total, GID).withColumn("room", F.col("most") - F.col("upto") + F.col("n")).where("room > 0").select(GID, "sim", "n", "room")
     rows = cross.join(cutoff, [GID, "sim"])
     place = F.row_number().over(Window.partitionBy(GID, "sim").orderBy("src", "dst"))
     some = rows.where("n > room").withColumn("place", place).where("place <= room").drop("place")
@@ -116,7 +117,7 @@ def token_similarity(answers: DataFrame) -> DataFrame:
     """
     words = answers.select("qid", "i", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))).alias("w"))
     sizes = words.groupBy("qid", "i").agg(F.count(F.lit(1)).alias("n"))
-    a, b = words.withColumnRenamed("i", "i"), words.select("qid", F.col("i").alias("j"), "w")
+    a, b = words, words.select("qid", F.col("i").alias("j"), "w")
     shared = a.join(b, ["qid", "w"]).where("i < j").groupBy("qid", "i", "j").agg(F.count(F.lit(1)).alias("s"))
     rows = shared.join(sizes, ["qid", "i"]).join(sizes.select("qid", F.col("i").alias("j"), F.col("n").alias("m")), ["qid", "j"])
     return rows.select("qid", "i", "j", (F.col("s") / (F.col("n") + F.col("m") - F.col("s"))).alias("p"))

@@ -99,16 +99,7 @@ def dense_labels(labels: DataFrame) -> DataFrame:
 
 
 def dense_ids(vertices: DataFrame) -> DataFrame:
-    """(graph_id, id, n): vertices numbered from 0 in order of id.
+    """(graph_id, id, n): vertices numbered from 0 in order of id."""
+    from .ranking import numbered
 
-    Numbers come from a range sort: the place within a partition and the sizes
-    of those before it, so that no task holds all vertices of a graph.
-    """
-    from pyspark.sql import Window
-
-    ordered = vertices.select(GID, "id").distinct().repartitionByRange(GID, "id").sortWithinPartitions(GID, "id")
-    placed = ordered.select(GID, "id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    sizes = placed.groupBy(GID, "part").agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("first"))
-    before = Window.partitionBy(GID).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(GID, "part", "first", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    return placed.join(offsets, [GID, "part"]).select(GID, "id", (F.col("offset") + F.col("at") - F.col("first")).alias("n"))
+    return numbered(vertices.select(GID, "id").distinct(), [GID], [F.col("id")])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, xlog
+from .checkpoints import cut
 from .graph import GID, degrees, volume
 
 
@@ -43,7 +44,7 @@ def ppr(edges: DataFrame, query: DataFrame, alpha: float = 0.15, iters: int = 20
     for i in range(1, iters + 1):
         pi = ppr_step(pi, trans, query, alpha)
         if tol > 0 and i % every == 0:
-            pi = pi.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else pi
+            pi = cut(pi)
             both = pi.join(before.withColumnRenamed("p", "old"), [GID, "id"], "full")
             change = both.groupBy(GID).agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("x")).agg(F.max("x")).first()[0]
             if change is not None and change < tol:

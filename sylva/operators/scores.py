@@ -6,7 +6,7 @@ vertices; ``communities`` may be computed once and handed to several scores.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import plogp, ratio, xlog
@@ -155,12 +155,14 @@ def block_f1(labels: DataFrame, block: DataFrame, query: DataFrame) -> DataFrame
 def auroc(scored: DataFrame, score: str = "score", positive: str = "positive", by: str | None = None) -> DataFrame:
     """Area under the ROC curve by the rank sum, ties at their mean rank.
 
-    Rows are first summed up by score value, so ranks are running sums over values.
+    Rows are first summed up by score value; ranks are running sums over values.
     """
-    keys = [by] if by else []
-    values = scored.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(positive).cast("long")).alias("pos"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.select(*keys, "n", "pos", (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2.0).alias("rank"))
+    from .ranking import running
+
+    keys = [by] if by else ["_all"]
+    rows = scored if by else scored.withColumn("_all", F.lit(0))
+    values = rows.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(positive).cast("long")).alias("pos"))
+    ranked = running(values, keys, score, ["n"]).select(*keys, "n", "pos", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("rank"))
     sums = ranked.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum(F.col("pos") * F.col("rank")).alias("r"))
     p, q = F.col("p"), F.col("q")
-    return sums.select(*keys, F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2.0) / (p * q)).alias("auroc"))
+    return sums.select(*([by] if by else []), F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2.0) / (p * q)).alias("auroc"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import moves
+from .checkpoints import cut
 from .graph import GID, canonical, contracted, first_seen
 from .kernels import partition as P
 from .kernels import trees as K
@@ -24,20 +25,6 @@ from .scores import two_dimensional
 KERNEL_EDGES = 2_000_000
 
 
-def _shared_folder(df: DataFrame) -> None:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sylva-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the session's checkpoint folder."""
-    _shared_folder(df)
-    return df.checkpoint()
-
-
 def renewed(df: DataFrame) -> DataFrame:
     """``df`` with columns of its own, so that it can be grouped beside one it comes from."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])

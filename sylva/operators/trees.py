@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, xlog
+from .checkpoints import cut
 from .graph import GID, canonical, degrees, volume
 
 MOST_DEPTH = 64
@@ -156,12 +157,12 @@ def relocate_deltas(edges: DataFrame, tree: DataFrame, anc: DataFrame, noted: Da
     H^T = -sum_a k_a log2 v_a / vol with k_a = g_a - (cuts of a's children), so a move changes
     the terms of the old parent, the new parent and the node above both, and no others.
     """
+    noted, w = cut(noted), cut(between(edges, anc))
     kids = _children_cut(noted)
     inner = noted.where("vertex is null").join(kids, [GID, "node"], "left").select(GID, "node", "parent", "v", "g", F.coalesce("s", F.lit(0.0)).alias("s"))
     x = noted.where("parent is not null").select(GID, F.col("node").alias("x"), F.col("parent").alias("p"), F.col("v").alias("vx"), F.col("g").alias("gx"))
     p = inner.select(GID, F.col("node").alias("p"), F.col("parent").alias("pp"), F.col("v").alias("vp"), F.col("g").alias("gp"), F.col("s").alias("sp"))
     q = inner.where("parent is not null").select(GID, F.col("node").alias("q"), F.col("parent").alias("qp"), F.col("v").alias("vq"), F.col("g").alias("gq"), F.col("s").alias("sq"))
-    w = between(edges, anc)
     rest = w.join(tree.select(GID, F.col("node").alias("a"), F.col("parent").alias("pa")), [GID, "a"]).join(tree.select(GID, F.col("node").alias("b"), F.col("parent").alias("pb")), [GID, "b"])
     rest = rest.where("pa = pb").groupBy(GID, F.col("a").alias("x")).agg(F.sum("w").alias("wp"))
     total = noted.where("parent is null").select(GID, F.col("v").alias("vol"))

@@ -152,13 +152,11 @@ def clusters(name: str, edges: DataFrame, vertices: DataFrame | None = None, see
 
 def shuffled(labels: DataFrame, seed: int = 0) -> DataFrame:
     """The same community sizes dealt out at random: labels in id order meet ids in the order of a seeded hash."""
-    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     from ..operators.graph import GID
+    from ..operators.ranking import numbered
 
-    by_id = Window.partitionBy(GID).orderBy("id")
-    by_hash = Window.partitionBy(GID).orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    given = labels.select(GID, "c", F.row_number().over(by_id).alias("n"))
-    taken = labels.select(GID, "id", F.row_number().over(by_hash).alias("n"))
+    given = numbered(labels.select(GID, "id", "c"), [GID], [F.col("id")]).select(GID, "c", "n")
+    taken = numbered(labels.select(GID, "id", F.xxhash64(F.lit(seed), "id").alias("h")), [GID], [F.col("h"), F.col("id")]).select(GID, "id", "n")
     return taken.join(given, [GID, "n"]).select(GID, "id", "c")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators import graph, pi, scores, soft
+from ..operators.checkpoints import cut
 from ..operators.graph import GID
 from ..sources import tables as T
 from .register import COMM, CS, CS_ALL, DEG, EV, H1, NATIONS, query, r6, term_sql
@@ -18,7 +19,7 @@ MAP_SQL = f"""(SELECT {PLOGP.format('any_value(q)')} - 2 * sum({PLOGP.format('g
 
 
 def _cs(spark, sf_dir):
-    return T.customer_supplier(spark, sf_dir), T.nation_labels(spark, sf_dir)
+    return cut(T.customer_supplier(spark, sf_dir)), T.nation_labels(spark, sf_dir)
 
 
 @query("degree", f"WITH {CS}, {DEG} SELECT id, d FROM deg")
@@ -48,7 +49,7 @@ e1 AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM e GROUP BY 1, 2), lab
 
 @query("h2_copurchase", f"WITH {COP}, {DEG}, {COMM}, s AS (SELECT {H1} AS h1, {H2_SQL} AS h2) SELECT {r6('h1')} AS h1, {r6('h2')} AS h2 FROM s")
 def h2_copurchase(spark, sf_dir):
-    found = scores.two_dimensional(T.copurchase(spark, sf_dir), T.size_labels(spark, sf_dir))
+    found = scores.two_dimensional(cut(T.copurchase(spark, sf_dir)), T.size_labels(spark, sf_dir))
     return found.select(rounded(F.col("h1")).alias("h1"), rounded(F.col("h2")).alias("h2"))
 
 
@@ -212,7 +213,7 @@ def _query_vertex(edges):
 
 @query("ppr_iter10", f"WITH {CS}, {TRANS}, {_unrolled(10, 0.15)} SELECT id, round(p, 9) + 0.0 AS p FROM p10")
 def ppr_iter10(spark, sf_dir):
-    edges = T.customer_supplier(spark, sf_dir)
+    edges = cut(T.customer_supplier(spark, sf_dir))
     return pi.ppr(edges, _query_vertex(edges), iters=10, tol=0.0).select("id", F.round("p", 9).alias("p"))
 
 

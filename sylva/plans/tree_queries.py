@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators import graph, moves, scores, trees
+from ..operators.checkpoints import cut
 from ..operators.graph import GID
 from ..sources import generators as S
 from ..sources import tables as T
@@ -26,7 +27,7 @@ HT = "(SELECT sum(CASE WHEN x.g > 0 AND x.v > 0 AND p.v > 0 THEN -x.g / (SELECT
 
 def _tree(spark, sf_dir):
     tree = T.geography_tree(spark, sf_dir)
-    return T.customer_supplier(spark, sf_dir), tree, trees.closure(tree)
+    return cut(T.customer_supplier(spark, sf_dir)), tree, cut(trees.closure(tree))
 
 
 @query("tree_annotate", f"{WITH_TREE} SELECT node, parent, CAST(depth AS BIGINT) AS depth, v, inside, g FROM a")
@@ -139,13 +140,13 @@ NEAR = "SELECT own.*, wto.b, wto.w AS wb, x.v AS vb, x.g AS gb FROM own JOIN wto
 
 @query("best_move", _best_sql(CS_ALL, f"{NEAR} UNION ALL SELECT own.*, -1, 0.0, 0.0, 0.0 FROM own WHERE na > 1", "AND delta < -1e-12"))
 def best_move(spark, sf_dir):
-    found = moves.best_moves(T.customer_supplier(spark, sf_dir), T.nation_labels(spark, sf_dir))
+    found = moves.best_moves(cut(T.customer_supplier(spark, sf_dir)), T.nation_labels(spark, sf_dir))
     return found.select("id", "a", "b", rounded(F.col("delta")).alias("delta"))
 
 
 @query("fixed_k_candidates", _best_sql(CS_ALL, "SELECT own.*, x.c AS b, coalesce(wto.w, 0.0) AS wb, x.v AS vb, x.g AS gb FROM own JOIN comm x ON x.c <> own.a LEFT JOIN wto ON wto.id = own.id AND wto.b = x.c WHERE na > 1", ""))
 def fixed_k_candidates(spark, sf_dir):
-    found = moves.best_moves_fixed_k(T.customer_supplier(spark, sf_dir), T.nation_labels(spark, sf_dir))
+    found = moves.best_moves_fixed_k(cut(T.customer_supplier(spark, sf_dir)), T.nation_labels(spark, sf_dir))
     return found.select("id", "a", "b", rounded(F.col("delta")).alias("delta"))
 
 
@@ -155,7 +156,7 @@ MERGE = f"{term_sql('(x.v + y.v)', '(x.g + y.g - 2 * w)')} - {term_sql('x.v', 'x
 @query("merge_pairs_topk", f"""{CS_ALL}, p AS (SELECT least(l.c, r.c) AS a, greatest(l.c, r.c) AS b, sum(w) AS w FROM e1 JOIN lab l ON l.id = src JOIN lab r ON r.id = dst WHERE l.c <> r.c GROUP BY 1, 2)
 SELECT a, b, w, round({MERGE}, 6) + 0.0 AS delta FROM p JOIN comm x ON x.c = a JOIN comm y ON y.c = b, tot ORDER BY round({MERGE}, 9), a, b LIMIT 20""")
 def merge_pairs_topk(spark, sf_dir):
-    found = moves.merge_deltas(T.customer_supplier(spark, sf_dir), T.nation_labels(spark, sf_dir))
+    found = moves.merge_deltas(cut(T.customer_supplier(spark, sf_dir)), T.nation_labels(spark, sf_dir))
     return found.orderBy(F.round("delta", 9), "a", "b").limit(20).select("a", "b", "w", rounded(F.col("delta")).alias("delta"))
 
 
