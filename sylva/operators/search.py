@@ -139,7 +139,7 @@ def encoding_trees(edges: DataFrame, vertices: DataFrame | None = None, seed: in
 # --- large graphs ---
 
 
-def _round(edges: DataFrame, labels: DataFrame, number: int, before: float, tries: int = 4) -> tuple[DataFrame, float]:
+def _round(edges: DataFrame, labels: DataFrame, number: int, before: float, tries: int = 7) -> tuple[DataFrame, float]:
     """One synchronous round: (labels, sum of H2 over graphs) after it, or as before if no half of the movers helps."""
     side = lambda c, salt: F.pmod(F.xxhash64(F.lit(number), F.lit(salt), c), F.lit(2))
     found = moves.best_moves(edges, labels)
@@ -158,7 +158,7 @@ def _round(edges: DataFrame, labels: DataFrame, number: int, before: float, trie
     return labels, before
 
 
-def distributed_search(edges: DataFrame, labels: DataFrame | None = None, rounds: int = 12, levels: int = 6) -> DataFrame:
+def distributed_search(edges: DataFrame, labels: DataFrame | None = None, rounds: int = 8, levels: int = 5) -> DataFrame:
     """(graph_id, id, c) by synchronous rounds and contraction, for graphs of any size."""
     edges = cut(edges)
     labels = vertices_of(edges).select(GID, "id", F.col("id").cast("long").alias("c")) if labels is None else labels

@@ -57,9 +57,9 @@ def se_fixed_k(spark, sf_dir):
 
 @query("se_distributed")
 def se_distributed(spark, sf_dir):
-    """Synchronous rounds on the co-purchase graph."""
+    """Three synchronous rounds on the co-purchase graph."""
     edges = search.cut(T.copurchase(spark, sf_dir))
-    return _scored(edges, search.distributed_search(edges, T.size_labels(spark, sf_dir).join(search.vertices_of(edges), [GID, "id"], "left_semi"), rounds=4, levels=1))
+    return _scored(edges, search.distributed_search(edges, rounds=3, levels=1))
 
 
 @query("se_dendrogram")
