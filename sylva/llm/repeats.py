@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .runtime import cut, split_join, text_hash
+from .runtime import cut, split_join, stored, text_hash
 
 FILTER_BITS = 1 << 27
 SLICE_BYTES = 2 << 20
@@ -94,7 +94,7 @@ def classes(rows: DataFrame, unit: type, size: int, gram: int) -> tuple[DataFram
     passing = bitmap(find_anchors(rows, unit, size, gram).groupBy("anchor").count().where("count > 1"), "anchor")
     found = find_anchors(rows, unit, size, gram, passing)
     own = F.struct("did", "th", "place")
-    known = cut(found.groupBy("anchor", "block").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).select("anchor", "block", "first.*", "n"))
+    known = stored(found.groupBy("anchor", "block").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).select("anchor", "block", "first.*", "n"))
     several = cut(known.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
     firsts = split_join(known, several, ["anchor"]).select("anchor", "did", "th", "place", "classes")
     shared = known.where("n > 1").select("anchor", "block", F.col("did").alias("first"), F.col("th").alias("first_th"), F.col("place").alias("first_place"))
