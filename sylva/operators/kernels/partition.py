@@ -186,6 +186,18 @@ def multilevel(net: Net, objective: str = "entropy", seed: int = 0, levels: int
     return labels
 
 
+def polished(net: Net, labels: list[int], objective: str = "entropy", seed: int = 0, rounds: int = 5) -> list[int]:
+    """Multilevel search from ``labels``, vertices first, again while it improves."""
+    value = Partition(net, labels, objective).value()
+    for r in range(rounds):
+        again = multilevel(net, objective, seed + r, start=labels)
+        now = Partition(net, again, objective).value()
+        if now >= value - TINY:
+            break
+        labels, value = again, now
+    return labels
+
+
 def connected_parts(net: Net, labels: list[int]) -> list[int]:
     """Labels with each module split into its connected components."""
     out, fresh = [-1] * net.n, 0
@@ -263,7 +275,7 @@ def merged_down(net: Net, labels: list[int], k: int) -> list[int]:
 
 def optimised(net: Net, k: int | None = None, seed: int = 0, starts: int = 8) -> list[int]:
     """The best of several multilevel searches, merged down if more than k modules are left."""
-    tries = [multilevel(net, "entropy", seed * 1000 + s) for s in range(starts)]
+    tries = [polished(net, multilevel(net, "entropy", seed * 1000 + s), seed=seed * 1000 + s) for s in range(starts)]
     best = min(tries, key=lambda x: round(Partition(net, x).value(), 12))
     return merged_down(net, best, k) if k and len(set(best)) > k else best
 
