@@ -10,7 +10,7 @@ hits cover at least 1 / ``COVERAGE`` of its words.
 Scale. Documents are read once and never shuffled. The items are cut into shards of
 at most ``SHARD_WORDS`` words (an item that is longer has a shard of its
 own), one automaton each, which bounds what a worker holds; each shard is
-broadcast by itself, and each batch of documents passes through all of them.
+broadcast by itself, and a task's documents pass through one after the other.
 
 Defined results: null texts and null item texts have no words; items without an
 ``item_id`` are ignored; items that share an id count as one; rows that repeat a
@@ -190,22 +190,26 @@ def _shards(items: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
 
 
 def _finder(docs: DataFrame, benchmark: DataFrame):
-    """A function that executors call with texts; gives (n_words, spans, items) of each."""
+    """A function for executors: for batches and the place of their text column it gives each batch with (n_words, spans, items) of its rows."""
     context = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     shards = [context.broadcast(pickle.dumps(s)) for s in _shards(items)]
     call = uuid.uuid4().hex
 
-    def find(column: pa.Array) -> list[tuple[int, list, list]]:
-        words = [words_of(t.as_buffer().to_pybytes() if t.is_valid else None) for t in column.cast(pa.binary())]
-        found: list[tuple[list, set]] = [([], set()) for _ in words]
-        for k, shard in enumerate(shards):
-            automaton = latest("automaton", (call, k), lambda shard=shard: Automaton(pickle.loads(shard.value)))
-            for i, w in enumerate(words):
-                spans, hit = automaton.hits(w)
-                if spans:
-                    found[i] = (merged(found[i][0] + spans) if k else spans, found[i][1] | hit)
-        return [(len(w), spans, sorted(hit)) for w, (spans, hit) in zip(words, found)]
+    def find(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list, list]]]]:
+        # With several shards a task's batches, which the size of an input split bounds, wait for all of them.
+        for group in ([b] for b in batches) if len(shards) <= 1 else [list(batches)]:
+            words = [[words_of(t.as_buffer().to_pybytes() if t.is_valid else None) for t in b.column(at).cast(pa.binary())] for b in group]
+            found: list[list[tuple[list, set]]] = [[([], set()) for _ in ws] for ws in words]
+            for k, shard in enumerate(shards):
+                automaton = latest("automaton", (call, k), lambda shard=shard: Automaton(pickle.loads(shard.value)))
+                for rows, ws in zip(found, words):
+                    for i, w in enumerate(ws):
+                        spans, hit = automaton.hits(w)
+                        if spans:
+                            rows[i] = (merged(rows[i][0] + spans) if k else spans, rows[i][1] | hit)
+            for batch, rows, ws in zip(group, found, words):
+                yield batch, [(len(w), spans, sorted(hit)) for w, (spans, hit) in zip(ws, rows)]
 
     return find
 
@@ -216,8 +220,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            found = find(batch.column(1))
+        for batch, found in find(batches, 1):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -238,8 +241,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     find, at = _finder(docs, benchmark), docs.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = find(batch.column(at))
+        for batch, found in find(batches, at):
             hit = [(sum(b - a for a, b in spans), n) for n, spans, _ in found]
             yield batch.filter(pa.array([not (h and COVERAGE * h >= n) for h, n in hit], pa.bool_()))
 
