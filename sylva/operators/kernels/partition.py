@@ -63,6 +63,21 @@ def map_part(v: float, g: float, m2: float) -> float:
     return plogp((g + v) / m2) - 2 * plogp(g / m2)
 
 
+def entropy_of(m2: float):
+    """``entropy_part`` for one graph, with one logarithm."""
+    if not m2:
+        return lambda v, g: 0.0
+    base, over = log2(m2), 1.0 / m2
+
+    def part(v: float, g: float) -> float:
+        if v <= 0:
+            return 0.0
+        x = log2(v)
+        return (v * x - g * (x - base)) * over
+
+    return part
+
+
 #: name: (a module's part, what the total cut adds)
 OBJECTIVES = {
     "entropy": (entropy_part, None),
@@ -76,7 +91,8 @@ class Partition:
 
     def __init__(self, net: Net, labels: list[int], objective: str = "entropy"):
         self.net, self.labels = net, list(labels)
-        self.part, self.overall = OBJECTIVES[objective]
+        whole, self.overall = OBJECTIVES[objective]
+        self.part = entropy_of(net.m2) if objective == "entropy" else lambda v, g: whole(v, g, net.m2)
         self.volume: dict[int, float] = {}
         self.cut: dict[int, float] = {}
         self.size: dict[int, int] = {}
@@ -85,13 +101,14 @@ class Partition:
             self.size[c] = self.size.get(c, 0) + 1
             self.cut[c] = self.cut.get(c, 0.0) + sum(w for v, w in net.near[u].items() if self.labels[v] != c)
         self.outside = sum(self.cut.values())
+        self.parts = {c: self.part(v, self.cut[c]) for c, v in self.volume.items()} if net.m2 else dict.fromkeys(self.volume, 0.0)
         self.next = max(self.labels, default=-1) + 1
 
     def value(self) -> float:
         m2 = self.net.m2
         if not m2:
             return 0.0
-        total = sum(self.part(v, self.cut[c], m2) for c, v in self.volume.items())
+        total = sum(self.part(v, self.cut[c]) for c, v in self.volume.items())
         return total + (self.overall(self.outside, m2) if self.overall else 0.0)
 
     def toward(self, u: int) -> dict[int, float]:
@@ -103,20 +120,21 @@ class Partition:
 
     def changes(self, u: int, targets, weights: dict[int, float]):
         """(change, module) of moving u to each target."""
-        net, part, m2 = self.net, self.part, self.net.m2
+        net, part, parts, volume, cut, overall = self.net, self.part, self.parts, self.volume, self.cut, self.overall
         a, d = self.labels[u], net.degree[u]
         leaves = d - 2 * net.loop[u]
-        va, ga = self.volume[a], self.cut[a]
-        ga2 = ga - leaves + 2 * weights.get(a, 0.0)
-        base = part(va - d, max(ga2, 0.0), m2) - part(va, ga, m2)
+        ga2 = cut[a] - leaves + 2 * weights.get(a, 0.0)
+        base = part(volume[a] - d, ga2 if ga2 > 0 else 0.0) - parts[a]
+        more = self.outside + ga2 - cut[a]
+        was = overall(self.outside, net.m2) if overall else 0.0
         for b in targets:
             if b == a:
                 continue
-            vb, gb = self.volume.get(b, 0.0), self.cut.get(b, 0.0)
+            gb = cut.get(b, 0.0)
             gb2 = gb + leaves - 2 * weights.get(b, 0.0)
-            change = base + part(vb + d, max(gb2, 0.0), m2) - (part(vb, gb, m2) if vb else 0.0)
-            if self.overall:
-                change += self.overall(self.outside + ga2 - ga + gb2 - gb, m2) - self.overall(self.outside, m2)
+            change = base + part(volume.get(b, 0.0) + d, gb2 if gb2 > 0 else 0.0) - parts.get(b, 0.0)
+            if overall:
+                change += overall(more + gb2 - gb, net.m2) - was
             yield change, b
 
     def move(self, u: int, b: int, weights: dict[int, float]) -> None:
@@ -130,8 +148,9 @@ class Partition:
         self.cut[b] = self.cut.get(b, 0.0) + gained
         self.size[b] = self.size.get(b, 0) + 1
         self.outside += lost + gained
+        self.parts[a], self.parts[b] = self.part(self.volume[a], max(self.cut[a], 0.0)), self.part(self.volume[b], max(self.cut[b], 0.0))
         if not self.size[a]:
-            del self.volume[a], self.cut[a], self.size[a]
+            del self.volume[a], self.cut[a], self.size[a], self.parts[a]
         self.labels[u] = b
         self.next = max(self.next, b + 1)
 
