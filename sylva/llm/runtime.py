@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: what ``spark.checkpoint.dir`` names, which all
-    executors share. A temporary one is set only where there is none, as in tests.
+    """The session's checkpoint folder: what ``spark.checkpoint.dir`` names, which all executors share.
+
+    Where the session names none, one is set: a temporary folder if everything runs on
+    this machine, as in tests, else one beside the warehouse's tables.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sylva-checkpoint-"))
+        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        own = tempfile.mkdtemp(prefix="sylva-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return context.getCheckpointDir()
 
 
