@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the folder that ``spark.checkpoint.dir`` names.
+    """``df`` computed once and stored in the folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    All executors share that folder; a temporary one is set only where the
-    session names none, as in tests.
+    Where the session names none, one is set: a temporary folder if everything runs on
+    this machine, as in tests, else one beside the warehouse's tables.
     """
-    context = df.sparkSession.sparkContext
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sylva-checkpoint-"))
+        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        own = tempfile.mkdtemp(prefix="sylva-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return df.checkpoint()
