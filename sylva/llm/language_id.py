@@ -137,6 +137,15 @@ class Model:
     def __init__(self, langs: list[str], weights: np.ndarray, transitions: np.ndarray):
         self.langs, self.weights, self.transitions = langs, weights, transitions
 
+    @staticmethod
+    def shared(spark, model: Model | None):
+        """The model's parts, broadcast; ``Model.received`` puts them together on an executor."""
+        return spark.sparkContext.broadcast((model.langs, model.weights, model.transitions) if model else None)
+
+    @staticmethod
+    def received(shared) -> Model | None:
+        return Model(*shared.value) if shared.value else None
+
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(posteriors of all words in order, number of words of each text)."""
         words = Words(texts)
@@ -244,11 +253,12 @@ def _judged(model: Model | None, column: pa.Array) -> list[tuple[str, float]]:
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; columns of these names are replaced."""
     kept = docs.drop("lang_pred", "score")
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), kept.columns.index(text)
+    shared, at = Model.shared(docs.sparkSession, model), kept.columns.index(text)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.received(shared)
         for batch in batches:
-            found = _judged(shared.value, batch.column(at))
+            found = _judged(model, batch.column(at))
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 
@@ -258,11 +268,12 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of at least ``LEAST_SCORE``, unchanged."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    shared, at = Model.shared(docs.sparkSession, model), docs.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.received(shared)
         for batch in batches:
-            found = _judged(shared.value, batch.column(at))
+            found = _judged(model, batch.column(at))
             yield batch.filter(pa.array([lang != UNKNOWN and score >= LEAST_SCORE for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
@@ -270,12 +281,12 @@ def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
 def label_words(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, runs): runs of words with one language, as (start, end, lang) in word numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Model.shared(docs.sparkSession, model)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model.received(shared)
         for batch in batches:
             out = []
             for t in batch.column(1).to_pylist():
