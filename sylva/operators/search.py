@@ -75,7 +75,7 @@ def se_louvain(edges: DataFrame, vertices: DataFrame | None = None, k: int | Non
     """(graph_id, id, c): the partition of least H2 found; merged down if it has more than k modules."""
 
     def one(net: P.Net, s: int) -> tuple[list[int], float]:
-        labels = P.polished(net, P.multilevel(net, "entropy", s), seed=s)
+        labels = P.polished(net, P.multilevel(net, "entropy", s), seed=s, rounds=2)
         return labels, P.Partition(net, labels).value()
 
     best = multistart(edges, one, vertices, seed, starts).select(GID, "id", "c")
