@@ -213,6 +213,8 @@ def repeated_strings(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> Dat
     """(did, th, place): runs of strings of ``numbered`` rows that also start earlier."""
     members, firsts, several = classes(rows, Bytes, size, gram)
     found = members.select("did", "th", "place")
+    if not rows.where("th <> 0").isEmpty():  # rows equal in both have one block of each place; th is 0 where no ids are repeated
+        rows = rows.dropDuplicates(["did", "th"])
     found = found.union(_index_shards(_blocks(rows, firsts.where(F.col("classes") <= SHARD_BLOCKS), size), size))
     if not several.where(F.col("classes") > SHARD_BLOCKS).isEmpty():
         found = found.union(_hashed(_blocks(rows, firsts.where(F.col("classes") > SHARD_BLOCKS), size), size))

@@ -54,6 +54,19 @@ def test_repeated_rows_and_empty_table(spark):
     assert suffix_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [4096, 1])
+def test_repeated_rows_beside_a_partly_equal_text(spark, monkeypatch, most):
+    monkeypatch.setattr(module, "SHARD_BLOCKS", most)
+    rng = random.Random(4)
+    shared = prose(rng, 60)
+    text, other = prose(rng, 20) + shared + prose(rng, 20), prose(rng, 20) + shared + prose(rng, 20)
+    docs = frame(spark, [(1, text), (1, text), (2, other)])
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup(docs).collect())
+    first, second = brute([(1, text), (2, other)], 100)
+    assert first[2] == 0 < second[2]
+    assert got == [first, first, second]
+
+
 def test_index():
     rng = random.Random(2)
     for _ in range(40):
