@@ -193,34 +193,48 @@ def optimise(edges: DataFrame, vertices: DataFrame | None = None, seed: int = 0,
     return se_louvain(small, few, seed=seed, starts=starts).union(distributed_search(edges.join(large, GID, "left_semi")))
 
 
-def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(graph_id, id, c): the smallest id of each vertex's connected component, by label propagation with shortcuts."""
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` stored, without the size estimate that a checkpoint keeps: joined with itself again and again, its digits double each time."""
+    df = cut(df)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), df.sparkSession)
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(graph_id, id, c): the smallest id of each vertex's connected component.
+
+    Each round hooks every label to its smallest neighbour label and follows the hooks to their
+    ends by doubling, until no edge joins two labels. A label that isn't hooked has taken in a
+    neighbour, or is hooked in the next round, so labels halve at least every two rounds.
+    """
     edges = cut(edges.where("src <> dst"))
     labels = cut(vertices_of(edges).select(GID, "id", F.col("id").alias("c")))
-    for _ in range(rounds):
+    while True:
         pair = edges.join(labels.select(GID, F.col("id").alias("src"), F.col("c").alias("cu")), [GID, "src"]).join(labels.select(GID, F.col("id").alias("dst"), F.col("c").alias("cv")), [GID, "dst"])
-        hook = pair.where("cu <> cv").groupBy(GID, F.greatest("cu", "cv").alias("c")).agg(F.min(F.least("cu", "cv")).alias("to"))
-        hook = cut(hook)
+        hook = plain(pair.where("cu <> cv").groupBy(GID, F.greatest("cu", "cv").alias("c")).agg(F.min(F.least("cu", "cv")).alias("to")))
         if hook.isEmpty():
-            break
-        jump = hook.join(hook.select(GID, F.col("c").alias("to"), F.col("to").alias("far")), [GID, "to"], "left").select(GID, "c", F.coalesce("far", "to").alias("to"))
-        labels = cut(labels.join(jump, [GID, "c"], "left").select(GID, "id", F.coalesce("to", "c").alias("c")))
-    return labels
+            return labels
+        moved = True
+        while moved:
+            jump = plain(hook.join(hook.select(GID, F.col("c").alias("to"), F.col("to").alias("far")), [GID, "to"], "left").select(GID, "c", "to", "far"))
+            moved = not jump.where("far IS NOT NULL").isEmpty()
+            hook = jump.select(GID, "c", F.coalesce("far", "to").alias("to"))
+        labels = plain(labels.join(hook, [GID, "c"], "left").select(GID, "id", F.coalesce("to", "c").alias("c")))
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, most: int = 64) -> DataFrame:
-    """(graph_id, source, id, hops) from each of ``sources(graph_id, id)``, by frontier joins; unreachable vertices are left out."""
+def hop_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(graph_id, source, id, hops) from each of ``sources(graph_id, id)``, by frontier joins until no front is left; unreachable vertices are left out."""
     from .graph import incidence
 
     steps = cut(incidence(edges.where("src <> dst")).select(GID, "id", "nbr").distinct())
     seen = front = sources.select(GID, F.col("id").alias("source"), "id", F.lit(0).alias("hops"))
-    for hop in range(1, most + 1):
+    hop = 0
+    while True:
+        hop += 1
         ahead = front.join(steps, [GID, "id"]).select(GID, "source", F.col("nbr").alias("id")).distinct()
         front = cut(ahead.join(seen.select(GID, "source", "id"), [GID, "source", "id"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
-            break
-        seen = cut(seen.union(front.select(GID, "source", "id", "hops")))
-    return seen
+            return seen
+        seen = cut(seen.union(front.select(GID, "source", "id", "hops")).repartition(GID, "source", "id"))  # a union adds partitions
 
 
 def relabelled(labels: DataFrame) -> DataFrame:

@@ -143,6 +143,34 @@ def test_ranking(spark):
             total += r.x
 
 
+def test_components_of_long_paths_and_random_graphs(spark):
+    rng = np.random.default_rng(6)
+    cases = {"path": [(i, i + 1) for i in range(999)], "mixed": (p := rng.permutation(60).tolist()) and list(zip(p, p[1:])), "sparse": rng.integers(0, 80, (60, 2)).tolist()}
+    rows, want = [], {}
+    for name, pairs in cases.items():
+        root = {v: v for e in pairs for v in e if e[0] != e[1]}
+
+        def find(v, root=root):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for u, v in pairs:
+            if u != v:
+                a, b = sorted((find(u), find(v)))
+                root[b] = a
+        want |= {(name, v): find(v) for v in root}
+        rows += [(name, min(e), max(e), 1.0) for e in pairs]
+    edges = spark.createDataFrame(rows, f"{GID} string, src long, dst long, w double")
+    assert {(r[GID], r.id): r.c for r in search.connected(edges).collect()} == want
+
+
+def test_hops_of_a_long_path(spark):
+    edges = spark.createDataFrame([("path", i, i + 1, 1.0) for i in range(79)], f"{GID} string, src long, dst long, w double")
+    found = search.hop_distances(edges, spark.createDataFrame([("path", 0)], f"{GID} string, id long"))
+    assert {r.id: r.hops for r in found.collect()} == {i: i for i in range(80)}
+
+
 def test_search_and_report(spark):
     edges, vertices = S.sbm(spark, 90, 3, 0.4, 0.03, seed=1)
     labels = search.cut(search.optimise(edges, vertices, starts=2))
