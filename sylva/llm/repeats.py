@@ -2,10 +2,10 @@
 
 Both repeat operators take the same way. Each text's windows are grouped into
 blocks by their winnowed anchors (:mod:`.anchors`). Anchors that occur once have
-no repeated window. Equal blocks form classes: each member but the first is
-repeated whole. What is left is the first members of anchors with several
+no repeated window. Blocks that agree in anchor and XXH64 form classes: each member but
+the first is repeated whole. What is left is the first members of anchors with several
 classes, whose windows may equal each other in part; the operators compare
-these by their own methods.
+these by their own methods. The anchors that remain are stored once and read by both steps.
 
 Anchors that occur once are kept out early by a bitmap of ``FILTER_BITS`` bits, which
 is all that is broadcast; what passes it wrongly falls out later.
@@ -21,22 +21,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .runtime import cut, split_join, text_hash
+from .rolling import digests
+from .runtime import cut, split_join, stored
 
 FILTER_BITS = 1 << 27
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18  # so that a slice's arrays stay in a core's cache
 LAST_ID = (1 << 63) - 1
 PLACE = 256  # a place is start * PLACE + windows, of at most PLACE - 1 windows
 
 
 def numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(did, th, text): the id to order by, nulls last, a hash that tells rows of one id apart, and the text.
+    """(did, th, text, doc_id): the id to order by, nulls last, a hash that tells rows of one id apart, the text, and the id as it was.
 
-    Where no two rows share an id the hash is 0.
+    Where no two rows share an id the hash is 0. Null ids count as the largest long.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = F.col(doc_id).cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(LAST_ID)).alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"), own.alias("doc_id"))
     unique = rows.groupBy("did").count().where("count > 1").isEmpty()
-    return rows.select("did", (F.lit(0).cast("long") if unique else text_hash(F.col("text"))).alias("th"), "text")
+    th = F.lit(0).cast("long") if unique else F.xxhash64("text", F.col("doc_id").isNull())
+    return rows.select("did", th.alias("th"), "text", "doc_id")
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -48,25 +51,44 @@ def sliced(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     return iter(anchors.slices(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE_BYTES))
 
 
-def find_anchors(rows: DataFrame, unit: type, size: int, gram: int, passing: np.ndarray | None = None) -> DataFrame:
-    """(anchor, block, did, th, place) of all anchors of ``numbered`` rows, or of those that the bitmap passes."""
-    shared = rows.sparkSession.sparkContext.broadcast(passing) if passing is not None else None
+def anchor_keys(rows: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
+    """(anchor) of all anchors of ``numbered`` rows."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            for a, b in sliced(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.winnow(unit(texts[a:b]), size, gram)["anchor"].view(np.int64))], names=["anchor"])
+
+    return rows.select("text").mapInArrow(find, "anchor long")
+
+
+def find_anchors(rows: DataFrame, unit: type, size: int, gram: int, passing: np.ndarray, spans: bool) -> DataFrame:
+    """(anchor, block, did, th, place) of the anchors of ``numbered`` rows that the bitmap passes.
+
+    ``block`` is an XXH64 of the block under its anchor's place in it. With ``spans`` there are also that place
+    (``lead``) and the block's bytes within its text, from ``low`` to ``high``.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(passing)
+    names = ["anchor", "block", "did", "th", "place", *(["lead", "low", "high"] if spans else [])]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(2))
             did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b in sliced(texts):
-                found = anchors.winnow(unit(texts[a:b]), size, gram)
-                anchor, ok = found["anchor"], slice(None)
-                if shared is not None:
-                    ok = in_bitmap(shared.value, anchor)
-                text = found["text"][ok] + a
-                place = (found["start"] * PLACE + found["windows"])[ok]
-                columns = [anchor[ok].view(np.int64), found["block"][ok].view(np.int64), did[text], th[text], place]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "block", "did", "th", "place"])
+                sequences = unit(texts[a:b])
+                found = anchors.winnow(sequences, size, gram)
+                ok = in_bitmap(shared.value, found["anchor"])
+                anchor, text, begin, windows, lead = (found[k][ok] for k in ("anchor", "text", "begin", "windows", "offset"))
+                end = begin + windows - 1 + size
+                block = digests(sequences.units, begin, end, lead)
+                columns = [anchor.view(np.int64), block.view(np.int64), did[text + a], th[text + a], (begin - sequences.start[text]) * PLACE + windows]
+                if spans:
+                    columns += [lead, *sequences.span(begin, end, text)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return rows.mapInArrow(find, "anchor long, block long, did long, th long, place long")
+    return rows.select("did", "th", "text").mapInArrow(find, ", ".join(f"{n} long" for n in names))
 
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
@@ -84,19 +106,21 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return word >> (keys >> np.uint64(37) & np.uint64(63)) & np.uint64(1) == 1
 
 
-def classes(rows: DataFrame, unit: type, size: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables of anchors of ``numbered`` rows.
+def classes(rows: DataFrame, unit: type, size: int, gram: int, spans: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two tables of anchors of ``numbered`` rows, with the columns of ``find_anchors``.
 
-    members: (anchor, block, did, th, place, first) of all but the first of each class,
-    ``first`` being that one's did; firsts: (anchor, did, th, place) of the first members of
-    anchors with several classes; several: (anchor, classes) of those anchors.
+    members: all but the first of each class, with ``first``, that one's (did, th, place and, with spans, low and high);
+    firsts: the first members of anchors with several classes, with ``classes``, how many these are.
     """
-    passing = bitmap(find_anchors(rows, unit, size, gram).groupBy("anchor").count().where("count > 1"), "anchor")
-    found = find_anchors(rows, unit, size, gram, passing)
-    own = F.struct("did", "th", "place")
-    known = cut(found.groupBy("anchor", "block").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).select("anchor", "block", "first.*", "n"))
-    several = cut(known.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
-    firsts = split_join(known, several, ["anchor"]).select("anchor", "did", "th", "place", "classes")
-    shared = known.where("n > 1").select("anchor", "block", F.col("did").alias("first"), F.col("th").alias("first_th"), F.col("place").alias("first_place"))
-    members = split_join(found, shared, ["anchor", "block"]).where("did <> first or th <> first_th or place <> first_place")
-    return members.select("anchor", "did", "th", "place", "first"), firsts, several
+    passing = bitmap(anchor_keys(rows, unit, size, gram).groupBy("anchor").count().where("count > 1"), "anchor")
+    return classes_of(stored(find_anchors(rows, unit, size, gram, passing, spans)))
+
+
+def classes_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``classes`` of the rows of a stored table."""
+    more = [c for c in found.columns if c not in ("anchor", "block")]
+    known = cut(found.groupBy("anchor", "block").agg(F.min(F.struct(*more)).alias("first"), F.count(F.lit(1)).alias("n")))
+    several = known.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    firsts = split_join(known.select("anchor", "block", "first.*"), several, ["anchor"])
+    members = split_join(found, known.where("n > 1").select("anchor", "block", "first"), ["anchor", "block"])
+    return members.where("did <> first.did or th <> first.th or place <> first.place"), firsts

@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a compressed table in the checkpoint folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # a task buffers one row group
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

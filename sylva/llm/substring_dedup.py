@@ -1,18 +1,23 @@
 """Substring dedup by seed and extend, over words.
 
 Seeds are winnowed anchors: k-grams of ``GRAM`` words, one at least in each window
-of ``SIZE`` words. Documents are joined on them. A match extends from its
-anchor both ways as far as the words agree: over its whole block where
-the blocks are equal, else window by window, for each number of words to the
-left and right that makes ``SIZE``. A window that also starts in a document
-with a smaller doc_id is repeated, and adjoining repeated windows are a maximal
-repeat, which is removed.
-
-Scale. What is shuffled first is one small row for each anchor (about one in 19
+of ``SIZE`` words. Documents are joined on them: a block (an anchor and all windows
+that it stands for) is seeded with the first block that is equal to it; of blocks of one
+anchor that differ, each window is seeded with the block of the smallest doc_id that has it.
+Adjoining seeds with the same partner at the same distance are chained into one. A seed is
+then extended from its anchors both ways, comparing words, over all that its partner's
+chain holds; a stretch of ``SIZE`` equal words or more is a maximal repeat, and its words are removed.
+
+Hashes only find partners: nothing is removed whose words weren't compared with those of
+a smaller doc_id.
+
+Scale. What is shuffled first is one small row for each anchor that occurs twice or more (about one in 19
 words); windows are expanded only around anchors that different blocks share. All
 groups are reduced to their smallest doc_id with partial aggregation, so that no
-group is gathered anywhere; joins on anchors may be split where keys are hot. The
-texts are shuffled once, for the join with their own repeats.
+group is gathered anywhere, and each block or window has one partner; joins on anchors and partners may be split where
+keys are hot. A partner's words travel once for each distinct chain, then with each match, so that what is
+shuffled grows with what is removed. The texts are shuffled for the join with
+their own repeats.
 
 Defined results: a null text has no words; a null doc_id comes after all others,
 and such rows don't remove from each other, nor do rows that share a doc_id; an
@@ -26,62 +31,118 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import Words
-from .repeats import LAST_ID, PLACE, classes, numbered, sliced, texts_of
-from .runtime import split_join, table
+from .repeats import PLACE, classes, numbered, sliced, texts_of
+from .rolling import digests
+from .runtime import split_join, stored, table
 
 SIZE = 50
 GRAM = 14
 
 
-def window_hashes(rows: DataFrame, places: DataFrame, size: int) -> DataFrame:
-    """(anchor, window, did, th, at): the windows of each (anchor, did, th, place), by hash and start."""
-    listed = places.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
-    joined = rows.join(listed, ["did", "th"]).select("did", "th", "text", "places")
+BLOCK = ("did", "th", "place", "lead", "low", "high")
+
+
+def window_hashes(rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """(anchor, window, and the block): an XXH64 of each window of each of ``blocks``."""
+    listed = blocks.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", *BLOCK[2:])).alias("blocks"))
+    joined = rows.join(listed, ["did", "th"]).select("did", "th", "text", "blocks")
+    names = ["anchor", "window", *BLOCK]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(2))
             did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            listed = batch.column(3)
-            bounds = listed.offsets.to_numpy()
-            entries = listed.values.flatten()
-            anchor, place = entries[0].to_numpy(), entries[1].to_numpy()
+            bounds = batch.column(3).offsets.to_numpy()
+            entries = [c.to_numpy() for c in batch.column(3).values.flatten()]
             for a, b in sliced(texts):
                 words = Words(texts[a:b])
-                one = slice(bounds[a], bounds[b])
+                anchor, place, lead, low, high = (c[bounds[a] : bounds[b]] for c in entries)
                 text = np.repeat(np.arange(a, b), np.diff(bounds[a : b + 1]))
-                begin, n = np.divmod(place[one], PLACE)
+                begin, n = np.divmod(place, PLACE)
                 each = np.repeat(np.arange(len(n)), n)
-                at = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                here = words.start[text[each] - a] + at
-                hashes = words.sums.parts(here, here + size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor[one][each], hashes, did[text[each]], th[text[each]], at)], names=["anchor", "window", "did", "th", "at"])
+                here = words.start[text - a][each] + begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                hashes = digests(words.units, here, here + size, np.zeros(len(here), np.int64)).view(np.int64)
+                columns = [anchor[each], hashes, did[text[each]], th[text[each]], *(c[each] for c in (place, lead, low, high))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return joined.mapInArrow(expand, "anchor long, window long, did long, th long, at long")
+    return joined.mapInArrow(expand, ", ".join(f"{n} long" for n in names))
 
 
-def repeated_windows(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(did, th, place): runs of windows of ``numbered`` rows that also start under a smaller did."""
-    members, firsts, _ = classes(rows, Words, size, gram)
-    whole = members.where("did > first").select("did", "th", "place")
+def seeds(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """(did, th, shift, partner): blocks of a smaller did that share a window with a document of ``numbered`` rows.
+
+    The document's words stand ``shift`` further than the partner's.
+    """
+    members, firsts = classes(rows, Words, size, gram, spans=True)
+    anchored = F.floor(F.col("place") / PLACE) + F.col("lead")
+    shift = (anchored - F.floor(F.col("partner.place") / PLACE) - F.col("partner.lead")).alias("shift")
+    whole = members.where("did > first.did").withColumnRenamed("first", "partner").select("did", "th", shift, "partner")
     # Further members within the first's own document are compared like the first.
-    partly = firsts.select("anchor", "did", "th", "place").union(members.where("did = first").select("anchor", "did", "th", "place"))
+    partly = firsts.select("anchor", *BLOCK).union(members.where("did = first.did").select("anchor", *BLOCK))
     windows = window_hashes(rows, partly, size)
-    lowest = windows.groupBy("anchor", "window").agg(F.min("did").alias("low"), F.max("did").alias("high")).where("low < high").select("anchor", "window", "low")
-    single = split_join(windows, lowest, ["anchor", "window"]).where("did > low").select("did", "th", (F.col("at") * PLACE + 1).alias("place"))
-    return whole.union(single)
+    lowest = windows.groupBy("anchor", "window").agg(F.min(F.struct(*BLOCK)).alias("partner"), F.max("did").alias("last")).where("partner.did < last").drop("last")
+    single = split_join(windows, lowest, ["anchor", "window"]).where("did > partner.did").select("did", "th", shift, "partner")
+    return whole.union(single.distinct())
 
 
-def covered(n: int, starts: np.ndarray, windows: np.ndarray, size: int) -> np.ndarray:
-    """Which of ``n`` units lie in a run of ``windows`` windows from one of ``starts``."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + windows - 1 + size, -1)
-    return np.cumsum(change[:-1]) > 0
+def chains(found: DataFrame, size: int) -> DataFrame:
+    """(did, th, at, partner_did, partner_th, low, high): runs of ``seeds`` with one partner and shift.
+
+    The partner's bytes from low to high are compared with the document's words from ``at`` on.
+    """
+    partner = [F.col(f"partner.{c}").alias(f"partner_{c}") for c in ("did", "th")]
+    begin = F.floor(F.col("partner.place") / PLACE)
+    spans = found.select("did", "th", "shift", *partner, begin.alias("begin"), (begin + F.col("partner.place") % PLACE - 1 + size).alias("end"), "partner.low", "partner.high")
+    key = ["did", "th", "partner_did", "partner_th", "shift"]
+    along = Window.partitionBy(*key).orderBy("begin", "end", "low")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    cuts = spans.withColumn("new", F.when(F.col("begin") <= reach, 0).otherwise(1)).withColumn("chain", F.sum("new").over(along))
+    return (
+        cuts.groupBy(*key, "chain")
+        .agg(F.min("begin").alias("begin"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .select("did", "th", (F.col("begin") + F.col("shift")).alias("at"), "partner_did", "partner_th", "low", "high")
+    )
+
+
+def matches(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """(did, th, matches): per document the chains' places and their partners' words."""
+    found = stored(chains(seeds(rows, size, gram), size))
+    key = ["partner_did", "partner_th", "low", "high"]
+    partners = rows.select(F.col("did").alias("partner_did"), F.col("th").alias("partner_th"), F.col("text").cast("binary").alias("text"))
+    words = F.expr("substring(text, cast(low + 1 as int), cast(high - low as int))").alias("words")
+    spans = split_join(partners, found.select(*key).distinct(), key[:2]).select(*key, words).dropDuplicates(key)
+    return split_join(found, spans, key).groupBy("did", "th").agg(F.collect_list(F.struct("at", "words")).alias("matches"))
+
+
+def repeats(words: list[bytes], at: int, partner: list[bytes], size: int) -> list[tuple[int, int]]:
+    """Stretches of ``size`` words or more that equal the partner's, whose first word stands beside ``words[at]``."""
+    if at >= 0 and words[at : at + len(partner)] == partner:
+        return [(at, at + len(partner))] if len(partner) >= size else []
+    out, begin = [], None
+    for i in range(max(at, 0), min(at + len(partner), len(words)) + 1):
+        same = i < min(at + len(partner), len(words)) and words[i] == partner[i - at]
+        if same and begin is None:
+            begin = i
+        elif not same and begin is not None:
+            if i - begin >= size:
+                out.append((begin, i))
+            begin = None
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans put together where they meet, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def substring_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str = "doc_id", gram: int = GRAM, texts: bool = True) -> DataFrame:
@@ -90,33 +151,26 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_i
     The kept text has its words joined by one space.
     """
     rows = numbered(docs, text, doc_id)
-    found = repeated_windows(rows, size, gram).groupBy("did", "th").agg(F.collect_list("place").alias("places"))
-    joined = rows.join(found, ["did", "th"], "left").select("did", "text", "places")
-    names = ["did", "n_words", "n_removed", "spans", "kept_sha256", *(["kept"] if texts else [])]
+    joined = rows.join(matches(rows, size, gram), ["did", "th"], "left").select("doc_id", "text", "matches")
+    names = ["doc_id", "n_words", "n_removed", "spans", "kept_sha256", *(["kept"] if texts else [])]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, places in zip(texts_of(batch.column(1)), batch.column(2)):
+            for t, found in zip(texts_of(batch.column(1)), batch.column(2)):
                 words = t.split()
-                spans: list[dict] = []
-                if places.is_valid:
-                    gone = covered(len(words), *np.divmod(places.values.to_numpy(), PLACE), size)
-                    edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-                    spans = [{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                else:
-                    kept = b" ".join(words)
-                row = (len(words), sum(s["end"] - s["start"] for s in spans), spans, hashlib.sha256(kept).hexdigest())
+                spans = merged([s for m in found.as_py() or () for s in repeats(words, m["at"], m["words"].split(), size)])
+                edges = [0, *(x for s in spans for x in s), len(words)]
+                kept = b" ".join([w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]])
+                row = (len(words), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept.decode()) if texts else row)
             columns = list(zip(*out)) or [()] * (len(names) - 1)
             kinds = [pa.int64(), pa.int64(), span, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
-    schema = "did long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
-    done = joined.mapInArrow(remove, schema + (", kept string" if texts else ""))
-    return done.select(F.when(F.col("did") != LAST_ID, F.col("did")).alias("doc_id"), *names[1:])
+    schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
+    return joined.mapInArrow(remove, schema + (", kept string" if texts else ""))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,28 +3,28 @@
 A byte is removed if it lies in a string of ``SIZE`` bytes that also starts earlier: in
 a document with a smaller doc_id, or earlier in its own.
 
-Index. A shard's texts, each with an end of its own, get a suffix array and its
-Burrows-Wheeler transform, of which only the runs are kept: for the head of each
-run the suffix it stands for, the suffix before it, and the length that
-the two have in common. Walking the text from one sampled place to the next,
+Index. A shard's texts, each with an end of its own, are sorted by suffix and give their
+Burrows-Wheeler transform, which is kept as runs: each run's symbol and length and, sampled at the run's head,
+the suffix there, the suffix before it in order, and the length that the two
+have in common. The suffix array itself isn't kept. Walking the text from one sampled place to the next,
 each step lowers that length by one and moves both places on; this streams the
 matching statistics, the longest match of each place with its neighbour in
-suffix order. Where they reach ``SIZE`` the places have equal strings; all places
-of such a stretch of the suffix array but the first in text order are
+suffix order, and the neighbour. Where they reach ``SIZE`` the two places have equal strings; following
+neighbours links all places of one string, and all but the first in text order are
 marked.
 
 Shards. Which strings can be equal is settled by winnowed anchors, of which each
 string has one that its bytes fix: equal strings meet under one anchor. The
-corpus is repetitive, so equal blocks of an anchor are run-compressed first: of
+corpus is repetitive, so equal blocks of an anchor (equal in anchor and XXH64) are run-compressed first: of
 a class only its first member is indexed and the others are repeated whole.
-Shards are ranges of anchors of about ``SHARD_BYTES``.
+Shards are ranges of anchors of about ``SHARD_BYTES``. An anchor with more than
+``SHARD_BLOCKS`` distinct blocks is divided further: its strings get anchors again, by the next larger gram, under which blocks are
+classed and indexed in the same way. The largest gram is the string itself, so this ends.
 
 Scale. First shuffled is a small row for each anchor that occurs twice or
 more (those that don't are filtered by a bitmap of bounded size), then the
-blocks of anchors with several classes, then the texts, once. An anchor with
-more than ``SHARD_BLOCKS`` classes doesn't go into one shard: its strings
-are compared by 128-bit hashes with partial aggregation instead, so that no
-task holds a group.
+blocks of anchors with several classes, then the texts, once. A task holds a shard at a time, and a shard
+at most one anchor of ``SHARD_BLOCKS`` blocks more than ``SHARD_BYTES``.
 
 Defined results: a null text is empty; a null doc_id comes after all others; rows that
 share a doc_id are ordered by a hash of their texts, and rows that are equal
@@ -41,14 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Bytes
-from .repeats import LAST_ID, PLACE, classes, numbered, texts_of
-from .runtime import split_join, table
+from .anchors import Bytes, winnow
+from .repeats import PLACE, classes, classes_of, numbered, texts_of
+from .rolling import digests
+from .runtime import stored, table
 
 SIZE = 100
 GRAM = 24
 SHARD_BYTES = 1 << 20
-SHARD_BLOCKS = 4096
+SHARD_BLOCKS = 512
 PACK = 7  # symbols of nine bits in one 64-bit value
 
 
@@ -69,16 +70,14 @@ class RunIndex:
             here = symbols[j : j + n]
             packs = packs << 9 | np.where(alive, here, 0)
             alive &= here != 0
-        self.packs = packs
-        self.suffixes = self._sort(int(sizes.max(initial=0)))
-        before = np.concatenate(([0], symbols[: n - 1]))[self.suffixes]
-        self._sample(before)
+        suffixes = self._sort(packs, int(sizes.max(initial=0)))
+        self._sample(suffixes, np.concatenate((symbols[n - 1 : n], symbols[: max(n - 1, 0)]))[suffixes], packs)
 
-    def _sort(self, longest: int) -> np.ndarray:
+    def _sort(self, packs: np.ndarray, longest: int) -> np.ndarray:
         """The suffix array, by doubling; separators count as different, in order."""
         n, reach = self.length, PACK
         end = np.repeat(self.ends, self.ends - self.starts + 1)
-        key = self.packs
+        key = packs
         while True:
             order = np.argsort(key)
             ordered = key[order]
@@ -94,48 +93,56 @@ class RunIndex:
             reach *= 2
         return np.argsort(rank * n + np.arange(n)) if n else rank
 
-    def _sample(self, transform: np.ndarray) -> None:
-        """Keep the heads of the transform's runs, in text order."""
+    def _sample(self, suffixes: np.ndarray, transform: np.ndarray, packs: np.ndarray) -> None:
+        """Keep the transform's runs, and what is known at the head of each, in text order."""
         head = np.flatnonzero(np.concatenate(([True], (transform[1:] != transform[:-1]) | (transform[1:] == 0)))) if len(transform) else transform
-        place = self.suffixes[head]
-        neighbour = np.where(head > 0, self.suffixes[head - 1], -1) if len(head) else place
+        self.symbols, self.sizes = transform[head].astype(np.uint16), np.diff(np.append(head, len(transform)))
+        place = suffixes[head]
+        neighbour = np.where(head > 0, suffixes[head - 1], -1) if len(head) else place
         common = np.zeros(len(head), np.int64)
         some = np.flatnonzero(neighbour >= 0)
-        common[some] = self._common(place[some], neighbour[some])
+        common[some] = _common(packs, place[some], neighbour[some])
         order = np.argsort(place)
-        self.runs, self.neighbours, self.common = place[order], neighbour[order], common[order]
-
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of the common beginnings of the suffixes at ``a`` and ``b``."""
-        out = np.zeros(len(a), np.int64)
-        active = np.arange(len(a))
-        while len(active):
-            x, y = self.packs[a[active] + out[active]], self.packs[b[active] + out[active]]
-            on = (x == y) & (x & 511 != 0)
-            done, x, y = active[~on], x[~on], y[~on]
-            same = np.ones(len(done), bool)
-            for j in range(PACK - 1, -1, -1):
-                u, v = x >> 9 * j & 511, y >> 9 * j & 511
-                same &= (u == v) & (u != 0)
-                out[done] += same
-            active = active[on]
-            out[active] += PACK
-        return out
-
-    def matching_statistics(self) -> np.ndarray:
-        """For each place of the text, the length it has in common with the suffix before it in order."""
-        steps = np.diff(np.append(self.runs, self.length))
-        walked = np.arange(self.length) - np.repeat(self.runs, steps)
-        return np.maximum(0, np.repeat(self.common, steps) - walked)
+        self.places, self.neighbours, self.common = place[order], neighbour[order], common[order]
+
+    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the text the place before it in suffix order, and the length the two have in common."""
+        steps = np.diff(np.append(self.places, self.length))
+        walked = np.arange(self.length) - np.repeat(self.places, steps)
+        return np.repeat(self.neighbours, steps) + walked, np.maximum(0, np.repeat(self.common, steps) - walked)
 
     def repeated(self, size: int) -> np.ndarray:
         """The places, in order, whose string of ``size`` symbols also starts at a smaller place."""
-        if not self.length:
-            return self.suffixes
-        stretch = np.flatnonzero(self.matching_statistics()[self.suffixes] < size)
-        first = np.minimum.reduceat(self.suffixes, stretch)
-        first = np.repeat(first, np.diff(np.append(stretch, self.length)))
-        return np.sort(self.suffixes[self.suffixes != first])
+        neighbour, common = self.matching_statistics()
+        linked = np.flatnonzero(common >= size)
+        if not len(linked):
+            return linked
+        places = np.union1d(linked, neighbour[linked])
+        ahead = np.arange(len(places))
+        ahead[np.searchsorted(places, linked)] = np.searchsorted(places, neighbour[linked])
+        while len(np.flatnonzero((further := ahead[ahead]) != ahead)):
+            ahead = further
+        first = np.arange(len(places))
+        np.minimum.at(first, ahead, np.arange(len(places)))
+        return places[first[ahead] != np.arange(len(places))]
+
+
+def _common(packs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common beginnings of the suffixes at ``a`` and ``b``."""
+    out = np.zeros(len(a), np.int64)
+    active = np.arange(len(a))
+    while len(active):
+        x, y = packs[a[active] + out[active]], packs[b[active] + out[active]]
+        on = (x == y) & (x & 511 != 0)
+        done, x, y = active[~on], x[~on], y[~on]
+        same = np.ones(len(done), bool)
+        for j in range(PACK - 1, -1, -1):
+            u, v = x >> 9 * j & 511, y >> 9 * j & 511
+            same &= (u == v) & (u != 0)
+            out[done] += same
+        active = active[on]
+        out[active] += PACK
+    return out
 
 
 def _blocks(rows: DataFrame, places: DataFrame, size: int) -> DataFrame:
@@ -197,27 +204,45 @@ def _index_shards(blocks: DataFrame, size: int) -> DataFrame:
     return by_anchor.mapInArrow(index, "did long, th long, place long")
 
 
-def _hashed(blocks: DataFrame, size: int) -> DataFrame:
-    """The same for anchors of very many blocks, string by string."""
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("place") % PLACE - 1))
-    strings = blocks.select("anchor", "did", "th", F.floor(F.col("place") / PLACE).alias("start"), "data", at.alias("i"))
-    string = F.expr(f"substring(data, cast(i as int) + 1, {size})")
-    strings = strings.select("anchor", "did", "th", (F.col("start") + F.col("i")).alias("at"), F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(7), string).alias("h2"))
-    own = F.struct("did", "th", "at")
-    lowest = strings.groupBy("anchor", "h1", "h2").agg(F.min(own).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = split_join(strings, lowest, ["anchor", "h1", "h2"]).where(own > F.col("low"))
-    return again.select("did", "th", (F.col("at") * PLACE + 1).alias("place"))
+def _divided(blocks: DataFrame, size: int, gram: int) -> DataFrame:
+    """(anchor, block, did, th, place, data): the strings of ``blocks`` by their anchors of ``gram`` bytes, within each anchor of before."""
+    names = ["anchor", "block", "did", "th", "place", "data"]
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = texts_of(batch.column(4))
+            parts = Bytes(data)
+            found = winnow(parts, size, gram)
+            text, begin, windows = found["text"], found["begin"], found["windows"]
+            end = begin + windows - 1 + size
+            before, did, th, place = (batch.column(k).to_numpy()[text] for k in range(4))
+            anchor = digests(found["anchor"].view(np.uint8), np.arange(len(text)) * 8, np.arange(len(text)) * 8 + 8, before.view(np.uint64))
+            low, high = begin - parts.start[text], end - parts.start[text]
+            columns = [anchor.view(np.int64), digests(parts.data, begin, end, found["offset"]).view(np.int64), did, th, (place // PLACE + low) * PLACE + windows]
+            pieces = [data[t][a:b] for t, a, b in zip(text.tolist(), low.tolist(), high.tolist())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(pieces, pa.binary())], names=names)
+
+    return blocks.mapInArrow(divide, "anchor long, block long, did long, th long, place long, data binary")
 
 
 def repeated_strings(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(did, th, place): runs of strings of ``numbered`` rows that also start earlier."""
-    members, firsts, several = classes(rows, Bytes, size, gram)
+    members, firsts = classes(rows, Bytes, size, gram)
     found = members.select("did", "th", "place")
     if not rows.where("th <> 0").isEmpty():  # rows equal in both have one block of each place; th is 0 where no ids are repeated
         rows = rows.dropDuplicates(["did", "th"])
     found = found.union(_index_shards(_blocks(rows, firsts.where(F.col("classes") <= SHARD_BLOCKS), size), size))
-    if not several.where(F.col("classes") > SHARD_BLOCKS).isEmpty():
-        found = found.union(_hashed(_blocks(rows, firsts.where(F.col("classes") > SHARD_BLOCKS), size), size))
+    hot = firsts.where(F.col("classes") > SHARD_BLOCKS)
+    blocks = None if hot.isEmpty() else stored(_blocks(rows, hot, size))
+    while blocks is not None:
+        gram = min(size, 2 * gram)
+        members, firsts = classes_of(stored(_divided(blocks, size, gram)))
+        found = found.union(members.select("did", "th", "place"))
+        shard = ["anchor", "did", "th", "place", "data"]
+        small = F.lit(gram == size) | (F.col("classes") <= SHARD_BLOCKS)
+        found = found.union(_index_shards(firsts.where(small).select(*shard), size))
+        hot = firsts.where(~small).select(*shard)
+        blocks = None if hot.isEmpty() else stored(hot)
     return found
 
 
@@ -225,8 +250,8 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id:
     """One row per document: doc_id, n_bytes, n_removed, spans (removed bytes: start, end), kept_sha256, and the kept bytes if asked for."""
     rows = numbered(docs, text, doc_id)
     found = repeated_strings(rows, size, gram).groupBy("did", "th").agg(F.collect_list("place").alias("places"))
-    joined = rows.join(found, ["did", "th"], "left").select("did", "text", "places")
-    names = ["did", "n_bytes", "n_removed", "spans", "kept_sha256", *(["kept"] if data else [])]
+    joined = rows.join(found, ["did", "th"], "left").select("doc_id", "text", "places")
+    names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", *(["kept"] if data else [])]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +272,8 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id:
             kinds = [pa.int64(), pa.int64(), span, pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
-    schema = "did long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
-    done = joined.mapInArrow(remove, schema + (", kept binary" if data else ""))
-    return done.select(F.when(F.col("did") != LAST_ID, F.col("did")).alias("doc_id"), *names[1:])
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
+    return joined.mapInArrow(remove, schema + (", kept binary" if data else ""))
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import re
 import numpy as np
 import pytest
 
+import sylva.llm.repeats as repeats_module
+from sylva.llm import anchors
 from sylva.llm.anchors import Bytes, Words, winnow
 from sylva.llm.substring_dedup import substring_dedup
 
@@ -55,11 +57,64 @@ def test_every_window_has_one_anchor_that_its_content_fixes(unit):
     seq = unit(texts)
     got = winnow(seq, size, gram)
     seen, by_content = set(), {}
-    hashes = seq.sums.windows(size)
-    for anchor, text, start, n in zip(got["anchor"].tolist(), got["text"].tolist(), got["start"].tolist(), got["windows"].tolist()):
+    units = seq.units.tolist()
+    for anchor, text, begin, n, offset in zip(*(got[k].tolist() for k in ("anchor", "text", "begin", "windows", "offset"))):
+        start = begin - int(seq.start[text])
         for s in range(start, start + n):
             assert (text, s) not in seen
             seen.add((text, s))
-            assert by_content.setdefault(int(hashes[seq.start[text] + s]), anchor) == anchor
+            assert s <= start + offset <= s + size - gram
+            place = int(seq.start[text]) + s
+            assert by_content.setdefault(tuple(units[place : place + size]), (anchor, start + offset - s)) == (anchor, start + offset - s)
     assert seen == {(t, s) for t in range(len(texts)) for s in range(int(seq.end[t] - seq.start[t]) - size + 1)}
     assert np.all(got["windows"] > 0)
+
+
+@pytest.mark.parametrize("unit", [Bytes, Words])
+def test_anchors_do_not_depend_on_what_is_worked_on_together(unit, monkeypatch):
+    rng = random.Random(9)
+    texts = [bytes(rng.choice(b"ab c") for _ in range(rng.choice((0, 5, 30, 200, 3000)))) for _ in range(40)]
+
+    def found(most):
+        out, base = [], 0
+        for a, b in anchors.slices(np.array([len(t) for t in texts]), most):
+            seq = unit(texts[a:b])
+            got = winnow(seq, 20, 6)
+            out += [(a + t, begin - int(seq.start[t]), *rest) for t, begin, *rest in zip(*(got[k].tolist() for k in ("text", "begin", "windows", "offset", "anchor")))]
+        return out
+
+    whole = found(1 << 20)
+    assert len(whole) > 100 and found(1) == found(4000) == whole
+    monkeypatch.setattr(anchors, "CHUNK", 128)
+    assert found(1 << 20) == whole
+
+
+def thue_morse(n, a, b):
+    """Two strings of n characters that hash alike by any polynomial of odd base modulo 2**64."""
+    one = "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+    return one, "".join((b, a)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = thue_morse(2048, "a", "b")
+    rest = prose(random.Random(1), 49)
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{two} {rest}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substring_dedup(docs).collect()) == [(1, 0), (2, 0), (3, 50)]
+
+
+def test_only_compared_words_are_removed(spark, monkeypatch):
+    """Blocks and windows that all hash alike find false partners, none of which is believed."""
+    monkeypatch.setattr(repeats_module, "digests", lambda units, start, end, seed: np.zeros(len(start), np.uint64))
+    rng = random.Random(2)
+    shared = prose(rng, 20)
+    rows = [(k, f"{prose(rng, 30)} {shared} {prose(rng, 30)}") for k in range(6)]
+    assert [r.n_removed for r in substring_dedup(frame(spark, rows)).collect()] == [0] * 6
+
+
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    long, passage = prose(rng, 150_000), " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, f"{long} {passage}"), (2, f"head {passage} tail"), (3, f"other {long}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup(docs, texts=False).collect()}
+    assert got[2].n_removed == 60 and [(s.start, s.end) for s in got[2].spans] == [(1, 61)]
+    assert got[3].n_removed == 150_000 and got[1].n_removed == 0
