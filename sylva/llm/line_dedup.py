@@ -1,28 +1,30 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Lines are compared as sequences of words. A line is removed if an earlier one
-(smaller doc_id, or earlier in the same document) is equal, or lies within one edit:
-one word inserted, deleted or replaced, in lines of ``LEAST_WORDS`` words or more.
-
-Each such line emits its variants within the bound, itself and all that lack one word,
-as hashed keys; lines with equal variants are joined. The join is verified by
-what the variants say: two lines that lack a word at the same place differ by one
-replacement, and one that equals another's variant differs by one insertion; other
-meetings are two edits and don't count. The earliest line of each group stays.
-
-Only lines that can have a partner emit variants. Of two lines within one edit the
-first half or the second is the same in both, so each line first emits the hashes of its halves; halves
-that two different lines share go into a bitmap of bounded size, which lines look up.
-
-A second bitmap, of variants that two different lines have, leaves only those that meet.
-
-Scale. Lines are stored as a row of hashes each; four 16-byte rows for each are shuffled
-first, then the variants of few lines, then the texts, once, for the join with their own removed lines. Groups
+(smaller doc_id, or earlier in the same document) is equal, or lies within the edit bound: one word
+inserted, deleted or replaced where that leaves a similarity of ``SIMILARITY``, that is in
+lines of ``LEAST_WORDS`` words or more. In a shorter line one word is more than a fifth of it, so those must be equal.
+
+Each line emits its variants within the bound, itself and all that lack one word,
+as hashed keys, and lines with equal variants are joined: two lines that lack a word at the same
+place may differ by one replacement, and one that equals another's variant by one insertion. The earliest line of each
+key is the others' candidate, the edit distance of each such pair is verified on its words,
+and a line that has a verified candidate goes.
+
+Only the first of equal lines needs a search, as the others go for being equal. Only
+lines that can have a partner emit variants: of two lines within one edit the
+first half or the second is the same in both, so each line first emits 64-bit hashes of its halves; halves
+that two different lines share go into a bitmap of bounded size, which lines look up. A second
+bitmap, of variants that two lines have, leaves only those that meet. What decides is
+128-bit XXH3 hashes of lines (equality), two hashes modulo a prime (variants) and the words themselves (edits).
+
+Scale. Texts are read twice where they lie. The first scan stores a row of hashes for each line, of which four 16-byte rows are
+shuffled; the second takes out the candidates, whose words are stored once, and all that
+follows works on these. Then the texts are shuffled once, for the join with their own removed lines. Groups
 are reduced to their earliest line with partial aggregation, and joins on hot
 keys may be split.
 
-Defined results: a null text has no lines; lines without words stay; shorter lines
-are removed only if equal; a null doc_id comes after all others; rows equal in doc_id and text
+Defined results: a null text has no lines; lines without words stay; a null doc_id comes after all others; rows equal in doc_id and text
 don't remove from each other; an empty table gives an empty result.
 """
 
@@ -33,36 +35,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Words
-from .repeats import LAST_ID, bitmap, in_bitmap, numbered, sliced, texts_of
-from .rolling import INVERSE, mixed
+from .repeats import bitmap, in_bitmap, numbered, sliced, texts_of
+from .rolling import PRIME_BASES, lacking, mixed
 from .runtime import cut, split_join, stored, table
 
-LEAST_WORDS = 5
+SIMILARITY = 0.8
+LEAST_WORDS = round(1 / (1 - SIMILARITY))
+
+
+def wide_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit XXH3 hashes as two columns of longs."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 class Lines:
-    """The lines that have words: ``start`` and ``end`` in words, ``text``, ``line`` (number in the text), ``hash``."""
+    """The lines that have words: ``start`` and ``end`` in words, ``text``, and ``line`` (number in the text)."""
 
     def __init__(self, texts: list[bytes]):
-        self.words = words = Words(texts)
-        breaks = np.cumsum(words.data == 10)
+        self.texts, self.words = texts, Words(texts)
+        words = self.words
+        feeds = np.flatnonzero(words.data == 10)
+        line = np.searchsorted(feeds, words.first)
         text = np.repeat(np.arange(len(texts)), words.end - words.start)
-        line = breaks[words.first]
         head = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])))) if len(line) else line
         self.start, self.end = head, np.append(head[1:], len(line))[: len(head)]
         self.text = text[head]
-        at = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-        self.line = line[head] - (breaks[at] if len(at) else at)[self.text]
-        self.hash = words.sums.parts(self.start, self.end)
+        self.line = line[head] - np.searchsorted(feeds, words.at[:-1])[self.text]
 
     def take(self, which: np.ndarray) -> None:
-        for name in ("start", "end", "text", "line", "hash"):
+        for name in ("start", "end", "text", "line"):
             setattr(self, name, getattr(self, name)[which])
 
+    def joined(self) -> list[bytes]:
+        """Each line's words, joined by one space."""
+        words = self.words
+        low, high = words.span(self.start, self.end, self.text)
+        # A line whose bytes are its words' and one more between each two, all of them spaces, is that already.
+        filled = np.concatenate(([0], np.cumsum(words.last - words.first)))
+        odd = np.concatenate(([0], np.cumsum((words.data < 32) & (words.data >= 9) & (words.data != 10))))
+        first, last = words.first[self.start], words.last[self.end - 1]
+        plain = (last - first == filled[self.end] - filled[self.start] + self.end - self.start - 1) & (odd[first] == odd[last])
+        rows = zip(self.text.tolist(), low.tolist(), high.tolist(), plain.tolist())
+        return [self.texts[t][a:b] if ok else b" ".join(self.texts[t][a:b].split()) for t, a, b, ok in rows]
+
     def halves(self) -> list[np.ndarray]:
         """Four keys of each line: first and second half, if the shorter of two lines has its words or one fewer."""
         out, sums = [], self.words.sums
@@ -73,17 +94,6 @@ class Lines:
             out.append(mixed(sums.parts(self.end - (n - n // 2), self.end) + code + np.uint64(1)))
         return out
 
-    def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of the line, place of the word that is left out or -1, hash)."""
-        n = self.end - self.start
-        line = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
-        s, sums, down = self.start[line], self.words.sums.sums, self.words.sums.down
-        rest = (sums[s + at] - sums[s]) + (sums[self.end[line]] - sums[s + at + 1]) * np.uint64(INVERSE)
-        hashes = mixed(rest * down[s] + (n[line] - 1).astype(np.uint64))
-        whole = np.arange(len(n))
-        return np.concatenate((whole, line)), np.concatenate((np.full(len(n), -1), at)), np.concatenate((self.hash, hashes))
-
 
 def _scan(rows: DataFrame, schema: str, make) -> DataFrame:
     """Rows that ``make`` gives for the lines of slices of ``numbered`` rows, called with (lines, did, th)."""
@@ -95,65 +105,115 @@ def _scan(rows: DataFrame, schema: str, make) -> DataFrame:
             did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b in sliced(texts):
                 columns = make(Lines(texts[a:b]), did[a:b], th[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if isinstance(c, np.ndarray) else c) for c in columns], names=names)
 
-    return rows.mapInArrow(scan, schema)
+    return rows.select("did", "th", "text").mapInArrow(scan, schema)
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    """(hash, k0..k3, did, th, line): each line with its halves' hashes, 0 for a line that is too short."""
+    """(h1, h2, k0..k3, did, th, line): each line's hash, with its halves' hashes, 0 for a line that is too short."""
 
     def make(lines, did, th):
         long = (lines.end - lines.start >= LEAST_WORDS).astype(np.uint64)
-        return [lines.hash, *(key * long for key in lines.halves()), did[lines.text], th[lines.text], lines.line]
+        return [*wide_hashes(lines.joined()), *(key * long for key in lines.halves()), did[lines.text], th[lines.text], lines.line]
+
+    return _scan(rows, "h1 long, h2 long, k0 long, k1 long, k2 long, k3 long, did long, th long, line long", make)
+
 
-    return _scan(rows, "hash long, k0 long, k1 long, k2 long, k3 long, did long, th long, line long", make)
+OWN = ("did", "th", "line")
 
 
-def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of rows (keys, did, th, line) that agree in ``keys`` all but the earliest.
+def _repeated(keyed: DataFrame) -> DataFrame:
+    """(did, th, line) of all but the first of equal lines.
 
     The smallest did comes first from a hash aggregation; only rows of that very document are compared further.
     """
-    low = rows.groupBy(*keys).agg(F.min("did").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, "low")
-    shared = split_join(rows, low, keys)
-    own = F.struct("th", "line")
-    first = shared.where("did = low").groupBy(*keys).agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, "first")
-    within = split_join(shared.where("did = low"), first, keys).where(own > F.col("first"))
-    return shared.where("did > low").select("did", "th", "line").union(within.select("did", "th", "line"))
-
-
-def _near(rows: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(did, th, line) of lines within one edit of an earlier one."""
-    halves = keyed.where("k0 <> 0").select("hash", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
-    shared = halves.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high")
+    key, own = ["h1", "h2"], F.struct("th", "line")
+    rows = keyed.select(*key, *OWN)
+    low = rows.groupBy(*key).agg(F.min("did").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, "low")
+    shared = split_join(rows, low, key)
+    first = shared.where("did = low").groupBy(*key).agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, "first")
+    within = split_join(shared.where("did = low"), first, key).where(own > F.col("first"))
+    return shared.where("did > low").select(*OWN).union(within.select(*OWN))
+
+
+def _candidates(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(did, th, line, words): the first of equal lines that share a half with a different one."""
+    halves = keyed.where("k0 <> 0").select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
+    shared = halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high")
     partners = rows.sparkSession.sparkContext.broadcast(bitmap(shared, "key"))
 
-    def candidates(lines):
+    def make(lines, did, th):
         lines.take(lines.end - lines.start >= LEAST_WORDS)
         lines.take(np.logical_or.reduce([in_bitmap(partners.value, key) for key in lines.halves()]))
-        return lines.variants()
+        words = lines.joined()
+        return [*wide_hashes(words), did[lines.text], th[lines.text], lines.line, pa.array(words, pa.binary())]
 
-    def emitted(lines, did, th):
-        line, _, hashes = candidates(lines)
-        return hashes, lines.hash[line]
+    found = _scan(rows, "h1 long, h2 long, did long, th long, line long, words binary", make)
+    return stored(found.groupBy("h1", "h2").agg(F.min(F.struct(*OWN, "words")).alias("first")).select("first.*"))
 
-    # Repeats of one line meet in all variants and don't count; the earliest of equal lines stands for them.
-    met = _scan(rows, "variant long, hash long", emitted).groupBy("variant").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high")
-    meeting = rows.sparkSession.sparkContext.broadcast(bitmap(met, "variant"))
 
-    def make(lines, did, th):
-        line, at, hashes = candidates(lines)
-        ok = in_bitmap(meeting.value, hashes)
-        line = line[ok]
-        return hashes[ok], at[ok], did[lines.text[line]], th[lines.text[line]], lines.line[line]
+def variants(lines: list[bytes], base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The variants of lines of ``_candidates``: (number of the line, place of the word that is left out or -1, hash)."""
+    words = Words(lines)
+    return lacking(words.units, words.start, words.end, base)
+
+
+def one_edit(a: bytes, b: bytes) -> bool:
+    """Whether two lines are within one inserted, deleted or replaced word."""
+    short, long = sorted((a.split(b" "), b.split(b" ")), key=len)
+    if len(long) - len(short) > 1 or len(short) < LEAST_WORDS:
+        return False
+    i = 0
+    while i < len(short) and short[i] == long[i]:
+        i += 1
+    return short[i + (len(short) == len(long)) :] == long[i + 1 :]
+
+
+def _near(lines: DataFrame) -> DataFrame:
+    """(did, th, line) of ``_candidates`` within one edit of an earlier one."""
+
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = texts_of(batch.column(0))
+            for a, b in sliced(words):
+                line, _, hashes = variants(words[a:b], PRIME_BASES[0])
+                # A line that lacks either of two equal neighbours gives one variant.
+                pairs = np.unique(np.stack((hashes, line.astype(np.uint64)), axis=1), axis=0)[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64))], names=["variant"])
+
+    met = lines.select("words").mapInArrow(emitted, "variant long").groupBy("variant").count().where("count > 1")
+    meeting = lines.sparkSession.sparkContext.broadcast(bitmap(met, "variant"))
+    names = ["v1", "v2", "lacks", *OWN]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [c.to_numpy() for c in batch.columns[:3]]
+            words = texts_of(batch.column(3))
+            for a, b in sliced(words):
+                line, lacks, hashes = variants(words[a:b], PRIME_BASES[0])
+                ok = in_bitmap(meeting.value, hashes)
+                second = variants(words[a:b], PRIME_BASES[1])[2]
+                columns = [hashes[ok].view(np.int64), second[ok].view(np.int64), lacks[ok], *(c[a:b][line[ok]] for c in own)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    found = cut(lines.select(*OWN, "words").mapInArrow(keyed, ", ".join(f"{n} long" for n in names)))
+    own = F.struct(*OWN)
+    replaced = found.where("lacks >= 0").groupBy("v1", "v2", "lacks").agg(F.min(own).alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    pairs = split_join(found, replaced, ["v1", "v2", "lacks"]).where(own > F.col("other")).select(*OWN, "other")
+    inserted = found.groupBy("v1", "v2").agg(F.min(F.when(F.col("lacks") < 0, own)).alias("short"), F.min(F.when(F.col("lacks") >= 0, own)).alias("long")).where("short is not null and long is not null")
+    longer = split_join(found, inserted, ["v1", "v2"]).select(*OWN, F.when(F.col("lacks") < 0, F.col("long")).otherwise(F.col("short")).alias("other"))
+    pairs = pairs.union(longer.where(own > F.col("other"))).distinct()
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [one_edit(a, b) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(list(OWN))
 
-    variants = cut(_scan(rows, "variant long, lacks long, did long, th long, line long", make))
-    found = _later(variants.where("lacks >= 0"), ["variant", "lacks"])
-    own = F.struct("did", "th", "line")
-    inserted = variants.groupBy("variant").agg(F.min(F.when(F.col("lacks") < 0, own)).alias("short"), F.min(F.when(F.col("lacks") >= 0, own)).alias("long")).where("short is not null and long is not null")
-    other = F.when(F.col("lacks") < 0, F.col("long")).otherwise(F.col("short"))
-    return found.union(split_join(variants, inserted, ["variant"]).where(own > other).select("did", "th", "line"))
+    other = lines.select(*(F.col(c).alias(f"other_{c}") for c in OWN), F.col("words").alias("other_words"))
+    pairs = split_join(pairs.select(*OWN, *(F.col(f"other.{c}").alias(f"other_{c}") for c in OWN)), other, [f"other_{c}" for c in OWN])
+    both = split_join(pairs, lines, list(OWN)).select(*OWN, "words", "other_words")
+    return both.mapInArrow(verified, "did long, th long, line long")
 
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", texts: bool = True) -> DataFrame:
@@ -163,9 +223,9 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", text
     """
     rows = numbered(docs, text, doc_id)
     keyed = stored(_keys(rows))
-    gone = _later(keyed.select("hash", "did", "th", "line"), ["hash"]).union(_near(rows, keyed)).groupBy("did", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    joined = rows.join(gone, ["did", "th"], "left").select("did", "text", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
-    names = ["did", "n_lines", "n_removed", "removed", "kept_sha256", *(["kept"] if texts else [])]
+    gone = _repeated(keyed).union(_near(_candidates(rows, keyed))).groupBy("did", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    joined = rows.join(gone, ["did", "th"], "left").select("doc_id", "text", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
+    names = ["doc_id", "n_lines", "n_removed", "removed", "kept_sha256", *(["kept"] if texts else [])]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +239,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", text
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
-    schema = "did long, n_lines long, n_removed long, removed array<long>, kept_sha256 string"
-    done = joined.mapInArrow(remove, schema + (", kept string" if texts else ""))
-    return done.select(F.when(F.col("did") != LAST_ID, F.col("did")).alias("doc_id"), *names[1:])
+    schema = "doc_id long, n_lines long, n_removed long, removed array<long>, kept_sha256 string"
+    return joined.mapInArrow(remove, schema + (", kept string" if texts else ""))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

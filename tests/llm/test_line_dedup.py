@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+
+import sylva.llm.line_dedup as module
 from sylva.llm.line_dedup import LEAST_WORDS, line_dedup
 
 from .fixtures import corpus, frame, prose
@@ -66,3 +69,52 @@ def test_repeated_rows(spark):
     line = "one two three four five six"
     docs = spark.createDataFrame([(1, line), (1, line), (2, line + " seven"), (2, "other")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in line_dedup(docs).collect()) == [(1, 0), (1, 0), (2, 0), (2, 1)]
+
+
+def thue_morse(n, a, b):
+    one = [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+    return one, [(b, a)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_lines_that_polynomials_confuse(spark):
+    one, two = (" ".join(w) for w in thue_morse(1024, "left", "right"))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, two + " more"), (4, one)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in line_dedup(docs).collect()) == [(1, 0), (2, 0), (3, 1), (4, 1)]
+
+
+def test_edit_distance_is_verified(spark, monkeypatch):
+    """Where all lines' variants hash alike, only true neighbours of the earliest line go."""
+    real = module.lacking
+
+    def confused(units, start, end, base):
+        line, at, hashes = real(units, start, end, base)
+        return line, at, np.zeros_like(hashes)
+
+    monkeypatch.setattr(module, "lacking", confused)
+    lines = [f"{c}1 {c}2 {c}3 {c}4 {c}5 {c}6" for c in "abcdef"]
+    docs = spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "doc_id long, text string")
+    keyed = docs.selectExpr("doc_id did", "0L th", "0L line", "cast(text as binary) words")
+    assert module._near(keyed).count() == 0
+    more = docs.selectExpr("doc_id + 10 did", "0L th", "0L line", "cast(replace(text, 'a3', 'zz') as binary) words").where("did = 10")
+    assert [r.did for r in module._near(keyed.union(more)).collect()] == [10]
+
+
+def test_very_long_lines_and_texts(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(9999)}" for _ in range(6000)]
+    changed = words[:3000] + ["other"] + words[3001:]
+    many = "\n".join(f"line number {k} of a long text" for k in range(4000))
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:50] + changed[52:])), (4, many), (5, "line number 77 of a long text")]
+    got = {r.doc_id: r.n_removed for r in line_dedup(frame(spark, rows), texts=False).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 3999, 5: 1}
+
+
+def test_variants_are_hashes_of_the_words_left():
+    rng = random.Random(1)
+    lines = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 9))).encode() for _ in range(200)]
+    for base in module.PRIME_BASES:
+        by_words, by_hash = {}, {}
+        for line, at, h in zip(*(c.tolist() for c in module.variants(lines, base))):
+            w = lines[line].split()
+            left = tuple(w if at < 0 else w[:at] + w[at + 1 :])
+            assert by_words.setdefault(left, h) == h and by_hash.setdefault(h, left) == left
