@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Words
-from .repeats import bitmap, in_bitmap, numbered, sliced, texts_of
+from .repeats import bitmap, in_bitmap, numbered, own_id, sliced, texts_of
 from .rolling import PRIME_BASES, lacking, mixed
 from .runtime import cut, split_join, stored, table
 
@@ -224,7 +224,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", text
     rows = numbered(docs, text, doc_id)
     keyed = stored(_keys(rows))
     gone = _repeated(keyed).union(_near(_candidates(rows, keyed))).groupBy("did", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    joined = rows.join(gone, ["did", "th"], "left").select("doc_id", "text", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
+    joined = rows.join(gone, ["did", "th"], "left").select(own_id(), "text", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
     names = ["doc_id", "n_lines", "n_removed", "removed", "kept_sha256", *(["kept"] if texts else [])]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,12 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
 from .rolling import digests
-from .runtime import cut, split_join, stored
+from .runtime import split_join, stored
 
 FILTER_BITS = 1 << 27
 SLICE_BYTES = 1 << 18  # so that a slice's arrays stay in a core's cache
@@ -31,15 +31,21 @@ PLACE = 256  # a place is start * PLACE + windows, of at most PLACE - 1 windows
 
 
 def numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(did, th, text, doc_id): the id to order by, nulls last, a hash that tells rows of one id apart, the text, and the id as it was.
+    """(did, th, text): the id to order by, a number that tells rows of one id apart, and the text.
 
-    Where no two rows share an id the hash is 0. Null ids count as the largest long.
+    Null ids come last, as the largest long; they have an odd ``th``, others an even one, which is
+    the rest of a hash of the text where rows share an id.
     """
-    own = F.col(doc_id).cast("long")
-    rows = docs.select(F.coalesce(own, F.lit(LAST_ID)).alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"), own.alias("doc_id"))
-    unique = rows.groupBy("did").count().where("count > 1").isEmpty()
-    th = F.lit(0).cast("long") if unique else F.xxhash64("text", F.col("doc_id").isNull())
-    return rows.select("did", th.alias("th"), "text", "doc_id")
+    rows = docs.select(F.col(doc_id).cast("long").alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    did, none = F.coalesce("own", F.lit(LAST_ID)), F.col("own").isNull().cast("long")
+    unique = rows.groupBy(did.alias("did")).count().where("count > 1").isEmpty()
+    rest = F.lit(0).cast("long") if unique else F.shiftleft(F.xxhash64("text"), 1)
+    return rows.select(did.alias("did"), (rest + none).alias("th"), "text")
+
+
+def own_id() -> Column:
+    """The doc_id of a row of ``numbered``."""
+    return F.when((F.col("did") != LAST_ID) | (F.col("th") % 2 == 0), F.col("did")).alias("doc_id")
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -63,14 +69,14 @@ def anchor_keys(rows: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
     return rows.select("text").mapInArrow(find, "anchor long")
 
 
-def find_anchors(rows: DataFrame, unit: type, size: int, gram: int, passing: np.ndarray, spans: bool) -> DataFrame:
+def find_anchors(rows: DataFrame, unit: type, size: int, gram: int, passing: np.ndarray, leads: bool) -> DataFrame:
     """(anchor, block, did, th, place) of the anchors of ``numbered`` rows that the bitmap passes.
 
-    ``block`` is an XXH64 of the block under its anchor's place in it. With ``spans`` there are also that place
-    (``lead``) and the block's bytes within its text, from ``low`` to ``high``.
+    ``block`` is an XXH64 of the block under its anchor's place in it. With ``leads`` a place has that place
+    too: (start * PLACE + lead) * PLACE + windows.
     """
     shared = rows.sparkSession.sparkContext.broadcast(passing)
-    names = ["anchor", "block", "did", "th", "place", *(["lead", "low", "high"] if spans else [])]
+    names = ["anchor", "block", "did", "th", "place"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,16 +87,42 @@ def find_anchors(rows: DataFrame, unit: type, size: int, gram: int, passing: np.
                 found = anchors.winnow(sequences, size, gram)
                 ok = in_bitmap(shared.value, found["anchor"])
                 anchor, text, begin, windows, lead = (found[k][ok] for k in ("anchor", "text", "begin", "windows", "offset"))
-                end = begin + windows - 1 + size
-                block = digests(sequences.units, begin, end, lead)
-                columns = [anchor.view(np.int64), block.view(np.int64), did[text + a], th[text + a], (begin - sequences.start[text]) * PLACE + windows]
-                if spans:
-                    columns += [lead, *sequences.span(begin, end, text)]
+                block = digests(sequences.units, begin, begin + windows - 1 + size, lead)
+                start = begin - sequences.start[text]
+                place = (start * PLACE + lead if leads else start) * PLACE + windows
+                columns = [anchor.view(np.int64), block.view(np.int64), did[text + a], th[text + a], place]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return rows.select("did", "th", "text").mapInArrow(find, ", ".join(f"{n} long" for n in names))
 
 
+def chosen(rows: DataFrame, documents: DataFrame, listed: bool = True) -> DataFrame:
+    """The ``numbered`` rows whose (did, th) is among ``documents``, and by the bitmap's collisions a few more; or all others.
+
+    This keeps the texts of most documents out of a shuffle. The two choices for one table divide the rows.
+    """
+    key = F.xxhash64("did", "th").alias("key")
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(documents.select(key), "key"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = in_bitmap(shared.value, batch.column(3).to_numpy().view(np.uint64)) == listed
+            yield batch.filter(pa.array(ok)).select(["did", "th", "text"])
+
+    return rows.select("did", "th", "text", key).mapInArrow(choose, "did long, th long, text string")
+
+
+def completed(rows: DataFrame, found: DataFrame, finish) -> DataFrame:
+    """``finish`` of all ``numbered`` rows left-joined with the one row of ``found`` that they have or haven't.
+
+    Only documents that are in ``found``, which must be stored, are shuffled.
+    """
+    more = [c for c in found.columns if c not in ("did", "th")]
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in more]
+    joined = chosen(rows, found).join(found, ["did", "th"], "left").select("did", "th", "text", *more)
+    return finish(joined).union(finish(chosen(rows, found, listed=False).select("did", "th", "text", *none)))
+
+
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """A bit for each value of a long column, by its 27 highest bits, as 64-bit words."""
     word = F.shiftrightunsigned(column, 43)
@@ -106,20 +138,20 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return word >> (keys >> np.uint64(37) & np.uint64(63)) & np.uint64(1) == 1
 
 
-def classes(rows: DataFrame, unit: type, size: int, gram: int, spans: bool = False) -> tuple[DataFrame, DataFrame]:
+def classes(rows: DataFrame, unit: type, size: int, gram: int, leads: bool = False) -> tuple[DataFrame, DataFrame]:
     """Two tables of anchors of ``numbered`` rows, with the columns of ``find_anchors``.
 
-    members: all but the first of each class, with ``first``, that one's (did, th, place and, with spans, low and high);
+    members: all but the first of each class, with ``first``, that one's (did, th, place);
     firsts: the first members of anchors with several classes, with ``classes``, how many these are.
     """
     passing = bitmap(anchor_keys(rows, unit, size, gram).groupBy("anchor").count().where("count > 1"), "anchor")
-    return classes_of(stored(find_anchors(rows, unit, size, gram, passing, spans)))
+    return classes_of(stored(find_anchors(rows, unit, size, gram, passing, leads)))
 
 
 def classes_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``classes`` of the rows of a stored table."""
     more = [c for c in found.columns if c not in ("anchor", "block")]
-    known = cut(found.groupBy("anchor", "block").agg(F.min(F.struct(*more)).alias("first"), F.count(F.lit(1)).alias("n")))
+    known = stored(found.groupBy("anchor", "block").agg(F.min(F.struct(*more)).alias("first"), F.count(F.lit(1)).alias("n")))
     several = known.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     firsts = split_join(known.select("anchor", "block", "first.*"), several, ["anchor"])
     members = split_join(found, known.where("n > 1").select("anchor", "block", "first"), ["anchor", "block"])

@@ -15,9 +15,8 @@ Scale. What is shuffled first is one small row for each anchor that occurs twice
 words); windows are expanded only around anchors that different blocks share. All
 groups are reduced to their smallest doc_id with partial aggregation, so that no
 group is gathered anywhere, and each block or window has one partner; joins on anchors and partners may be split where
-keys are hot. A partner's words travel once for each distinct chain, then with each match, so that what is
-shuffled grows with what is removed. The texts are shuffled for the join with
-their own repeats.
+keys are hot. A partner's words are read once for each distinct chain, then travel with each match, so that what is
+shuffled grows with what is removed. Of the texts only those are shuffled that have windows to expand, words to lend or words to remove.
 
 Defined results: a null text has no words; a null doc_id comes after all others,
 and such rows don't remove from each other, nor do rows that share a doc_id; an
@@ -31,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import Words
-from .repeats import PLACE, classes, numbered, sliced, texts_of
+from .repeats import PLACE, chosen, classes, completed, numbered, own_id, sliced, texts_of
 from .rolling import digests
 from .runtime import split_join, stored, table
 
@@ -43,14 +42,19 @@ SIZE = 50
 GRAM = 14
 
 
-BLOCK = ("did", "th", "place", "lead", "low", "high")
+def begin(place: Column) -> Column:
+    return F.shiftright(place, 16)  # a place is (start * PLACE + lead) * PLACE + windows
+
+
+def lead(place: Column) -> Column:
+    return F.shiftright(place, 8) % PLACE
 
 
 def window_hashes(rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
-    """(anchor, window, and the block): an XXH64 of each window of each of ``blocks``."""
-    listed = blocks.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", *BLOCK[2:])).alias("blocks"))
-    joined = rows.join(listed, ["did", "th"]).select("did", "th", "text", "blocks")
-    names = ["anchor", "window", *BLOCK]
+    """(anchor, window, did, th, place): an XXH64 of each window of each of ``blocks``."""
+    listed = blocks.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "place")).alias("blocks"))
+    joined = chosen(rows, blocks).join(listed, ["did", "th"]).select("did", "th", "text", "blocks")
+    names = ["anchor", "window", "did", "th", "place"]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,62 +64,74 @@ def window_hashes(rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
             entries = [c.to_numpy() for c in batch.column(3).values.flatten()]
             for a, b in sliced(texts):
                 words = Words(texts[a:b])
-                anchor, place, lead, low, high = (c[bounds[a] : bounds[b]] for c in entries)
+                anchor, place = (c[bounds[a] : bounds[b]] for c in entries)
                 text = np.repeat(np.arange(a, b), np.diff(bounds[a : b + 1]))
-                begin, n = np.divmod(place, PLACE)
+                n = place % PLACE
                 each = np.repeat(np.arange(len(n)), n)
-                here = words.start[text - a][each] + begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                here = words.start[text - a][each] + (place // PLACE**2)[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
                 hashes = digests(words.units, here, here + size, np.zeros(len(here), np.int64)).view(np.int64)
-                columns = [anchor[each], hashes, did[text[each]], th[text[each]], *(c[each] for c in (place, lead, low, high))]
+                columns = [anchor[each], hashes, did[text[each]], th[text[each]], place[each]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return joined.mapInArrow(expand, ", ".join(f"{n} long" for n in names))
 
 
 def seeds(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(did, th, shift, partner): blocks of a smaller did that share a window with a document of ``numbered`` rows.
-
-    The document's words stand ``shift`` further than the partner's.
-    """
-    members, firsts = classes(rows, Words, size, gram, spans=True)
-    anchored = F.floor(F.col("place") / PLACE) + F.col("lead")
-    shift = (anchored - F.floor(F.col("partner.place") / PLACE) - F.col("partner.lead")).alias("shift")
-    whole = members.where("did > first.did").withColumnRenamed("first", "partner").select("did", "th", shift, "partner")
+    """(did, th, place, partner): blocks of documents of ``numbered`` rows, and blocks of a smaller did that share a window with them."""
+    members, firsts = classes(rows, Words, size, gram, leads=True)
+    own = ["did", "th", "place"]
+    whole = members.where("did > first.did").withColumnRenamed("first", "partner").select(*own, "partner")
     # Further members within the first's own document are compared like the first.
-    partly = firsts.select("anchor", *BLOCK).union(members.where("did = first.did").select("anchor", *BLOCK))
+    partly = stored(firsts.select("anchor", *own).union(members.where("did = first.did").select("anchor", *own)))
     windows = window_hashes(rows, partly, size)
-    lowest = windows.groupBy("anchor", "window").agg(F.min(F.struct(*BLOCK)).alias("partner"), F.max("did").alias("last")).where("partner.did < last").drop("last")
-    single = split_join(windows, lowest, ["anchor", "window"]).where("did > partner.did").select("did", "th", shift, "partner")
+    lowest = windows.groupBy("anchor", "window").agg(F.min(F.struct(*own)).alias("partner"), F.max("did").alias("last")).where("partner.did < last").drop("last")
+    single = split_join(windows, lowest, ["anchor", "window"]).where("did > partner.did").select(*own, "partner")
     return whole.union(single.distinct())
 
 
 def chains(found: DataFrame, size: int) -> DataFrame:
-    """(did, th, at, partner_did, partner_th, low, high): runs of ``seeds`` with one partner and shift.
+    """(did, th, at, partner_did, partner_th, begin, end): runs of ``seeds`` with one partner and distance.
 
-    The partner's bytes from low to high are compared with the document's words from ``at`` on.
+    The partner's words from begin to end are compared with the document's from ``at`` on.
     """
     partner = [F.col(f"partner.{c}").alias(f"partner_{c}") for c in ("did", "th")]
-    begin = F.floor(F.col("partner.place") / PLACE)
-    spans = found.select("did", "th", "shift", *partner, begin.alias("begin"), (begin + F.col("partner.place") % PLACE - 1 + size).alias("end"), "partner.low", "partner.high")
+    first = begin(F.col("partner.place"))
+    shift = begin(F.col("place")) + lead(F.col("place")) - first - lead(F.col("partner.place"))
+    spans = found.select("did", "th", shift.alias("shift"), *partner, first.alias("begin"), (first + F.col("partner.place") % PLACE - 1 + size).alias("end"))
     key = ["did", "th", "partner_did", "partner_th", "shift"]
-    along = Window.partitionBy(*key).orderBy("begin", "end", "low")
+    along = Window.partitionBy(*key).orderBy("begin", "end")
     reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     cuts = spans.withColumn("new", F.when(F.col("begin") <= reach, 0).otherwise(1)).withColumn("chain", F.sum("new").over(along))
-    return (
-        cuts.groupBy(*key, "chain")
-        .agg(F.min("begin").alias("begin"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .select("did", "th", (F.col("begin") + F.col("shift")).alias("at"), "partner_did", "partner_th", "low", "high")
-    )
+    merged = cuts.groupBy(*key, "chain").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return merged.select("did", "th", (F.col("begin") + F.col("shift")).alias("at"), "partner_did", "partner_th", "begin", "end")
+
+
+def partners(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(partner_did, partner_th, begin, end, words): the words that chains refer to, joined by one space, once for each span."""
+    spans = found.select(F.col("partner_did").alias("did"), F.col("partner_th").alias("th"), "begin", "end").distinct()
+    listed = spans.groupBy("did", "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    names = ["partner_did", "partner_th", "begin", "end", "words"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for did, th, t, spans in zip(*(c.to_pylist() for c in batch.columns[:2]), texts_of(batch.column(2)), batch.column(3).to_pylist()):
+                words = t.split()
+                for at in range(0, len(spans), 1000):
+                    some = spans[at : at + 1000]
+                    columns = [[did] * len(some), [th] * len(some), [s["begin"] for s in some], [s["end"] for s in some]]
+                    texts = [b" ".join(words[s["begin"] : s["end"]]) for s in some]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(texts, pa.binary())], names=names)
+
+    joined = chosen(rows, spans).join(listed, ["did", "th"]).select("did", "th", "text", "spans")
+    read_once = joined.mapInArrow(read, "partner_did long, partner_th long, begin long, end long, words binary")
+    return read_once.dropDuplicates(names[:4]) if not rows.where("th not in (0, 1)").isEmpty() else read_once
 
 
 def matches(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(did, th, matches): per document the chains' places and their partners' words."""
     found = stored(chains(seeds(rows, size, gram), size))
-    key = ["partner_did", "partner_th", "low", "high"]
-    partners = rows.select(F.col("did").alias("partner_did"), F.col("th").alias("partner_th"), F.col("text").cast("binary").alias("text"))
-    words = F.expr("substring(text, cast(low + 1 as int), cast(high - low as int))").alias("words")
-    spans = split_join(partners, found.select(*key).distinct(), key[:2]).select(*key, words).dropDuplicates(key)
-    return split_join(found, spans, key).groupBy("did", "th").agg(F.collect_list(F.struct("at", "words")).alias("matches"))
+    joined = split_join(found, partners(rows, found), ["partner_did", "partner_th", "begin", "end"])
+    return joined.groupBy("did", "th").agg(F.collect_list(F.struct("at", "words")).alias("matches"))
 
 
 def repeats(words: list[bytes], at: int, partner: list[bytes], size: int) -> list[tuple[int, int]]:
@@ -151,16 +167,16 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_i
     The kept text has its words joined by one space.
     """
     rows = numbered(docs, text, doc_id)
-    joined = rows.join(matches(rows, size, gram), ["did", "th"], "left").select("doc_id", "text", "matches")
+    found = matches(rows, size, gram)
     names = ["doc_id", "n_words", "n_removed", "spans", "kept_sha256", *(["kept"] if texts else [])]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, found in zip(texts_of(batch.column(1)), batch.column(2)):
+            for t, own in zip(texts_of(batch.column(1)), batch.column(2)):
                 words = t.split()
-                spans = merged([s for m in found.as_py() or () for s in repeats(words, m["at"], m["words"].split(), size)])
+                spans = merged([s for m in own.as_py() or () for s in repeats(words, m["at"], m["words"].split(), size)])
                 edges = [0, *(x for s in spans for x in s), len(words)]
                 kept = b" ".join([w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]])
                 row = (len(words), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest())
@@ -170,7 +186,7 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
-    return joined.mapInArrow(remove, schema + (", kept string" if texts else ""))
+    return completed(rows, stored(found), lambda df: df.select(own_id(), "text", "matches").mapInArrow(remove, schema + (", kept string" if texts else "")))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ classed and indexed in the same way. The largest gram is the string itself, so t
 
 Scale. First shuffled is a small row for each anchor that occurs twice or
 more (those that don't are filtered by a bitmap of bounded size), then the
-blocks of anchors with several classes, then the texts, once. A task holds a shard at a time, and a shard
+blocks of anchors with several classes. Of the texts only those are shuffled that have blocks to index or bytes to remove. A task holds a shard at a time, and a shard
 at most one anchor of ``SHARD_BLOCKS`` blocks more than ``SHARD_BYTES``.
 
 Defined results: a null text is empty; a null doc_id comes after all others; rows that
@@ -42,14 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Bytes, winnow
-from .repeats import PLACE, classes, classes_of, numbered, texts_of
+from .repeats import PLACE, chosen, classes, classes_of, completed, numbered, own_id, texts_of
 from .rolling import digests
 from .runtime import stored, table
 
 SIZE = 100
 GRAM = 24
 SHARD_BYTES = 1 << 20
-SHARD_BLOCKS = 512
+SHARD_BLOCKS = 4096
 PACK = 7  # symbols of nine bits in one 64-bit value
 
 
@@ -117,14 +117,17 @@ class RunIndex:
         linked = np.flatnonzero(common >= size)
         if not len(linked):
             return linked
-        places = np.union1d(linked, neighbour[linked])
-        ahead = np.arange(len(places))
-        ahead[np.searchsorted(places, linked)] = np.searchsorted(places, neighbour[linked])
-        while len(np.flatnonzero((further := ahead[ahead]) != ahead)):
-            ahead = further
-        first = np.arange(len(places))
-        np.minimum.at(first, ahead, np.arange(len(places)))
-        return places[first[ahead] != np.arange(len(places))]
+        ahead = np.arange(self.length)
+        ahead[linked] = neighbour[linked]
+        walking = linked
+        while len(walking):  # twice as far at each step, to the place that heads the stretch
+            here = ahead[walking]
+            further = ahead[here]
+            ahead[walking] = further
+            walking = walking[further != here]
+        first = np.arange(self.length)
+        np.minimum.at(first, ahead[linked], linked)
+        return np.flatnonzero(first[ahead] != np.arange(self.length))
 
 
 def _common(packs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,7 +151,7 @@ def _common(packs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _blocks(rows: DataFrame, places: DataFrame, size: int) -> DataFrame:
     """(anchor, did, th, place, data): the bytes of the block of each (anchor, did, th, place)."""
     listed = places.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
-    joined = rows.join(listed, ["did", "th"]).select("did", "th", "text", "places")
+    joined = chosen(rows, places).join(listed, ["did", "th"]).select("did", "th", "text", "places")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,8 +231,9 @@ def _divided(blocks: DataFrame, size: int, gram: int) -> DataFrame:
 def repeated_strings(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(did, th, place): runs of strings of ``numbered`` rows that also start earlier."""
     members, firsts = classes(rows, Bytes, size, gram)
+    firsts = stored(firsts)
     found = members.select("did", "th", "place")
-    if not rows.where("th <> 0").isEmpty():  # rows equal in both have one block of each place; th is 0 where no ids are repeated
+    if not rows.where("th not in (0, 1)").isEmpty():  # rows equal in both have one block of each place; th is 0 or 1 where no ids are repeated
         rows = rows.dropDuplicates(["did", "th"])
     found = found.union(_index_shards(_blocks(rows, firsts.where(F.col("classes") <= SHARD_BLOCKS), size), size))
     hot = firsts.where(F.col("classes") > SHARD_BLOCKS)
@@ -237,6 +241,7 @@ def repeated_strings(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> Dat
     while blocks is not None:
         gram = min(size, 2 * gram)
         members, firsts = classes_of(stored(_divided(blocks, size, gram)))
+        firsts = stored(firsts)
         found = found.union(members.select("did", "th", "place"))
         shard = ["anchor", "did", "th", "place", "data"]
         small = F.lit(gram == size) | (F.col("classes") <= SHARD_BLOCKS)
@@ -250,7 +255,6 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id:
     """One row per document: doc_id, n_bytes, n_removed, spans (removed bytes: start, end), kept_sha256, and the kept bytes if asked for."""
     rows = numbered(docs, text, doc_id)
     found = repeated_strings(rows, size, gram).groupBy("did", "th").agg(F.collect_list("place").alias("places"))
-    joined = rows.join(found, ["did", "th"], "left").select("doc_id", "text", "places")
     names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", *(["kept"] if data else [])]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -273,7 +277,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
-    return joined.mapInArrow(remove, schema + (", kept binary" if data else ""))
+    return completed(rows, stored(found), lambda df: df.select(own_id(), "text", "places").mapInArrow(remove, schema + (", kept binary" if data else "")))
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -118,3 +118,9 @@ def test_very_long_text(spark):
     got = {r.doc_id: r for r in substring_dedup(docs, texts=False).collect()}
     assert got[2].n_removed == 60 and [(s.start, s.end) for s in got[2].spans] == [(1, 61)]
     assert got[3].n_removed == 150_000 and got[1].n_removed == 0
+
+
+def test_the_largest_id_and_null_ids(spark):
+    text = prose(random.Random(3), 80)
+    docs = spark.createDataFrame([(1, text), (2**63 - 1, text), (None, text + " more")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(docs).collect()} == {1: 0, 2**63 - 1: 80, None: 80}
