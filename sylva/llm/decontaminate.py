@@ -21,6 +21,7 @@ an empty result.
 from __future__ import annotations
 
 import pickle
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -38,6 +39,9 @@ SHARD_WORDS = 500_000
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
+WORD = re.compile(rb"[^ \t-\r]+")
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
@@ -236,14 +240,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     return rows.mapInArrow(scan, f"doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, unchanged, with all columns."""
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without the bytes from the first to the last word of each span of words."""
+    at = [m.span() for m in WORD.finditer(text.translate(FOLD))]
+    edges = [0, *(x for a, b in spans for x in (at[a][0], at[b - 1][1])), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", remove: str = "documents") -> DataFrame:
+    """``docs`` with all columns, without contaminated rows, or with ``remove="spans"`` without the words that are hit in these.
+
+    Rows that aren't contaminated stay unchanged.
+    """
     find, at = _finder(docs, benchmark), docs.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in find(batches, at):
             hit = [(sum(b - a for a, b in spans), n) for n, spans, _ in found]
-            yield batch.filter(pa.array([not (h and COVERAGE * h >= n) for h, n in hit], pa.bool_()))
+            gone = [h > 0 and COVERAGE * h >= n for h, n in hit]
+            if remove == "documents":
+                yield batch.filter(pa.array([not g for g in gone], pa.bool_()))
+                continue
+            texts = [_without(t.encode(), spans).decode() if g else t for g, t, (_, spans, _) in zip(gone, batch.column(at).to_pylist(), found)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     return docs.mapInArrow(clean, docs.schema)
 

@@ -36,6 +36,7 @@ from .runtime import table
 
 SAMPLE_DOCS = 120
 SAMPLE_WORDS = 240
+SAMPLE_CHARS = 1 << 14  # of those words together
 CHAIN = 64
 BUCKETS = 1 << 16
 ROUNDS = 40
@@ -226,10 +227,15 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.where(F.col("text").isNotNull()).select("id", "lang", F.row_number().over(by_hash).alias("n")).where(F.col("n") <= SAMPLE_DOCS)
-    # At most SAMPLE_DOCS ids of each language are broadcast, and as many texts collected.
-    texts = rows.join(F.broadcast(chosen.select("id", "lang", "n")), ["id", "lang"]).select("lang", "n", "text")
-    sample = sorted((r.lang, r.n, r.text) for r in texts.dropDuplicates(["lang", "n"]).collect())
+    ids = rows.where(F.col("text").isNotNull()).select("id", "lang").distinct()
+    chosen = ids.select("id", "lang", F.row_number().over(by_hash).alias("n")).where(F.col("n") <= SAMPLE_DOCS)
+    # At most SAMPLE_DOCS ids of each language are broadcast, and of each at most SAMPLE_WORDS words collected; of rows
+    # that share an id the least text counts.
+    texts = rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
+    words = F.split(F.trim("text"), r"\s+")
+    middle = F.slice(words, F.greatest(F.lit(0), F.floor((F.size(words) - SAMPLE_WORDS) / 2)).cast("int") + 1, SAMPLE_WORDS)
+    short = texts.select("lang", "n", F.substring(F.array_join(middle, " "), 1, SAMPLE_CHARS).alias("text"))
+    sample = sorted((r.lang, r.n, r.text) for r in short.collect())
     return fit([(t, lang) for lang, _, t in sample if any(c.isalpha() for c in t)])
 
 

@@ -5,9 +5,10 @@ document and its tokens, a delete takes them away, a revision takes the old coun
 the new. A batch of changes is rolled up and committed under its id; committing an id
 again changes nothing. Totals are the sum over committed batches.
 
-A store is a folder on any file system that Spark writes. A batch is written to a staging
+A store is a folder on a file system that Spark writes. A batch is written to a staging
 folder and then renamed to ``batch=<id>``, and a rename to a name that exists fails, so of two attempts
-one counts. ``compact`` folds batches into one that lists their ids; reading
+one counts; this needs a file system whose rename is atomic, as HDFS has and most object stores have not, where
+one committer at a time must be seen to. ``compact`` folds batches into one that lists their ids; reading
 ignores batches that a compacted one covers.
 
 Scale. Texts are read once, where they lie; each task sums its own deltas
@@ -153,12 +154,26 @@ class TotalsStore:
                     self.files.delete(self.path(f"{self.folder}/batch={b}"), True)
 
 
+def provisional(docs: DataFrame, tokenizers: dict[str, str] | None = None, text: str = "text") -> DataFrame:
+    """``counted``'s rows with counts by rule of thumb, a token for every four bytes, before any tokenizer has run."""
+    n = F.floor(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long")
+    version = F.explode(F.array(*map(F.lit, sorted(tokenizers or TOKENIZERS))))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), version.alias("tokenizer"), n.alias("n_tokens"))
+
+
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Totals over all documents after a batch for each tokenizer version, each delivered twice, and a revision of all counts."""
+    """Totals over all documents.
+
+    A batch for each tokenizer version inserts provisional counts; another revises every count to the tokenizer's, and a draft
+    version of all documents is inserted and deleted again. Each batch is delivered twice.
+    """
     store = TotalsStore(spark, f"{shared_folder(spark)}/token-totals-{uuid.uuid4().hex}")
-    counts = cut(counted(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")))
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    early, counts = cut(provisional(docs)), cut(counted(docs))
+    draft = early.withColumn("tokenizer", F.lit("draft"))
+    batches = {f"load-{v}": inserts(early.where(F.col("tokenizer") == v)) for v in TOKENIZERS}
+    batches |= {"draft": inserts(draft), "recount": revisions(early, counts), "no-draft": deletes(draft)}
     for _ in range(2):
-        for version in TOKENIZERS:
-            store.commit(f"load-{version}", inserts(counts.where(F.col("tokenizer") == version)))
-    store.commit("recount", revisions(counts, counts))
+        for batch, deltas in batches.items():
+            store.commit(batch, deltas)
     return store.totals()

@@ -67,3 +67,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, none).count() == docs.count()
     assert contamination(docs.limit(0), none).count() == 0
+
+
+def test_spans_are_removed(spark):
+    item = " ".join(f"Word{k}" for k in range(15))
+    docs = spark.createDataFrame([(1, f"Before, {item}; after é."), (2, "clean text"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item.lower())], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate(docs, items, remove="spans").collect()}
+    assert got == {1: "Before, ; after é.", 2: "clean text", 3: None}
