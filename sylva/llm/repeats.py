@@ -13,7 +13,7 @@ is all that is broadcast; what passes it wrongly falls out later.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,31 +96,43 @@ def find_anchors(rows: DataFrame, unit: type, size: int, gram: int, passing: np.
     return rows.select("did", "th", "text").mapInArrow(find, ", ".join(f"{n} long" for n in names))
 
 
-def chosen(rows: DataFrame, documents: DataFrame, listed: bool = True) -> DataFrame:
-    """The ``numbered`` rows whose (did, th) is among ``documents``, and by the bitmap's collisions a few more; or all others.
+def chosen(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """The ``numbered`` rows whose (did, th) is among ``documents``, and by the bitmap's collisions a few more.
 
-    This keeps the texts of most documents out of a shuffle. The two choices for one table divide the rows.
+    This keeps the texts of other documents out of a shuffle.
     """
     key = F.xxhash64("did", "th").alias("key")
     shared = rows.sparkSession.sparkContext.broadcast(bitmap(documents.select(key), "key"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = in_bitmap(shared.value, batch.column(3).to_numpy().view(np.uint64)) == listed
+            ok = in_bitmap(shared.value, batch.column(3).to_numpy().view(np.uint64))
             yield batch.filter(pa.array(ok)).select(["did", "th", "text"])
 
     return rows.select("did", "th", "text", key).mapInArrow(choose, "did long, th long, text string")
 
 
-def completed(rows: DataFrame, found: DataFrame, finish) -> DataFrame:
-    """``finish`` of all ``numbered`` rows left-joined with the one row of ``found`` that they have or haven't.
+def completed(rows: DataFrame, found: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """``finish`` of batches of (doc_id, text, and the column of ``found``, null if a document isn't in it).
 
-    Only documents that are in ``found``, which must be stored, are shuffled.
+    ``found`` has one row for each (did, th) that it lists and must be stored. Only those documents are shuffled;
+    the others are finished where they are read.
     """
-    more = [c for c in found.columns if c not in ("did", "th")]
-    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in more]
-    joined = chosen(rows, found).join(found, ["did", "th"], "left").select("did", "th", "text", *more)
-    return finish(joined).union(finish(chosen(rows, found, listed=False).select("did", "th", "text", *none)))
+    (more,) = (f for f in found.schema.fields if f.name not in ("did", "th"))
+    key = F.xxhash64("did", "th").alias("key")
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(found.select(key), "key"))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def others() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok = ~in_bitmap(shared.value, batch.column(3).to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(ok)).select([0, 1, 2])
+
+        return finish(others())
+
+    joined = chosen(rows, found).join(found, ["did", "th"], "left").select(own_id(), "text", more.name).mapInArrow(finish, schema)
+    none = F.lit(None).cast(more.dataType).alias(more.name)
+    return joined.union(rows.select(own_id(), "text", none, key).mapInArrow(rest, schema))
 
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import Words
-from .repeats import PLACE, chosen, classes, completed, numbered, own_id, sliced, texts_of
+from .repeats import PLACE, chosen, classes, completed, numbered, sliced, texts_of
 from .rolling import digests
 from .runtime import split_join, stored, table
 
@@ -186,7 +186,7 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
-    return completed(rows, stored(found), lambda df: df.select(own_id(), "text", "matches").mapInArrow(remove, schema + (", kept string" if texts else "")))
+    return completed(rows, stored(found), remove, schema + (", kept string" if texts else ""))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ classed and indexed in the same way. The largest gram is the string itself, so t
 
 Scale. First shuffled is a small row for each anchor that occurs twice or
 more (those that don't are filtered by a bitmap of bounded size), then the
-blocks of anchors with several classes. Of the texts only those are shuffled that have blocks to index or bytes to remove. A task holds a shard at a time, and a shard
+blocks of anchors with several classes. Of the texts only those are shuffled that have bytes to remove. A task holds a shard at a time, and a shard
 at most one anchor of ``SHARD_BLOCKS`` blocks more than ``SHARD_BYTES``.
 
 Defined results: a null text is empty; a null doc_id comes after all others; rows that
@@ -42,8 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Bytes, winnow
-from .repeats import PLACE, chosen, classes, classes_of, completed, numbered, own_id, texts_of
-from .rolling import digests
+from .repeats import PLACE, bitmap, classes, classes_of, completed, in_bitmap, numbered, sliced, texts_of
+from .rolling import digests, mixed
 from .runtime import stored, table
 
 SIZE = 100
@@ -148,22 +148,42 @@ def _common(packs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(rows: DataFrame, places: DataFrame, size: int) -> DataFrame:
-    """(anchor, did, th, place, data): the bytes of the block of each (anchor, did, th, place)."""
-    listed = places.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
-    joined = chosen(rows, places).join(listed, ["did", "th"]).select("did", "th", "text", "places")
+def _block_keys(anchor: np.ndarray, did: np.ndarray, th: np.ndarray, place: np.ndarray) -> np.ndarray:
+    out = anchor.view(np.uint64)
+    for column in (did, th, place):
+        out = mixed(out + column.view(np.uint64))
+    return out
+
+
+def _blocks(rows: DataFrame, places: DataFrame, size: int, gram: int) -> DataFrame:
+    """(anchor, did, th, place, data): the blocks of ``places``, and by a bitmap's collisions a few others that equal some of them.
+
+    They are read where the texts lie: a bitmap of bounded size says which of a text's blocks are asked for.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_block_keys(*(c.to_numpy() for c in batch.columns)).view(np.int64))], names=["key"])
+
+    keys = places.select("anchor", "did", "th", "place").mapInArrow(hashed, "key long")
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(keys, "key"))
+    names = ["anchor", "did", "th", "place", "data"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, listed = texts_of(batch.column(2)), batch.column(3)
-            anchor, place = (c for c in listed.flatten().flatten())
-            text = np.repeat(np.arange(len(texts)), np.diff(listed.offsets.to_numpy()))
-            begin, n = np.divmod(place.to_numpy(), PLACE)
-            data = [texts[t][a:b] for t, a, b in zip(text.tolist(), begin.tolist(), (begin + n - 1 + size).tolist())]
-            which = pa.array(text)
-            yield pa.RecordBatch.from_arrays([anchor, batch.column(0).take(which), batch.column(1).take(which), place, pa.array(data, pa.binary())], names=["anchor", "did", "th", "place", "data"])
+            texts = texts_of(batch.column(2))
+            did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b in sliced(texts):
+                parts = Bytes(texts[a:b])
+                found = winnow(parts, size, gram)
+                text, start = found["text"], found["begin"] - parts.start[found["text"]]
+                columns = [found["anchor"].view(np.int64), did[text + a], th[text + a], start * PLACE + found["windows"]]
+                ok = np.flatnonzero(in_bitmap(shared.value, _block_keys(*columns)))
+                end = start + found["windows"] - 1 + size
+                data = [texts[a + t][i:j] for t, i, j in zip(text[ok].tolist(), start[ok].tolist(), end[ok].tolist())]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[ok]) for c in columns), pa.array(data, pa.binary())], names=names)
 
-    return joined.mapInArrow(read, "anchor long, did long, th long, place long, data binary")
+    return rows.select("did", "th", "text").mapInArrow(read, "anchor long, did long, th long, place long, data binary")
 
 
 def _marked(did: np.ndarray, th: np.ndarray, place: np.ndarray, data: list[bytes], size: int) -> pa.RecordBatch:
@@ -235,9 +255,9 @@ def repeated_strings(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> Dat
     found = members.select("did", "th", "place")
     if not rows.where("th not in (0, 1)").isEmpty():  # rows equal in both have one block of each place; th is 0 or 1 where no ids are repeated
         rows = rows.dropDuplicates(["did", "th"])
-    found = found.union(_index_shards(_blocks(rows, firsts.where(F.col("classes") <= SHARD_BLOCKS), size), size))
+    found = found.union(_index_shards(_blocks(rows, firsts.where(F.col("classes") <= SHARD_BLOCKS), size, gram), size))
     hot = firsts.where(F.col("classes") > SHARD_BLOCKS)
-    blocks = None if hot.isEmpty() else stored(_blocks(rows, hot, size))
+    blocks = None if hot.isEmpty() else stored(_blocks(rows, hot, size, gram))
     while blocks is not None:
         gram = min(size, 2 * gram)
         members, firsts = classes_of(stored(_divided(blocks, size, gram)))
@@ -277,7 +297,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
-    return completed(rows, stored(found), lambda df: df.select(own_id(), "text", "places").mapInArrow(remove, schema + (", kept binary" if data else "")))
+    return completed(rows, stored(found), remove, schema + (", kept binary" if data else ""))
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
