@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .rolling import Sums, byte_values, digests, word_hashes
+from .rolling import Sums, byte_values, mixed, word_hashes
 
 #: ASCII white space.
 WHITE = np.zeros(256, bool)
@@ -95,7 +95,7 @@ def _least(sums: Sums, gram: int, wide: int) -> tuple[np.ndarray, np.ndarray, np
 def winnow(sequences: Bytes | Words, size: int, gram: int) -> dict[str, np.ndarray]:
     """The anchors of all windows, by text and place.
 
-    anchor: the k-gram's hash; text: number of the text; begin: the block's first unit
+    anchor: the k-gram's hash, mixed; text: number of the text; begin: the block's first unit
     within ``sequences``; windows: number of windows; offset: the anchor's place in the block.
     """
     start, end = sequences.start, sequences.end
@@ -111,4 +111,5 @@ def winnow(sequences: Bytes | Words, size: int, gram: int) -> dict[str, np.ndarr
     inside = begin + size <= np.append(end, 0)[text]
     windows = np.diff(np.append(begin, begin[-1] + 1))[inside]
     begin, which = begin[inside], which[inside]
-    return {"anchor": anchor[which], "text": text[inside], "begin": begin, "windows": windows, "offset": place[which] - begin}
+    # The least of many hashes are small numbers; mixed anew they are spread over all bits, as a bitmap by the highest ones needs.
+    return {"anchor": mixed(anchor[which]), "text": text[inside], "begin": begin, "windows": windows, "offset": place[which] - begin}
