@@ -38,7 +38,7 @@ for _name, _k in (("louvain", None), ("leiden", None), ("infomap", None), ("spec
 
 @query("se_louvain")
 def se_louvain(spark, sf_dir):
-    """Best of eight starts, each a task, on the customer-supplier graph."""
+    """Best of four starts, each a task, on the customer-supplier graph (the operator's default is eight)."""
     edges = search.cut(T.customer_supplier(spark, sf_dir))
     return _scored(edges, search.se_louvain(edges, starts=4))
 
