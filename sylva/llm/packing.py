@@ -1,4 +1,4 @@
-"""Bulk-synchronous best-fit packing of tokenised documents.
+"""Best-fit packing of tokenised documents: distributed ranking and placing, sizes matched on the driver.
 
 A document is its token ids and a closing id 0. One longer than ``CAPACITY``
 is cut into pieces of ``CAPACITY`` tokens, the first of which may be shorter.
@@ -6,8 +6,8 @@ Pieces are packed, largest first, each into the sequence with the smallest gap
 that holds it.
 
 Pieces are range-sorted by length. Sizes are whole numbers up to ``CAPACITY``,
-so equal pieces and equal gaps form runs, and a superstep matches runs, not
-rows: it sweeps from the largest size down, takes the successor gap, the
+so equal pieces and equal gaps form runs, and one loop on the driver matches runs,
+not rows: it sweeps from the largest size down, takes the successor gap, the
 smallest that fits, gives the run's pieces by rank to the gap's sequences by
 rank, and moves those sequences to their new gap; the next size starts from
 the updated gaps. Piece ranks come from the sorted partitions: counts by
