@@ -1,7 +1,7 @@
 """Partition and tree search on DataFrames.
 
 Two tiers. A graph of up to ``KERNEL_EDGES`` edges goes to one task, which runs a
-sequential kernel; many graphs, seeds and starts run side by side, each a group. A larger
+sequential kernel, and a larger one given to a kernel is refused; many graphs, seeds and starts run side by side, each a group. A larger
 graph is searched in synchronous rounds: all vertices' best moves in one query, of which those from
 one half of the communities to the other are made, so that two neighbours can't swap.
 A round counts only if H2, computed anew, falls; else half of its movers try again.
@@ -42,6 +42,14 @@ def vertices_of(edges: DataFrame) -> DataFrame:
     return edges.select(GID, F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
+def checked(edges: DataFrame) -> DataFrame:
+    """``edges``, if each graph is small enough for one task; else a ValueError that names one that isn't."""
+    large = edges.groupBy(GID).count().where(F.col("count") > KERNEL_EDGES).first()
+    if large is not None:
+        raise ValueError(f"graph {large[GID]!r} has {large['count']} edges, over {KERNEL_EDGES} for one task; distributed_search takes it")
+    return edges
+
+
 def per_graph(edges: DataFrame, fn: Callable[[P.Net, int], list[int]], vertices: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """(graph_id, id, c): ``fn(net, seed)`` on each graph, a task for each."""
     vertices = vertices_of(edges) if vertices is None else vertices
@@ -51,14 +59,14 @@ def per_graph(edges: DataFrame, fn: Callable[[P.Net, int], list[int]], vertices:
         net, ids = net_of(e, v)
         return pd.DataFrame({GID: key[0], "id": ids, "c": fn(net, seed)})
 
-    return edges.groupBy(GID).cogroup(renewed(vertices).groupBy(GID)).applyInPandas(run, f"{GID} string, id {kind}, c long")
+    return checked(edges).groupBy(GID).cogroup(renewed(vertices).groupBy(GID)).applyInPandas(run, f"{GID} string, id {kind}, c long")
 
 
 def multistart(edges: DataFrame, fn: Callable[[P.Net, int], tuple[list[int], float]], vertices: DataFrame | None = None, seed: int = 0, starts: int = 8) -> DataFrame:
     """(graph_id, id, c, value): the labels of least value over ``starts`` runs, each a task of its own."""
     vertices = vertices_of(edges) if vertices is None else vertices
     numbers = F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start")
-    e, v = edges.select("*", numbers), vertices.select("*", numbers)
+    e, v = checked(edges).select("*", numbers), vertices.select("*", numbers)
     kind = edges.schema["src"].dataType.simpleString()
 
     def run(key, e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
@@ -75,7 +83,7 @@ def se_louvain(edges: DataFrame, vertices: DataFrame | None = None, k: int | Non
     """(graph_id, id, c): the partition of least H2 found; merged down if it has more than k modules."""
 
     def one(net: P.Net, s: int) -> tuple[list[int], float]:
-        labels = P.polished(net, P.multilevel(net, "entropy", s), seed=s, rounds=2)
+        labels = P.polished(net, P.multilevel(net, "entropy", s), seed=s)
         return labels, P.Partition(net, labels).value()
 
     best = multistart(edges, one, vertices, seed, starts).select(GID, "id", "c")
@@ -110,7 +118,7 @@ def dendrogram(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
         out = pd.DataFrame(merges, columns=["left", "right", "height", "size"])
         return out.assign(**{GID: key[0], "step": range(len(out))})[[GID, "step", "left", "right", "height", "size"]]
 
-    return edges.groupBy(GID).cogroup(renewed(vertices).groupBy(GID)).applyInPandas(run, f"{GID} string, step int, left long, right long, height double, size long")
+    return checked(edges).groupBy(GID).cogroup(renewed(vertices).groupBy(GID)).applyInPandas(run, f"{GID} string, step int, left long, right long, height double, size long")
 
 
 def tree_rows(tree: K.Tree, ids: list, gid: str) -> pd.DataFrame:
@@ -133,7 +141,7 @@ def encoding_trees(edges: DataFrame, vertices: DataFrame | None = None, seed: in
         net, ids = net_of(e, v)
         return tree_rows(build(net), ids, key[0])
 
-    return edges.groupBy(GID).cogroup(renewed(vertices).groupBy(GID)).applyInPandas(run, f"{GID} string, node string, parent string, depth int, vertex long")
+    return checked(edges).groupBy(GID).cogroup(renewed(vertices).groupBy(GID)).applyInPandas(run, f"{GID} string, node string, parent string, depth int, vertex long")
 
 
 # --- large graphs ---

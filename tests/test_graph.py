@@ -171,6 +171,19 @@ def test_hops_of_a_long_path(spark):
     assert {r.id: r.hops for r in found.collect()} == {i: i for i in range(80)}
 
 
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([("path", i, i + 1, 1.0) for i in range(999)], f"{GID} string, src long, dst long, w double")
+    assert {r.id: r.c for r in search.connected(edges).collect()} == dict.fromkeys(range(1000), 0)
+
+
+def test_kernels_refuse_graphs_too_large_for_a_task(spark, monkeypatch):
+    edges, _ = S.karate(spark)
+    monkeypatch.setattr(search, "KERNEL_EDGES", 77)
+    for run in (search.se_louvain, search.dendrogram, search.encoding_trees, lambda e: registry.get("louvain").fit_predict(e)):
+        with pytest.raises(ValueError, match="77"):
+            run(edges)
+
+
 def test_search_and_report(spark):
     edges, vertices = S.sbm(spark, 90, 3, 0.4, 0.03, seed=1)
     labels = search.cut(search.optimise(edges, vertices, starts=2))
