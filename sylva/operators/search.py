@@ -147,6 +147,12 @@ def encoding_trees(edges: DataFrame, vertices: DataFrame | None = None, seed: in
 # --- large graphs ---
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` stored, without the size estimate that a checkpoint keeps: joined with itself again and again, its digits double each time."""
+    df = cut(df)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), df.sparkSession)
+
+
 def _round(edges: DataFrame, labels: DataFrame, number: int, before: float, tries: int = 7) -> tuple[DataFrame, float]:
     """One synchronous round: (labels, sum of H2 over graphs) after it, or as before if no half of the movers helps."""
     side = lambda c, salt: F.pmod(F.xxhash64(F.lit(number), F.lit(salt), c), F.lit(2))
@@ -154,12 +160,12 @@ def _round(edges: DataFrame, labels: DataFrame, number: int, before: float, trie
     fresh = F.col("b") == moves.FRESH
     ok = (side(F.col("a"), "c") == 0) & (fresh | (side(F.col("b"), "c") == 1))
     to = F.when(fresh, F.xxhash64(F.lit(number), "id")).otherwise(F.col("b"))
-    movers = cut(found.where(ok).select(GID, "id", to.alias("to")))
+    movers = plain(found.where(ok).select(GID, "id", to.alias("to")))
     if movers.isEmpty():
         return labels, before
     for t in range(tries):
         made = movers if not t else movers.where(F.pmod(F.xxhash64(F.lit(number), F.lit("half"), "id"), F.lit(2**t)) == 0)
-        after = cut(labels.join(made, [GID, "id"], "left").select(GID, "id", F.coalesce("to", "c").alias("c")))
+        after = plain(labels.join(made, [GID, "id"], "left").select(GID, "id", F.coalesce("to", "c").alias("c")))
         value = two_dimensional(edges, after).agg(F.sum("h2")).first()[0]
         if value < before - 1e-12:
             return after, value
@@ -168,9 +174,9 @@ def _round(edges: DataFrame, labels: DataFrame, number: int, before: float, trie
 
 def distributed_search(edges: DataFrame, labels: DataFrame | None = None, rounds: int = 8, levels: int = 5) -> DataFrame:
     """(graph_id, id, c) by synchronous rounds and contraction, for graphs of any size."""
-    edges = cut(edges)
+    edges = plain(edges)
     labels = vertices_of(edges).select(GID, "id", F.col("id").cast("long").alias("c")) if labels is None else labels
-    labels = cut(labels)
+    labels = plain(labels)
     level, upper = labels, edges
     for _ in range(levels):
         value = two_dimensional(upper, level).agg(F.sum("h2")).first()[0]
@@ -181,12 +187,12 @@ def distributed_search(edges: DataFrame, labels: DataFrame | None = None, rounds
             if idle == 2:
                 break
         joined = labels.withColumnRenamed("c", "old").join(level.select(GID, F.col("id").alias("old"), "c"), [GID, "old"]) if upper is not edges else level
-        labels = cut(joined.select(GID, "id", "c"))
-        smaller = cut(contracted(upper, level))
+        labels = plain(joined.select(GID, "id", "c"))
+        smaller = plain(contracted(upper, level))
         if smaller.count() == upper.count():
             break
         upper = smaller
-        level = cut(vertices_of(upper).select(GID, "id", F.col("id").alias("c")))
+        level = plain(vertices_of(upper).select(GID, "id", F.col("id").alias("c")))
     return labels
 
 
@@ -201,12 +207,6 @@ def optimise(edges: DataFrame, vertices: DataFrame | None = None, seed: int = 0,
     return se_louvain(small, few, seed=seed, starts=starts).union(distributed_search(edges.join(large, GID, "left_semi")))
 
 
-def plain(df: DataFrame) -> DataFrame:
-    """``df`` stored, without the size estimate that a checkpoint keeps: joined with itself again and again, its digits double each time."""
-    df = cut(df)
-    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), df.sparkSession)
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """(graph_id, id, c): the smallest id of each vertex's connected component.
 

@@ -191,7 +191,7 @@ def test_search_and_report(spark):
     # the optimum may split blocks further, but isn't worse than they are
     assert scores.two_dimensional(edges, labels).first().h2 <= scores.two_dimensional(edges, truth).first().h2 + 1e-9
     before = scores.two_dimensional(edges, truth.withColumn("c", F.col("id"))).first().h2
-    rounds = search.distributed_search(edges, rounds=2, levels=1)
+    rounds = search.distributed_search(edges, rounds=2, levels=3)
     assert scores.two_dimensional(edges, rounds).first().h2 < before
     row = facade.report(S.karate(spark)[0]).first()
     assert (row.n, row.m, row.se_1d, row.se_tree_optimal) == (34, 78, 4.634008, 2.485631)
