@@ -4,12 +4,14 @@ Two tiers. A graph of up to ``KERNEL_EDGES`` edges goes to one task, which runs
 sequential kernel, and a larger one given to a kernel is refused; many graphs, seeds and starts run side by side, each a group. A larger
 graph is searched in synchronous rounds: all vertices' best moves in one query, of which those from
 one half of the communities to the other are made, so that two neighbours can't swap.
-A round counts only if H2, computed anew, falls; else half of its movers try again.
+A round counts for a graph only if its H2, computed anew, falls; else half of its movers try again.
+Contracted graphs that are small end in a kernel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,12 +19,15 @@ from pyspark.sql import functions as F
 
 from . import moves
 from .checkpoints import cut
-from .graph import GID, canonical, contracted, first_seen
+from .graph import GID, canonical, contracted, degrees, first_seen
 from .kernels import partition as P
 from .kernels import trees as K
 from .scores import two_dimensional
 
 KERNEL_EDGES = 2_000_000
+#: Edges of a contracted graph that a large graph's search may end with in one task, and graphs whose rows of one each may be broadcast.
+FINISH_EDGES = 200_000
+MOST_GRAPHS = 100_000
 
 
 def renewed(df: DataFrame) -> DataFrame:
@@ -153,49 +158,76 @@ def plain(df: DataFrame) -> DataFrame:
     return DataFrame(df.sparkSession._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), df.sparkSession)
 
 
-def _round(edges: DataFrame, labels: DataFrame, number: int, before: float, tries: int = 7) -> tuple[DataFrame, float]:
-    """One synchronous round: (labels, sum of H2 over graphs) after it, or as before if no half of the movers helps."""
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` of one for each graph, to be sent to all tasks if they are few: joined by a shuffle, a graph's rows would meet in one task."""
+    return F.broadcast(rows) if rows.count() <= MOST_GRAPHS else rows
+
+
+def _round(edges: DataFrame, labels: DataFrame, degree: DataFrame, number: int, before: DataFrame, tries: int = 7) -> tuple[DataFrame, DataFrame]:
+    """One synchronous round: labels and (graph_id, h2) after it; a graph that no half of its movers helps stays as it was."""
     side = lambda c, salt: F.pmod(F.xxhash64(F.lit(number), F.lit(salt), c), F.lit(2))
-    found = moves.best_moves(edges, labels)
+    found = moves.best_moves(edges, labels, degree)
     fresh = F.col("b") == moves.FRESH
     ok = (side(F.col("a"), "c") == 0) & (fresh | (side(F.col("b"), "c") == 1))
     to = F.when(fresh, F.xxhash64(F.lit(number), "id")).otherwise(F.col("b"))
     movers = plain(found.where(ok).select(GID, "id", to.alias("to")))
-    if movers.isEmpty():
-        return labels, before
     for t in range(tries):
+        if movers.isEmpty():
+            break
         made = movers if not t else movers.where(F.pmod(F.xxhash64(F.lit(number), F.lit("half"), "id"), F.lit(2**t)) == 0)
-        after = plain(labels.join(made, [GID, "id"], "left").select(GID, "id", F.coalesce("to", "c").alias("c")))
-        value = two_dimensional(edges, after).agg(F.sum("h2")).first()[0]
-        if value < before - 1e-12:
-            return after, value
+        after = plain(labels.join(made, [GID, "id"], "left").select(GID, "id", "c", F.coalesce("to", "c").alias("to")))
+        value = two_dimensional(edges, after.select(GID, "id", F.col("to").alias("c")), degree=degree).select(GID, F.col("h2").alias("now"))
+        both = plain(value.join(before, GID).select(GID, "now", "h2"))
+        fell = F.col("now") < F.col("h2") - 1e-12
+        gained = _few(both.where(fell).select(GID, F.lit(True).alias("gained")))
+        before = both.select(GID, F.when(fell, F.col("now")).otherwise(F.col("h2")).alias("h2"))
+        labels = plain(after.join(gained, GID, "left").select(GID, "id", F.when(F.col("gained"), F.col("to")).otherwise(F.col("c")).alias("c")))
+        movers = movers.join(gained, GID, "left_anti")
     return labels, before
 
 
-def distributed_search(edges: DataFrame, labels: DataFrame | None = None, rounds: int = 8, levels: int = 5) -> DataFrame:
-    """(graph_id, id, c) by synchronous rounds and contraction, for graphs of any size."""
+def distributed_search(edges: DataFrame, labels: DataFrame | None = None, rounds: int | None = None, levels: int | None = None, tolerance: float = 1e-3, finish: int = FINISH_EDGES) -> DataFrame:
+    """(graph_id, id, c) by synchronous rounds and contraction, for graphs of any size.
+
+    A level ends after two rounds in a row that lower no graph's H2 by over ``tolerance`` bits (or after
+    ``rounds``), the search when contraction makes nothing smaller (or after ``levels``). Once the contracted
+    graphs have ``finish`` edges at most, each ends in one task, by the kernel's multilevel search from its vertices.
+    """
     edges = plain(edges)
     labels = vertices_of(edges).select(GID, "id", F.col("id").cast("long").alias("c")) if labels is None else labels
     labels = plain(labels)
-    level, upper = labels, edges
-    for _ in range(levels):
-        value = two_dimensional(upper, level).agg(F.sum("h2")).first()[0]
-        idle = 0
-        for r in range(rounds):
-            level, now = _round(upper, level, r, value)
-            idle, value = (idle + 1 if now >= value - 1e-12 else 0), now
-            if idle == 2:
-                break
-        joined = labels.withColumnRenamed("c", "old").join(level.select(GID, F.col("id").alias("old"), "c"), [GID, "old"]) if upper is not edges else level
-        labels = plain(joined.select(GID, "id", "c"))
+    level, upper, number = labels, edges, 0
+    for depth in count():
+        if depth == levels:
+            break
+        degree = plain(degrees(upper, level))
+        h2 = plain(two_dimensional(upper, level, degree=degree).select(GID, "h2"))
+        idle = done = 0
+        while idle < 2 and done != rounds:
+            level, now = _round(upper, level, degree, number, h2)
+            fall = h2.withColumnRenamed("h2", "old").join(now, GID).agg(F.max(F.col("old") - F.col("h2"))).first()[0]
+            idle = idle + 1 if fall is None or fall <= tolerance else 0
+            h2, done, number = now, done + 1, number + 1
+        labels = _followed(labels, level) if depth else level
         smaller = plain(contracted(upper, level))
-        if smaller.count() == upper.count():
+        sizes = smaller.groupBy(GID).count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
+        if not sizes["all"] or sizes["all"] == upper.count():
             break
+        if sizes["most"] <= finish:
+            ends = plain(per_graph(smaller, lambda net, s: P.polished(net, P.multilevel(net, "entropy", s), seed=s)))
+            names = ends.groupBy(GID, "c").agg(F.min("id").alias("name"))
+            return _followed(labels, ends.join(names, [GID, "c"]).select(GID, "id", F.col("name").alias("c")))
         upper = smaller
         level = plain(vertices_of(upper).select(GID, "id", F.col("id").alias("c")))
     return labels
 
 
+def _followed(labels: DataFrame, level: DataFrame) -> DataFrame:
+    """Labels by the communities that ``level`` gives to those of ``labels``; one without edges keeps its own."""
+    above = level.select(GID, F.col("id").alias("old"), F.col("c").alias("new"))
+    return plain(labels.withColumnRenamed("c", "old").join(above, [GID, "old"], "left").select(GID, "id", F.coalesce("new", "old").alias("c")))
+
+
 def optimise(edges: DataFrame, vertices: DataFrame | None = None, seed: int = 0, starts: int = 8) -> DataFrame:
     """``se_louvain`` for graphs of up to ``KERNEL_EDGES`` edges, ``distributed_search`` for larger ones."""
     sizes = edges.groupBy(GID).count()

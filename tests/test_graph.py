@@ -200,6 +200,23 @@ def test_search_and_report(spark):
         facade.structural_entropy(edges, dim=3)
 
 
+def test_distributed_search_judges_each_graph(spark):
+    blocks, vertices = S.sbm(spark, 90, 3, 0.4, 0.03, seed=1)
+    club = S.karate(spark)[0]
+    edges = search.cut(blocks.select(F.lit("blocks").alias(GID), "src", "dst", "w").union(club.select(F.lit("club").alias(GID), "src", "dst", "w")))
+    worth = lambda labels: {r[GID]: r.h2 for r in scores.two_dimensional(edges, labels).collect()}
+    best, alone = worth(search.se_louvain(edges)), worth(search.vertices_of(edges).withColumn("c", F.col("id")))
+    for finish in (0, search.FINISH_EDGES):  # by rounds alone, and with a kernel's end
+        found = search.cut(search.distributed_search(edges, finish=finish))
+        assert found.count() == found.select(GID, "id").distinct().count() == 90 + 34
+        for graph, value in worth(found).items():
+            assert value <= alone[graph] - 0.8 * (alone[graph] - best[graph])
+    # a start at the best found: neither graph may end above it, whatever the other gains
+    start = search.cut(search.se_louvain(edges)).withColumn("c", F.when(F.col(GID) == "club", F.col("c")).otherwise(F.col("id")))
+    ended = worth(search.distributed_search(edges, start, rounds=2, levels=1))
+    assert ended["club"] <= best["club"] + 1e-9 and ended["blocks"] < alone["blocks"]
+
+
 def test_registry_and_benchmark(spark):
     assert {"louvain", "leiden", "infomap", "spectral", "se_agglomerative", "se_louvain", "se_gnn", "se_hier", "dedoc", "codeseg"} <= set(registry.list_methods())
     assert registry.info("dedoc")["native"] is False
