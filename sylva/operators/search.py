@@ -186,7 +186,7 @@ def _round(edges: DataFrame, labels: DataFrame, degree: DataFrame, number: int,
     return labels, before
 
 
-def distributed_search(edges: DataFrame, labels: DataFrame | None = None, rounds: int | None = None, levels: int | None = None, tolerance: float = 1e-3, finish: int = FINISH_EDGES) -> DataFrame:
+def distributed_search(edges: DataFrame, labels: DataFrame | None = None, rounds: int | None = None, levels: int | None = None, tolerance: float = 1e-2, finish: int = FINISH_EDGES) -> DataFrame:
     """(graph_id, id, c) by synchronous rounds and contraction, for graphs of any size.
 
     A level ends after two rounds in a row that lower no graph's H2 by over ``tolerance`` bits (or after
