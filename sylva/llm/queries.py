@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, fill_in_middle, language_id, line_dedup, packing, secret_scan, simhash, substring_dedup, suffix_index, token_counts
+from . import decontaminate, exact_dedup, fill_in_middle, language_id, line_dedup, packing, secret_scan, simhash, substring_dedup, suffix_index, token_alignment, token_counts
 
 QUERIES: dict = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict = {
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLES: dict = {
     "op1_line_dedup": line_dedup.ORACLE,
