@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, fill_in_middle, language_id, line_dedup, packing, secret_scan, simhash, substring_dedup, suffix_index, token_alignment, token_counts
+from . import decontaminate, exact_dedup, fill_in_middle, language_id, line_dedup, packing, secret_scan, simhash, substring_dedup, suffix_index, token_alignment, token_counts, warc
 
 QUERIES: dict = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -18,6 +18,7 @@ QUERIES: dict = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_warc": warc.op11_warc,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
     "op13_token_alignment": token_alignment.op13_token_alignment,
 }
@@ -28,6 +29,7 @@ ORACLES: dict = {
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_secret_scan": secret_scan.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_warc": warc.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:

@@ -25,7 +25,8 @@ def duck():
 def test_query_equals_sql(spark, duck, name):
     got, want = ordered(queries.QUERIES[name](spark, FOLDER).toPandas()), ordered(duck.execute(queries.ORACLES[name]).df())
     assert list(got.columns) == list(want.columns)
-    assert got.astype(str).values.tolist() == want.astype(str).values.tolist()
+    plain = lambda df: df.astype(object).where(df.notna(), None).map(lambda x: int(x) if isinstance(x, float) and x.is_integer() else x).values.tolist()  # noqa: E731  nulls make floats of whole numbers
+    assert plain(got) == plain(want)
 
 
 def test_language_query(spark):
