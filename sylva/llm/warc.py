@@ -306,7 +306,7 @@ def read(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
 
     Page and refers_to are strings. A record whose payload isn't that of its digest is an error.
     """
-    rows = index.select("file", "offset", "length", "place").repartition("file").sortWithinPartitions("file", "offset")
+    rows = index.select("file", "offset", "length", "place").repartition(width(index.sparkSession), "file").sortWithinPartitions("file", "offset")
     names = ["page", "record_type", "url", "captured", "payload_digest", "payload_bytes", "refers_to", "place", *(["payload"] if with_payload else [])]
     types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), *([pa.binary()] if with_payload else [])]
 
@@ -340,7 +340,10 @@ def read(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """``records`` with every revisit's payload_bytes, and payload if there is one, from the response that it names."""
+    """``records`` with every revisit's payload_bytes, and payload if there is one, from the response that it names.
+
+    Responses and revisits are taken from them apart, so they should be stored, not read anew.
+    """
     own = [c for c in ("payload_bytes", "payload") if c in records.columns]
     replies = records.where("record_type = 'response'")
     again = records.where("record_type = 'revisit'").drop(*own)
@@ -365,6 +368,6 @@ FROM k
 def op11_warc(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("captured", F.timestamp_seconds(F.lit(EPOCH) + F.col("page_id")))
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    records = resolved(read(merged(write(pages, folder, captured="captured")), folder))
+    records = resolved(stored(read(merged(write(pages, folder, captured="captured")), folder)))
     kind = pages.schema["page_id"].dataType
     return records.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "place")
