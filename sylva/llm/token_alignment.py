@@ -55,12 +55,11 @@ def byte_decoder() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Bytes and names of all ids of one tokenizer."""
+    """Bytes of all ids of one tokenizer."""
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        self.inner = [f"{i}," for i in range(len(tokens))]
 
 
 def byte_level(vocabulary: str = VOCABULARY, ranks: str | None = RANKS):
@@ -113,22 +112,27 @@ def aligned(text: str | None, one, other) -> tuple[np.ndarray, np.ndarray, np.nd
     if b"".join(map(va.tokens.__getitem__, a)) != whole or b"".join(map(vb.tokens.__getitem__, b)) != whole:
         return none, none, none, none, 0
     a, b = np.array(a, np.int64), np.array(b, np.int64)
-    ends_a, ends_b = np.cumsum(va.lengths[a]), np.cumsum(vb.lengths[b])
-    common = np.intersect1d(ends_a, ends_b)
+    ends_a, ends_b = np.cumsum(va.lengths[a]), np.cumsum(vb.lengths[b])  # they rise, as no token is empty
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
     return a, b, np.searchsorted(common, ends_a), np.searchsorted(common, ends_b), len(common)
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, va: Vocabulary, vb: Vocabulary) -> str:
-    """``a1,a2|b1;a3|b2,b3``: ids by group."""
-    at_a = np.arange(len(a)) + np.searchsorted(gb, ga, side="left")
-    at_b = np.arange(len(b)) + np.searchsorted(ga, gb, side="right")
-    parts = np.empty(len(a) + len(b), object)
-    parts[at_a] = list(map(va.inner.__getitem__, a.tolist()))
-    parts[at_b] = list(map(vb.inner.__getitem__, b.tolist()))
-    last_a, last_b = at_a[np.diff(ga, append=-1) != 0], at_b[np.diff(gb, append=-1) != 0]
-    parts[last_a] = [x[:-1] + "|" for x in parts[last_a]]
-    parts[last_b] = [x[:-1] + ";" for x in parts[last_b]]
-    return "".join(parts.tolist())[:-1]
+def groups_writer(va: Vocabulary, vb: Vocabulary):
+    """A function of what ``aligned`` gives that writes ``a1,a2|b1;a3|b2,b3``: ids by group."""
+    sizes = len(va.tokens), len(vb.tokens)
+    words = [f"{i}{mark}" for size, marks in zip(sizes, (",|", ",;")) for mark in marks for i in range(size)]
+
+    def write(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, groups: int) -> str:
+        in_a, in_b = np.bincount(ga, minlength=groups), np.bincount(gb, minlength=groups)
+        stop_a, stop_b = np.cumsum(in_a), np.cumsum(in_b)
+        at = np.empty(len(a) + len(b), np.int64)
+        at[np.arange(len(a)) + (stop_b - in_b)[ga]] = a
+        at[np.arange(len(b)) + stop_a[gb]] = b + 2 * sizes[0]
+        at[stop_a + stop_b - in_b - 1] += sizes[0]
+        at[stop_a + stop_b - 1] += sizes[1]
+        return "".join(map(words.__getitem__, at.tolist()))[:-1]
+
+    return write
 
 
 def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +146,17 @@ def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def linked(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, groups: int, most: int = LINKS_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct linked pairs, a << 32 | b in order, and how often each is linked.
 
-    Equal ids of a group are counted first, so that a group's pairs are those of its distinct ids; pairs are made
-    from runs of groups that have ``most`` between them, or from slices of one group that has more.
+    With over ``most`` links, equal ids of a group are counted first, so that a group's pairs are those of its distinct ids,
+    and pairs are made in slices of ``most``.
     """
+    in_a, in_b = np.bincount(ga, minlength=groups), np.bincount(gb, minlength=groups)
+    if int(in_a @ in_b) <= most:  # all at once, every token by itself
+        partners = in_b[ga]
+        skipped = np.cumsum(in_b)[ga] - np.cumsum(partners)
+        codes = np.repeat(a << 32, partners) | b[np.arange(int(partners.sum())) + np.repeat(skipped, partners)]
+        codes.sort()
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        return codes[starts], np.diff(starts, append=len(codes))
     a, wa = summed(ga << 32 | a, np.ones(len(a), np.int64))
     b, wb = summed(gb << 32 | b, np.ones(len(b), np.int64))
     from_a, from_b = np.searchsorted(a >> 32, np.arange(groups + 1)), np.searchsorted(b >> 32, np.arange(groups + 1))
@@ -204,12 +216,13 @@ def blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabula
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, other = byte_level(vocabulary, ranks), piece_level(pieces)
+        written = groups_writer(one[1], other[1])
         ids, found, size = [], [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 t = batch.column(1)[i].as_py()
                 a, b, ga, gb, groups = aligned(t, one, other)
-                digest = hashlib.sha256(groups_text(a, b, ga, gb, one[1], other[1]).encode()).hexdigest() if groups else ""
+                digest = hashlib.sha256(written(a, b, ga, gb, groups).encode()).hexdigest() if groups else ""
                 pairs, times = linked(a, b, ga, gb, groups)
                 ids.append(batch.column(0).slice(i, 1))
                 found.append((len(a), len(b), groups, int(times.sum()), digest, pairs, times))
