@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import moves
-from .checkpoints import cut
-from .graph import GID, canonical, contracted, degrees, first_seen
+from .checkpoints import cut, stored
+from .graph import GID, canonical, contracted, degrees, dense_ids, first_seen
 from .kernels import partition as P
 from .kernels import trees as K
 from .scores import two_dimensional
@@ -152,12 +152,6 @@ def encoding_trees(edges: DataFrame, vertices: DataFrame | None = None, seed: in
 # --- large graphs ---
 
 
-def plain(df: DataFrame) -> DataFrame:
-    """``df`` stored, without the size estimate that a checkpoint keeps: joined with itself again and again, its digits double each time."""
-    df = cut(df)
-    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), df.sparkSession)
-
-
 def _few(rows: DataFrame) -> DataFrame:
     """``rows`` of one for each graph, to be sent to all tasks if they are few: joined by a shuffle, a graph's rows would meet in one task."""
     return F.broadcast(rows) if rows.count() <= MOST_GRAPHS else rows
@@ -170,38 +164,44 @@ def _round(edges: DataFrame, labels: DataFrame, degree: DataFrame, number: int,
     fresh = F.col("b") == moves.FRESH
     ok = (side(F.col("a"), "c") == 0) & (fresh | (side(F.col("b"), "c") == 1))
     to = F.when(fresh, F.xxhash64(F.lit(number), "id")).otherwise(F.col("b"))
-    movers = plain(found.where(ok).select(GID, "id", to.alias("to")))
+    movers = stored(found.where(ok).select(GID, "id", to.alias("to")))
     for t in range(tries):
         if movers.isEmpty():
             break
         made = movers if not t else movers.where(F.pmod(F.xxhash64(F.lit(number), F.lit("half"), "id"), F.lit(2**t)) == 0)
-        after = plain(labels.join(made, [GID, "id"], "left").select(GID, "id", "c", F.coalesce("to", "c").alias("to")))
+        after = stored(labels.join(made, [GID, "id"], "left").select(GID, "id", "c", F.coalesce("to", "c").alias("to")))
         value = two_dimensional(edges, after.select(GID, "id", F.col("to").alias("c")), degree=degree).select(GID, F.col("h2").alias("now"))
-        both = plain(value.join(before, GID).select(GID, "now", "h2"))
+        both = stored(value.join(before, GID).select(GID, "now", "h2"))
         fell = F.col("now") < F.col("h2") - 1e-12
         gained = _few(both.where(fell).select(GID, F.lit(True).alias("gained")))
         before = both.select(GID, F.when(fell, F.col("now")).otherwise(F.col("h2")).alias("h2"))
-        labels = plain(after.join(gained, GID, "left").select(GID, "id", F.when(F.col("gained"), F.col("to")).otherwise(F.col("c")).alias("c")))
+        labels = stored(after.join(gained, GID, "left").select(GID, "id", F.when(F.col("gained"), F.col("to")).otherwise(F.col("c")).alias("c")))
         movers = movers.join(gained, GID, "left_anti")
     return labels, before
 
 
-def distributed_search(edges: DataFrame, labels: DataFrame | None = None, rounds: int | None = None, levels: int | None = None, tolerance: float = 1e-2, finish: int = FINISH_EDGES) -> DataFrame:
+def distributed_search(edges: DataFrame, labels: DataFrame | None = None, vertices: DataFrame | None = None, rounds: int | None = None, levels: int | None = None, tolerance: float = 1e-2, finish: int = FINISH_EDGES) -> DataFrame:
     """(graph_id, id, c) by synchronous rounds and contraction, for graphs of any size.
 
     A level ends after two rounds in a row that lower no graph's H2 by over ``tolerance`` bits (or after
     ``rounds``), the search when contraction makes nothing smaller (or after ``levels``). Once the contracted
     graphs have ``finish`` edges at most, each ends in one task, by the kernel's multilevel search from its vertices.
+    Ids may be of any type. Vertices that only ``vertices`` lists are communities of their own.
     """
-    edges = plain(edges)
-    labels = vertices_of(edges).select(GID, "id", F.col("id").cast("long").alias("c")) if labels is None else labels
-    labels = plain(labels)
+    if vertices is not None:
+        found = distributed_search(edges, labels, None, rounds, levels, tolerance, finish)
+        alone = vertices.select(GID, "id").distinct().join(renewed(found.select(GID, "id")), [GID, "id"], "left_anti")
+        more = dense_ids(alone).select(GID, "id", (F.col("n") - (1 << 62)).alias("c"))  # communities of others have numbers from 0 or hashes
+        return stored(found.union(more))
+    edges = stored(edges)
+    labels = dense_ids(vertices_of(edges)).select(GID, "id", F.col("n").alias("c")) if labels is None else labels
+    labels = stored(labels)
     level, upper, number = labels, edges, 0
     for depth in count():
         if depth == levels:
             break
-        degree = plain(degrees(upper, level))
-        h2 = plain(two_dimensional(upper, level, degree=degree).select(GID, "h2"))
+        degree = stored(degrees(upper, level))
+        h2 = stored(two_dimensional(upper, level, degree=degree).select(GID, "h2"))
         idle = done = 0
         while idle < 2 and done != rounds:
             level, now = _round(upper, level, degree, number, h2)
@@ -209,23 +209,23 @@ def distributed_search(edges: DataFrame, labels: DataFrame | None = None, rounds
             idle = idle + 1 if fall is None or fall <= tolerance else 0
             h2, done, number = now, done + 1, number + 1
         labels = _followed(labels, level) if depth else level
-        smaller = plain(contracted(upper, level))
+        smaller = stored(contracted(upper, level))
         sizes = smaller.groupBy(GID).count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
         if not sizes["all"] or sizes["all"] == upper.count():
             break
-        if sizes["most"] <= finish:
-            ends = plain(per_graph(smaller, lambda net, s: P.polished(net, P.multilevel(net, "entropy", s), seed=s)))
+        if sizes["most"] <= min(finish, KERNEL_EDGES):
+            ends = stored(per_graph(smaller, lambda net, s: P.polished(net, P.multilevel(net, "entropy", s), seed=s)))
             names = ends.groupBy(GID, "c").agg(F.min("id").alias("name"))
             return _followed(labels, ends.join(names, [GID, "c"]).select(GID, "id", F.col("name").alias("c")))
         upper = smaller
-        level = plain(vertices_of(upper).select(GID, "id", F.col("id").alias("c")))
+        level = stored(vertices_of(upper).select(GID, "id", F.col("id").alias("c")))
     return labels
 
 
 def _followed(labels: DataFrame, level: DataFrame) -> DataFrame:
     """Labels by the communities that ``level`` gives to those of ``labels``; one without edges keeps its own."""
     above = level.select(GID, F.col("id").alias("old"), F.col("c").alias("new"))
-    return plain(labels.withColumnRenamed("c", "old").join(above, [GID, "old"], "left").select(GID, "id", F.coalesce("new", "old").alias("c")))
+    return stored(labels.withColumnRenamed("c", "old").join(above, [GID, "old"], "left").select(GID, "id", F.coalesce("new", "old").alias("c")))
 
 
 def optimise(edges: DataFrame, vertices: DataFrame | None = None, seed: int = 0, starts: int = 8) -> DataFrame:
@@ -236,7 +236,7 @@ def optimise(edges: DataFrame, vertices: DataFrame | None = None, seed: int = 0,
         return se_louvain(edges, vertices, seed=seed, starts=starts)
     small = edges.join(large, GID, "left_anti")
     few = vertices.join(large, GID, "left_anti") if vertices is not None else None
-    return se_louvain(small, few, seed=seed, starts=starts).union(distributed_search(edges.join(large, GID, "left_semi")))
+    return se_louvain(small, few, seed=seed, starts=starts).union(distributed_search(edges.join(large, GID, "left_semi"), vertices=vertices.join(large, GID, "left_semi") if vertices is not None else None))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -250,15 +250,15 @@ def connected(edges: DataFrame) -> DataFrame:
     labels = cut(vertices_of(edges).select(GID, "id", F.col("id").alias("c")))
     while True:
         pair = edges.join(labels.select(GID, F.col("id").alias("src"), F.col("c").alias("cu")), [GID, "src"]).join(labels.select(GID, F.col("id").alias("dst"), F.col("c").alias("cv")), [GID, "dst"])
-        hook = plain(pair.where("cu <> cv").groupBy(GID, F.greatest("cu", "cv").alias("c")).agg(F.min(F.least("cu", "cv")).alias("to")))
+        hook = stored(pair.where("cu <> cv").groupBy(GID, F.greatest("cu", "cv").alias("c")).agg(F.min(F.least("cu", "cv")).alias("to")))
         if hook.isEmpty():
             return labels
         moved = True
         while moved:
-            jump = plain(hook.join(hook.select(GID, F.col("c").alias("to"), F.col("to").alias("far")), [GID, "to"], "left").select(GID, "c", "to", "far"))
+            jump = stored(hook.join(hook.select(GID, F.col("c").alias("to"), F.col("to").alias("far")), [GID, "to"], "left").select(GID, "c", "to", "far"))
             moved = not jump.where("far IS NOT NULL").isEmpty()
             hook = jump.select(GID, "c", F.coalesce("far", "to").alias("to"))
-        labels = plain(labels.join(hook, [GID, "c"], "left").select(GID, "id", F.coalesce("to", "c").alias("c")))
+        labels = stored(labels.join(hook, [GID, "c"], "left").select(GID, "id", F.coalesce("to", "c").alias("c")))
 
 
 def hop_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import scores, search, trees
+from ..operators import lifting, scores, search, trees
 from ..operators.graph import GID
 
 
@@ -22,12 +22,15 @@ def structural_entropy(edges: DataFrame, partition: DataFrame | None = None, *,
 
 
 def report(edges: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
-    """One row for each graph: n, m, se_1d, se_2d_optimal, num_communities, se_tree_optimal, compression_2d."""
+    """One row for each graph: n, m, se_1d, se_2d_optimal, num_communities, se_tree_optimal, compression_2d.
+
+    A graph of over ``search.KERNEL_EDGES`` edges, which no task takes whole, has its partition for a tree.
+    """
     edges = search.cut(edges)
     labels = search.cut(search.se_louvain(edges, k=k, seed=seed) if k else search.optimise(edges, seed=seed))
-    tree = search.cut(search.encoding_trees(edges, seed=seed))
+    large = edges.groupBy(GID).count().where(F.col("count") > search.KERNEL_EDGES).select(GID)
     flat = scores.two_dimensional(edges, labels)
-    deep = trees.tree_entropy(trees.annotated(edges, tree)) if (tree.agg(F.max("depth")).first()[0] or 0) <= trees.MOST_DEPTH else _kernel_entropy(edges, seed)
+    deep = _tree_entropy(edges.join(large, GID, "left_anti"), seed).union(trees.tree_entropy(trees.annotated(edges.join(large, GID, "left_semi"), trees.two_level(labels.join(large, GID, "left_semi")))))
     sizes = edges.groupBy(GID).agg(F.count(F.lit(1)).alias("m")).join(labels.groupBy(GID).agg(F.count(F.lit(1)).alias("n")), GID)
     h1, h2 = F.col("h1"), F.col("h2")
     return sizes.join(flat, GID).join(deep, GID).select(
@@ -36,13 +39,7 @@ def report(edges: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
     )
 
 
-def _kernel_entropy(edges: DataFrame, seed: int) -> DataFrame:
-    import pandas as pd
-
-    from ..operators.kernels import trees as K
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        net, _ = search.net_of(rows, pd.DataFrame({"id": []}))
-        return pd.DataFrame({GID: [rows[GID].iloc[0]], "ht": [K.encoding_tree(net, seed).entropy()]})
-
-    return edges.groupBy(GID).applyInPandas(run, f"{GID} string, ht double")
+def _tree_entropy(edges: DataFrame, seed: int) -> DataFrame:
+    """(graph_id, ht, nodes) of the encoding trees found, which may be deep."""
+    tree = search.cut(search.encoding_trees(edges, seed=seed))
+    return trees.tree_entropy(lifting.annotated(edges, tree))

@@ -23,6 +23,7 @@ def query(name: str, sql: str | None = None):
 # Shared parts of the SQL. Vertices of the customer-supplier graph as in sources.tables.
 CS = """e AS (SELECT 2 * o_custkey AS src, 2 * l_suppkey + 1 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 e1 AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, CAST(count(*) AS DOUBLE) AS w FROM e GROUP BY 1, 2)"""
+COP = """e1 AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2)"""
 NATIONS = """lab AS (SELECT 2 * c_custkey AS id, CAST(c_nationkey AS BIGINT) AS c FROM customer UNION ALL SELECT 2 * s_suppkey + 1, CAST(s_nationkey AS BIGINT) FROM supplier)"""
 EV = """e AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
 e1 AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, CAST(count(*) AS DOUBLE) AS w FROM e WHERE dst IS NOT NULL GROUP BY 1, 2)"""

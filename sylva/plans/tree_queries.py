@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
-from ..operators import graph, moves, scores, trees
+from ..operators import agglomerate, graph, lifting, moves, scores, trees
 from ..operators.checkpoints import cut
 from ..operators.graph import GID
 from ..sources import generators as S
 from ..sources import tables as T
-from .register import COMM, CS, CS_ALL, DEG, EV, NATIONS, query, r6, term_sql
+from .register import COMM, COP, CS, CS_ALL, DEG, EV, NATIONS, query, r6, term_sql
 
 TREE = """t AS (SELECT 'v' || id AS node, 'n' || c AS parent, 3 AS depth, id AS vertex FROM lab
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 2, NULL FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey, 'R', 1, CAST(NULL AS BIGINT) FROM nation
@@ -121,6 +121,41 @@ def tree_height(spark, sf_dir):
     return trees.height(T.geography_tree(spark, sf_dir)).select(F.col("height").cast("long").alias("height"), "nodes", "leaves")
 
 
+# --- deep trees ---
+
+
+@query("lca_chain", f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part),
+d AS (SELECT id, r, 0 AS depth FROM p WHERE r = 0 UNION ALL SELECT p.id, p.r, d.depth + 1 FROM d JOIN p ON p.r = d.r + 1), {COP}
+SELECT CAST(least(a.depth, b.depth) AS BIGINT) AS node, count(*) AS edges, sum(w) AS weight FROM e1 JOIN d a ON a.id = src JOIN d b ON b.id = dst GROUP BY 1""")
+def lca_chain(spark, sf_dir):
+    """Lowest common ancestors of parts in one order, in a tree as deep as there are parts: each part hangs below the one before."""
+    parts = T.table(spark, sf_dir, "part").select(F.lit("cop").alias(GID), F.col("p_partkey").alias("id"))
+    at = cut(graph.dense_ids(parts))
+    name = lambda c: F.concat(F.lit("t"), c.cast("string"))
+    inner = at.select(GID, name(F.col("n")).alias("node"), F.when(F.col("n") > 0, name(F.col("n") - 1)).alias("parent"), F.lit(None).cast("long").alias("vertex"))
+    tree = cut(inner.union(at.select(GID, F.concat(F.lit("v"), F.col("id").cast("string")), name(F.col("n")), "id")))
+    low = lifting.lowest_of_edges(T.copurchase(spark, sf_dir), tree, lifting.jumps(tree))
+    return low.groupBy(F.substring("node", 2, 20).cast("long").alias("node")).agg(F.count(F.lit(1)).alias("edges"), F.sum("w").alias("weight"))
+
+
+@query("dendrogram_checked", f"""WITH {COP}, v AS (SELECT src AS id FROM e1 UNION SELECT dst FROM e1)
+SELECT count(*) - 1 AS merges, count(*) AS largest, 2 * count(*) - 2 AS one_parent, CAST(1 AS BIGINT) AS roots, CAST(0 AS BIGINT) AS wrong_heights, CAST(0 AS BIGINT) AS wrong_sizes FROM v""")
+def dendrogram_checked(spark, sf_dir):
+    """Agglomeration of the co-purchase graph; every height and size computed anew from the edges, by lowest common ancestors."""
+    edges = cut(T.copurchase(spark, sf_dir))
+    merges, numbers = agglomerate.dendrogram(edges)
+    merges, tree = cut(merges), cut(agglomerate.tree_of(merges, numbers))
+    noted = cut(lifting.annotated(edges, tree))
+    term = noted.join(graph.volume(graph.degrees(edges)), GID).select(GID, "node", "parent", "vertex", "leaves", scores.term(F.col("v"), F.col("g"), F.col("m2")).alias("t"))
+    below = term.groupBy(GID, F.col("parent").alias("node")).agg(F.sum("t").alias("below"))
+    steps = merges.join(numbers.groupBy(GID).agg(F.count(F.lit(1)).alias("n")), GID).select(GID, F.concat(F.lit("t"), (F.col("n") + F.col("step")).cast("string")).alias("node"), "step", "height", "size")
+    rows = steps.join(term, [GID, "node"]).join(below, [GID, "node"])
+    wrong = F.abs(F.greatest(F.col("t") - F.col("below"), F.lit(0.0)) + F.col("step") * 1e-9 - F.col("height")) > 1e-7
+    found = rows.agg(F.count(F.lit(1)).alias("merges"), F.max("size").alias("largest"), F.sum(wrong.cast("long")).alias("wrong_heights"), F.sum((F.col("size") != F.col("leaves")).cast("long")).alias("wrong_sizes"))
+    once = tree.groupBy(GID, "node").agg(F.count("parent").alias("parents")).agg(F.sum((F.col("parents") == 1).cast("long")).alias("one_parent"), F.sum((F.col("parents") == 0).cast("long")).alias("roots"))
+    return found.join(F.broadcast(once))  # one row each
+
+
 # --- one step of a search ---
 
 WTO = "wto AS (SELECT inc.id, lab.c AS b, sum(w) AS w FROM inc JOIN lab ON lab.id = inc.nbr WHERE inc.id <> inc.nbr GROUP BY 1, 2)"
