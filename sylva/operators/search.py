@@ -157,10 +157,20 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_GRAPHS else rows
 
 
-def _round(edges: DataFrame, labels: DataFrame, degree: DataFrame, number: int, before: DataFrame, tries: int = 7) -> tuple[DataFrame, DataFrame]:
-    """One synchronous round: labels and (graph_id, h2) after it; a graph that no half of its movers helps stays as it was."""
+def _entropy(edges: DataFrame, labels: DataFrame, degree: DataFrame) -> DataFrame:
+    return two_dimensional(edges, labels, degree=degree).select(GID, "h2")
+
+
+def _round(
+    edges: DataFrame, labels: DataFrame, degree: DataFrame, number: int, before: DataFrame, tries: int = 7,
+    best: Callable[..., DataFrame] = moves.best_moves, value: Callable[..., DataFrame] = _entropy,
+) -> tuple[DataFrame, DataFrame]:
+    """One synchronous round: labels and (graph_id, h2) after it; a graph that no half of its movers helps stays as it was.
+
+    ``best`` gives moves as ``moves.best_moves`` does, ``value`` what is to fall, under the name h2.
+    """
     side = lambda c, salt: F.pmod(F.xxhash64(F.lit(number), F.lit(salt), c), F.lit(2))
-    found = moves.best_moves(edges, labels, degree)
+    found = best(edges, labels, degree)
     fresh = F.col("b") == moves.FRESH
     ok = (side(F.col("a"), "c") == 0) & (fresh | (side(F.col("b"), "c") == 1))
     to = F.when(fresh, F.xxhash64(F.lit(number), "id")).otherwise(F.col("b"))
@@ -170,8 +180,8 @@ def _round(edges: DataFrame, labels: DataFrame, degree: DataFrame, number: int,
             break
         made = movers if not t else movers.where(F.pmod(F.xxhash64(F.lit(number), F.lit("half"), "id"), F.lit(2**t)) == 0)
         after = stored(labels.join(made, [GID, "id"], "left").select(GID, "id", "c", F.coalesce("to", "c").alias("to")))
-        value = two_dimensional(edges, after.select(GID, "id", F.col("to").alias("c")), degree=degree).select(GID, F.col("h2").alias("now"))
-        both = stored(value.join(before, GID).select(GID, "now", "h2"))
+        now = value(edges, after.select(GID, "id", F.col("to").alias("c")), degree).select(GID, F.col("h2").alias("now"))
+        both = stored(now.join(before, GID).select(GID, "now", "h2"))
         fell = F.col("now") < F.col("h2") - 1e-12
         gained = _few(both.where(fell).select(GID, F.lit(True).alias("gained")))
         before = both.select(GID, F.when(fell, F.col("now")).otherwise(F.col("h2")).alias("h2"))

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators import pi as pi_ops
-from ..operators import scores, search, trees
+from ..operators import graph, leiden, scores, search, trees
 from ..operators.graph import GID
 from ..operators.kernels import partition as P
 from ..operators.kernels import pi as pi_kernel
 from ..sources import generators as S
 from ..sources import tables as T
 from . import benchmark, facade, registry
-from .register import EV, query
+from .register import CS, EV, query
 
 
 def _scored(edges, labels):
@@ -62,6 +62,23 @@ def se_distributed(spark, sf_dir):
     return _scored(edges, search.distributed_search(edges))
 
 
+@query("leiden_distributed", f"""WITH {CS}, v AS (SELECT src AS id FROM e1 UNION SELECT dst FROM e1)
+SELECT count(*) AS vertices, count(*) AS labelled, CAST(0 AS BIGINT) AS split_modules, true AS at_least_the_start, true AS at_least_nations FROM v""")
+def leiden_distributed(spark, sf_dir):
+    """Modules of the customer-supplier graph: all connected, and modularity above that of single vertices and not below that of nations."""
+    edges = search.cut(T.customer_supplier(spark, sf_dir))
+    labels = search.cut(leiden.leiden(edges))
+    parts = leiden.connected_parts(edges, labels)
+    split = parts.join(labels.withColumnRenamed("c", "module"), [GID, "id"]).groupBy(GID, "module").agg(F.count_distinct("c").alias("parts"))
+    everyone = search.vertices_of(edges)
+    score = lambda x: scores.modularity(graph.communities(edges, x), graph.degrees(edges)).first()["modularity"]
+    found = score(labels)
+    start, nations = score(everyone.withColumn("c", F.col("id"))), score(T.nation_labels(spark, sf_dir).join(everyone, [GID, "id"], "left_semi"))
+    counts = everyone.join(labels, [GID, "id"], "left").agg(F.count(F.lit(1)).alias("vertices"), F.count("c").alias("labelled"))
+    wrong = split.agg(F.sum((F.col("parts") > 1).cast("long")).alias("split_modules"))
+    return counts.join(F.broadcast(wrong)).select("vertices", "labelled", "split_modules", F.lit(found >= start).alias("at_least_the_start"), F.lit(found >= nations).alias("at_least_nations"))  # one row each
+
+
 @query("se_dendrogram")
 def se_dendrogram(spark, sf_dir):
     return search.dendrogram(search.cut(T.knn_graph(spark, sf_dir))).select("step", "left", "right", rounded(F.col("height"), 9).alias("height"), "size")
