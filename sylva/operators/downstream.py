@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
-from .graph import GID, canonical, contracted, labelled
+from .graph import GID, few, canonical, contracted, labelled
 from .ranking import running
 
 # --- rewiring ---
@@ -60,7 +60,7 @@ def drop_probabilities(edges: DataFrame, labels: DataFrame, intra: float = 0.6,
     """(graph_id, src, dst, p, uniform): chance to be dropped by kind of edge, and the mean over the graph's edges."""
     kinds = labelled(edges, labels).select(GID, "src", "dst", F.when(F.col("cu") == F.col("cv"), intra).otherwise(inter).alias("p"))
     mean = kinds.groupBy(GID).agg(F.avg("p").alias("uniform"))
-    return kinds.join(mean, GID)
+    return kinds.join(few(mean), GID)
 
 
 def view(probabilities: DataFrame, seed: int, column: str = "p") -> DataFrame:

@@ -14,7 +14,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .checkpoints import stored
+
 GID = "graph_id"
+#: Rows of one for each graph may be sent to all tasks if there are no more.
+MOST_GRAPHS = 100_000
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """``rows`` of one for each graph, to be sent to all tasks if they are few: joined by a shuffle, a graph's rows would meet in one task."""
+    return F.broadcast(rows) if rows.count() <= MOST_GRAPHS else rows
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``sent`` of rows that are computed and stored first."""
+    return sent(stored(rows))
 
 
 def canonical(pairs: DataFrame, weight: str | None = None, graph_id: str = "g") -> DataFrame:
@@ -82,19 +96,17 @@ def without_loops(edges: DataFrame) -> DataFrame:
 
 def first_seen(labels: DataFrame, order: str = "id") -> DataFrame:
     """Labels renumbered from 0 in the order in which ``order`` first meets them."""
-    from pyspark.sql import Window
+    from .ranking import numbered
 
-    firsts = labels.groupBy(GID, "c").agg(F.min(order).alias("o"))
-    fresh = firsts.select(GID, "c", (F.row_number().over(Window.partitionBy(GID).orderBy("o")) - 1).cast("long").alias("fresh"))
+    fresh = numbered(labels.groupBy(GID, "c").agg(F.min(order).alias("o")), [GID], [F.col("o")], "fresh").drop("o")
     return labels.join(fresh, [GID, "c"]).select(GID, "id", F.col("fresh").alias("c"))
 
 
 def dense_labels(labels: DataFrame) -> DataFrame:
     """Labels renumbered from 0 in order of their values."""
-    from pyspark.sql import Window
+    from .ranking import numbered
 
-    values = labels.select(GID, "c").distinct()
-    fresh = values.select(GID, "c", (F.row_number().over(Window.partitionBy(GID).orderBy("c")) - 1).cast("long").alias("fresh"))
+    fresh = numbered(labels.select(GID, "c").distinct(), [GID], [F.col("c")], "fresh")
     return labels.join(fresh, [GID, "c"]).select(GID, "id", F.col("fresh").alias("c"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, xlog
 from .checkpoints import cut
-from .graph import GID, degrees, volume
+from .graph import GID, degrees, few, volume
 
 
 def transitions(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def transitions(edges: DataFrame) -> DataFrame:
 
 def degree_pi(edges: DataFrame) -> DataFrame:
     degree = degrees(edges)
-    return degree.join(volume(degree), GID).select(GID, "id", ratio(F.col("d"), F.col("m2")).alias("p"))
+    return degree.join(few(volume(degree)), GID).select(GID, "id", ratio(F.col("d"), F.col("m2")).alias("p"))
 
 
 def ppr_step(pi: DataFrame, trans: DataFrame, query: DataFrame, alpha: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import plogp, ratio, xlog
-from .graph import GID, communities, degrees, volume
+from .graph import GID, communities, degrees, few, volume
 
 
 def one_dimensional(edges: DataFrame, degree: DataFrame | None = None) -> DataFrame:
@@ -146,7 +146,7 @@ def block_f1(labels: DataFrame, block: DataFrame, query: DataFrame) -> DataFrame
     """
     inside = block.select(GID, "id", F.lit(1).alias("true"))
     home = query.join(labels, [GID, "id"]).select(GID, F.col("c").alias("home"))
-    rows = labels.join(home, GID).join(inside, [GID, "id"], "left")
+    rows = labels.join(few(home), GID).join(inside, [GID, "id"], "left")
     true, found = F.coalesce("true", F.lit(0)), (F.col("c") == F.col("home")).cast("int")
     sums = rows.groupBy(GID).agg(F.sum(true * found).alias("tp"), F.sum(found).alias("found"), F.sum(true).alias("size"))
     return sums.select(GID, F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("found") + F.col("size"))).otherwise(F.lit(0.0)).alias("f1"))

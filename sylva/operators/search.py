@@ -19,15 +19,14 @@ from pyspark.sql import functions as F
 
 from . import moves
 from .checkpoints import cut, stored
-from .graph import GID, canonical, contracted, degrees, dense_ids, first_seen
+from .graph import GID, canonical, contracted, degrees, dense_ids, first_seen, sent
 from .kernels import partition as P
 from .kernels import trees as K
 from .scores import two_dimensional
 
 KERNEL_EDGES = 2_000_000
-#: Edges of a contracted graph that a large graph's search may end with in one task, and graphs whose rows of one each may be broadcast.
+#: Edges of a contracted graph that a large graph's search may end with in one task.
 FINISH_EDGES = 200_000
-MOST_GRAPHS = 100_000
 
 
 def renewed(df: DataFrame) -> DataFrame:
@@ -152,22 +151,18 @@ def encoding_trees(edges: DataFrame, vertices: DataFrame | None = None, seed: in
 # --- large graphs ---
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """``rows`` of one for each graph, to be sent to all tasks if they are few: joined by a shuffle, a graph's rows would meet in one task."""
-    return F.broadcast(rows) if rows.count() <= MOST_GRAPHS else rows
-
-
 def _entropy(edges: DataFrame, labels: DataFrame, degree: DataFrame) -> DataFrame:
     return two_dimensional(edges, labels, degree=degree).select(GID, "h2")
 
 
 def _round(
     edges: DataFrame, labels: DataFrame, degree: DataFrame, number: int, before: DataFrame, tries: int = 7,
-    best: Callable[..., DataFrame] = moves.best_moves, value: Callable[..., DataFrame] = _entropy,
+    best: Callable[..., DataFrame] = moves.best_moves, value: Callable[..., DataFrame] = _entropy, less: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
     """One synchronous round: labels and (graph_id, h2) after it; a graph that no half of its movers helps stays as it was.
 
-    ``best`` gives moves as ``moves.best_moves`` does, ``value`` what is to fall, under the name h2.
+    ``best`` gives moves as ``moves.best_moves`` does, ``value`` what is to fall, under the name h2. Each try
+    takes one of ``less`` of the movers of the one before.
     """
     side = lambda c, salt: F.pmod(F.xxhash64(F.lit(number), F.lit(salt), c), F.lit(2))
     found = best(edges, labels, degree)
@@ -178,12 +173,12 @@ def _round(
     for t in range(tries):
         if movers.isEmpty():
             break
-        made = movers if not t else movers.where(F.pmod(F.xxhash64(F.lit(number), F.lit("half"), "id"), F.lit(2**t)) == 0)
+        made = movers if not t else movers.where(F.pmod(F.xxhash64(F.lit(number), F.lit("half"), "id"), F.lit(less**t)) == 0)
         after = stored(labels.join(made, [GID, "id"], "left").select(GID, "id", "c", F.coalesce("to", "c").alias("to")))
         now = value(edges, after.select(GID, "id", F.col("to").alias("c")), degree).select(GID, F.col("h2").alias("now"))
         both = stored(now.join(before, GID).select(GID, "now", "h2"))
         fell = F.col("now") < F.col("h2") - 1e-12
-        gained = _few(both.where(fell).select(GID, F.lit(True).alias("gained")))
+        gained = sent(both.where(fell).select(GID, F.lit(True).alias("gained")))
         before = both.select(GID, F.when(fell, F.col("now")).otherwise(F.col("h2")).alias("h2"))
         labels = stored(after.join(gained, GID, "left").select(GID, "id", F.when(F.col("gained"), F.col("to")).otherwise(F.col("c")).alias("c")))
         movers = movers.join(gained, GID, "left_anti")

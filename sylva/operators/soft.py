@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import GID, degrees, incidence
+from .checkpoints import stored
+from .graph import GID, degrees, few, incidence
 from .scores import one_dimensional
 
 EPS = 1e-9
@@ -32,20 +33,24 @@ def soft_entropy(edges: DataFrame, soft: DataFrame, eps: float = EPS) -> DataFra
 def sinkhorn(logits: DataFrame, rounds: int = 15, tau: float = 1.0) -> DataFrame:
     """``logits(graph_id, id, x)`` balanced: rows sum to 1, columns to n / K; (graph_id, id, s).
 
-    Works on shares scaled by each row's maximum. A round is one aggregation over columns.
+    Rows are scaled by their sums wherever they are read, so what a round changes is one factor for each column: it is
+    an aggregation over the columns of the stored logits, and its result a row for each graph.
     """
-    n = logits.groupBy(GID).agg(F.count(F.lit(1)).alias("n"))
     top = F.array_max("x")
-    rows = logits.select(GID, "id", F.transform("x", lambda v: F.exp((v - top) / tau)).alias("s"))
-    total = F.aggregate("s", F.lit(0.0), lambda a, v: a + v)
-    per_row = lambda df: df.select(GID, "id", F.transform("s", lambda v: v / total).alias("s"))
+    base = stored(logits.select(GID, "id", F.transform("x", lambda v: F.exp((v - top) / tau)).alias("s")))
+    times = few(base.groupBy(GID).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("s")).alias("k")).select(GID, "n", F.array_repeat(F.lit(1.0), F.col("k")).alias("c")))
+
+    def shares(times: DataFrame) -> DataFrame:
+        rows = base.join(times, GID).select(GID, "id", "n", "c", F.zip_with("s", "c", lambda v, c: v * c).alias("s"))
+        total = F.aggregate("s", F.lit(0.0), lambda a, v: a + v)
+        return rows.select(GID, "id", "n", "c", F.transform("s", lambda v: v / total).alias("s"))
+
     for _ in range(rounds):
-        rows = per_row(rows)
-        sums = rows.select(GID, F.posexplode("s").alias("k", "v")).groupBy(GID, "k").agg(F.sum("v").alias("v"))
-        scale = sums.groupBy(GID).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("sums"))
-        rows = rows.join(scale, GID).join(n, GID)
-        rows = rows.select(GID, "id", F.zip_with("s", "sums", lambda v, t: v * F.col("n") / (t * F.size("sums"))).alias("s"))
-    return per_row(rows)
+        cells = shares(times).select(GID, "n", F.size("s").alias("size"), F.posexplode(F.arrays_zip("s", "c")).alias("k", "x"))
+        sums = cells.groupBy(GID, "k").agg(F.sum("x.s").alias("v"), F.first("x.c").alias("c"), F.first("n").alias("n"), F.first("size").alias("size"))
+        column = F.struct("k", (F.col("c") * F.col("n") / (F.col("v") * F.col("size"))).alias("c"))
+        times = few(sums.groupBy(GID).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(column)), lambda e: e["c"]).alias("c")))
+    return shares(times).select(GID, "id", "s")
 
 
 def normalised_adjacency(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:

@@ -7,12 +7,13 @@ leaf's ancestors, itself and the root included; its size is the sum of leaf dept
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, xlog
 from .checkpoints import cut
-from .graph import GID, canonical, degrees, volume
+from .graph import GID, canonical, degrees, few, volume
+from .ranking import numbered
 
 MOST_DEPTH = 64
 
@@ -103,7 +104,7 @@ def tree_entropy(noted: DataFrame) -> DataFrame:
     """(graph_id, ht, nodes): entropy of an annotated tree, and its nodes without the root."""
     over = noted.select(GID, F.col("node").alias("parent"), F.col("v").alias("vp"))
     total = noted.where("parent is null").select(GID, F.col("v").alias("vol"))
-    rows = noted.join(over, [GID, "parent"]).join(total, GID)
+    rows = noted.join(over, [GID, "parent"]).join(few(total), GID)
     part = -ratio(xlog(F.col("g"), ratio(F.col("v"), F.col("vp"))), F.col("vol"))
     return rows.groupBy(GID).agg(F.sum(part).alias("ht"), F.count(F.lit(1)).alias("nodes"))
 
@@ -121,7 +122,7 @@ def height(tree: DataFrame) -> DataFrame:
 
 def top_level_labels(tree: DataFrame, anc: DataFrame) -> DataFrame:
     """(graph_id, id, c): each vertex under the root's child above it, children numbered in order of their names."""
-    tops = tree.where("depth = 1").select(GID, "node", (F.dense_rank().over(Window.partitionBy(GID).orderBy("node")) - 1).alias("c"))
+    tops = numbered(tree.where("depth = 1").select(GID, "node"), [GID], [F.col("node")], "c")
     return anc.where("depth = 1").join(tops, [GID, "node"]).select(GID, F.col("vertex").alias("id"), "c")
 
 
@@ -133,7 +134,7 @@ def collapse_deltas(noted: DataFrame) -> DataFrame:
     """(graph_id, node, delta): change of entropy if an inner node's children move to its parent; never below 0."""
     over = noted.select(GID, F.col("node").alias("parent"), F.col("v").alias("vp"))
     total = noted.where("parent is null").select(GID, F.col("v").alias("vol"))
-    rows = noted.where("vertex is null and parent is not null").join(_children_cut(noted), [GID, "node"]).join(over, [GID, "parent"]).join(total, GID)
+    rows = noted.where("vertex is null and parent is not null").join(_children_cut(noted), [GID, "node"]).join(over, [GID, "parent"]).join(few(total), GID)
     delta = ratio(F.log2("vp") - F.log2("v"), F.col("vol")) * (F.col("s") - F.col("g"))
     return rows.where("v > 0 and vp > 0").select(GID, "node", delta.alias("delta"))
 
@@ -168,7 +169,7 @@ def relocate_deltas(edges: DataFrame, tree: DataFrame, anc: DataFrame, noted: Da
     total = noted.where("parent is null").select(GID, F.col("v").alias("vol"))
     # A leaf's cut has its self-loop, the weight that leaves it, bx, doesn't.
     own_loop = edges.where("src = dst").select(GID, F.concat(F.lit("v"), F.col("src").cast("string")).alias("x"), F.col("w").alias("loop"))
-    own = x.join(p, [GID, "p"]).join(rest, [GID, "x"], "left").join(own_loop, [GID, "x"], "left").join(total, GID)
+    own = x.join(p, [GID, "p"]).join(rest, [GID, "x"], "left").join(own_loop, [GID, "x"], "left").join(few(total), GID)
     own = own.withColumn("wp", F.coalesce("wp", F.lit(0.0))).withColumn("bx", F.col("gx") - 2 * F.coalesce("loop", F.lit(0.0)))
     to_q = w.select(GID, F.col("a").alias("x"), F.col("b").alias("q"), F.col("w").alias("wq"))
 

@@ -16,7 +16,7 @@ from ..sources import generators as S
 from ..sources import tables as T
 from . import benchmark
 from .register import CS, DEG, NATIONS, query
-from .tree_queries import HT, NOTED, TREE
+from .tree_queries import NOTED, TREE
 
 HIERARCHIES = {
     "average": lambda net: K.from_merges(net, P.linkage(P.hops(net), "average")),
@@ -88,7 +88,10 @@ def exploration(spark, sf_dir):
     return grid.groupBy("bonus", "seed").applyInPandas(run, "bonus string, seed int, first int, solved int, seen int")
 
 
-@query("crosscheck_tree", f"WITH {CS}, {NATIONS}, {DEG}, {TREE}, {NOTED} SELECT 0.0::DOUBLE AS difference, count(*) AS nodes FROM a WHERE {HT} IS NOT NULL")
+@query("crosscheck_tree", f"""WITH {CS}, {NATIONS}, {DEG}, {TREE}, {NOTED},
+x AS (SELECT p.node, w FROM e1 JOIN anc p ON p.vertex = src WHERE NOT EXISTS (SELECT 1 FROM anc q WHERE q.vertex = dst AND q.node = p.node)
+  UNION ALL SELECT p.node, w FROM e1 JOIN anc p ON p.vertex = dst WHERE NOT EXISTS (SELECT 1 FROM anc q WHERE q.vertex = src AND q.node = p.node)), g2 AS (SELECT node, sum(w) AS g2 FROM x GROUP BY node)
+SELECT round(max(abs(a.g - coalesce(g2, 0.0))), 9) + 0.0 AS difference, count(*) AS nodes FROM a LEFT JOIN g2 USING (node)""")
 def crosscheck_tree(spark, sf_dir):
     """Largest difference of cuts between the two ways of annotating a tree."""
     tree, edges = T.geography_tree(spark, sf_dir), cut(T.customer_supplier(spark, sf_dir))

@@ -259,14 +259,14 @@ def gcn_norm(spark, sf_dir):
 
 
 def _sinkhorn_sql(rounds: int) -> str:
-    parts = ["x0 AS (SELECT vec_id AS id, k, exp(CAST(embedding[k + 1] AS DOUBLE) - list_max(embedding[1:4])) AS v FROM embeddings, range(4) t(k))", "n AS (SELECT count(*) AS n FROM embeddings)"]
+    parts = ["x0 AS (SELECT vec_id AS id, k, exp(CAST(embedding[k + 1] AS DOUBLE) - list_max(embedding)) AS v FROM embeddings, range(64) t(k) WHERE k < len(embedding))", "n AS (SELECT count(*) AS n FROM embeddings)"]
     for i in range(rounds):
         parts.append(f"r{i} AS (SELECT id, k, v / sum(v) OVER (PARTITION BY id) AS v FROM x{i})")
-        parts.append(f"x{i + 1} AS (SELECT id, k, v * n / (4 * sum(v) OVER (PARTITION BY k)) AS v FROM r{i}, n)")
+        parts.append(f"x{i + 1} AS (SELECT id, k, v * n / ((SELECT max(len(embedding)) FROM embeddings) * sum(v) OVER (PARTITION BY k)) AS v FROM r{i}, n)")
     return f"WITH {', '.join(parts)} SELECT id, k, round(v / sum(v) OVER (PARTITION BY id), 6) + 0.0 AS s FROM x{rounds}"
 
 
-@query("sinkhorn_head", _sinkhorn_sql(3))
+@query("sinkhorn_head", _sinkhorn_sql(15))
 def sinkhorn_head(spark, sf_dir):
-    first = T.table(spark, sf_dir, "embeddings").select(F.lit("knn").alias(GID), F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("x"))
-    return soft.sinkhorn(first, rounds=3).select("id", F.posexplode("s").alias("k", "s")).select("id", F.col("k").cast("long").alias("k"), rounded(F.col("s")).alias("s"))
+    logits = T.table(spark, sf_dir, "embeddings").select(F.lit("knn").alias(GID), F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return soft.sinkhorn(logits).select("id", F.posexplode("s").alias("k", "s")).select("id", F.col("k").cast("long").alias("k"), rounded(F.col("s")).alias("s"))
