@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
-from ..operators import agglomerate, graph, lifting, moves, scores, trees
+from ..operators import agglomerate, graph, lifting, moves, refine, scores, trees
 from ..operators.checkpoints import cut
 from ..operators.graph import GID
 from ..sources import generators as S
@@ -156,6 +156,18 @@ def dendrogram_checked(spark, sf_dir):
     return found.join(F.broadcast(once))  # one row each
 
 
+@query("tree_refined", f"""WITH {CS}, {NATIONS}, {DEG}, {TREE}, {NOTED}
+SELECT true AS lower, (SELECT count(*) FROM lab) AS leaves, (SELECT count(*) FROM lab) AS vertices, CAST(1 AS BIGINT) AS roots, {r6(HT)} AS ht_before""")
+def tree_refined(spark, sf_dir):
+    """Three rounds of relocations in batches from the tree of regions and nations: lower, and whole."""
+    edges, tree = cut(T.customer_supplier(spark, sf_dir)), cut(T.geography_tree(spark, sf_dir))
+    done = cut(refine.refine(edges, tree, rounds=3))
+    value = lambda x: trees.tree_entropy(trees.annotated(edges, x)).select(GID, "ht")
+    both = value(tree).withColumnRenamed("ht", "ht_before").join(value(done), GID).select((F.col("ht") < F.col("ht_before")).alias("lower"), rounded(F.col("ht_before")).alias("ht_before"))
+    sizes = done.agg(F.count("vertex").alias("leaves"), F.count_distinct("vertex").alias("vertices"), F.sum(F.col("parent").isNull().cast("long")).alias("roots"))
+    return both.join(F.broadcast(sizes))  # one row each
+
+
 # --- one step of a search ---
 
 WTO = "wto AS (SELECT inc.id, lab.c AS b, sum(w) AS w FROM inc JOIN lab ON lab.id = inc.nbr WHERE inc.id <> inc.nbr GROUP BY 1, 2)"

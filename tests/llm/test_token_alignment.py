@@ -66,7 +66,7 @@ def result(found):
     return sorted(map(str, map(tuple, found.collect())))
 
 
-@pytest.mark.parametrize("block_bytes", [1, 3000, 1 << 22])
+@pytest.mark.parametrize("block_bytes", [500, 3000, 1 << 22])
 def test_against_brute_force(spark, encoders, block_bytes):
     rows = texts()
     found, pairs = alignment(frame(spark, rows), block_bytes=block_bytes)
