@@ -9,11 +9,11 @@ from sylva.llm.line_dedup import LEAST_WORDS, line_dedup
 from .fixtures import corpus, frame, prose
 
 
-def near(a, b):
-    """Whether two word lists are within one edit."""
+def one(a, b):
+    """Whether two sequences are within one edit."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) - len(a) > 1 or len(a) < LEAST_WORDS:
+    if len(b) - len(a) > 1:
         return False
     i = 0
     while i < len(a) and a[i] == b[i]:
@@ -21,6 +21,19 @@ def near(a, b):
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
+def near(a, b):
+    """Whether two word lists are within the edit bound."""
+    x, y = (b" ".join(w).decode() for w in (a, b))
+    if min(len(a), len(b)) >= LEAST_WORDS and one(a, b):
+        return True
+    if min(len(x), len(y)) < 5:
+        return False
+    if max(len(a), len(b)) < LEAST_WORDS and one(x, y):
+        return True
+    short, long = sorted((x, y), key=len)
+    return any(long[i] == " " and long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
 def brute(rows):
     lines = []
     for i, t in rows:
@@ -53,6 +66,8 @@ def cases():
 
     rows = list({i: (i, t) for i, t in corpus()}.values())
     rows += [(100 + i, "\n".join(rng.choice((changed(rng.choice(base)), prose(rng, 6), "", "a a b a a", "a a a a b b a")) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    shorts = ["Table of contents", "Tableof contents", "Table of content", "Tablé of contents", "Table oX contents", "Table  of contents", "abcd", "abcde", "abcdf", "abc de", "ab cde", "a b c d e f", "ab c d e f", "a bc d e f", "one two three four", "one two three fourX", "one two three fo ur", "onetwo three fo ur", "one two thr ee fo ur", "日本語テキ", "日本語テキス", "日本誤テキス"]
+    rows += [(200 + i, "\n".join(rng.choice(shorts) for _ in range(rng.randint(1, 4)))) for i in range(30)]
     return rows + [(None, base[0] + "\n" + prose(rng, 9))]
 
 
@@ -82,6 +97,26 @@ def test_lines_that_polynomials_confuse(spark):
     assert sorted((r.doc_id, r.n_removed) for r in line_dedup(docs).collect()) == [(1, 0), (2, 0), (3, 1), (4, 1)]
 
 
+def removed(spark, *lines):
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return sorted(r.doc_id for r in line_dedup(docs, texts=False).collect() if r.n_removed)
+
+
+def test_short_lines_and_spaces(spark):
+    """One character in a short line, one space in any line; two letters in two words are beyond the bound."""
+    long = "the quick brown fox jumps over the lazy dog"
+    lines = ["All rights reserved", "All rights reserve", "All rightsreserved", "All Rights Reserved", "Menu", "Menus", long, long.replace("jumps", "jum ps"), long.replace("quick", "quack").replace("lazy", "lacy")]
+    assert removed(spark, *lines) == [1, 2, 7]
+    # A space that makes five words of four, and a chain in which only neighbours are near.
+    assert removed(spark, "one two three four", "one two three fo ur", "one two th ree fo ur", "one two th ree four") == [1, 2, 3]
+    assert removed(spark, "abcd", "abcdx", "bcdx", "") == []
+
+
+def test_one_long_word(spark):
+    word = "".join(random.Random(2).choice("abcdefgh") for _ in range(300_000))
+    assert removed(spark, word, word[:1000] + "X" + word[1001:], word[:7] + word[8:], word[:7] + word[9:]) == [1, 2, 3]
+
+
 def test_edit_distance_is_verified(spark, monkeypatch):
     """Where all lines' variants hash alike, only true neighbours of the earliest line go."""
     real = module.lacking
@@ -109,12 +144,24 @@ def test_very_long_lines_and_texts(spark):
     assert got == {1: 0, 2: 1, 3: 0, 4: 3999, 5: 1}
 
 
-def test_variants_are_hashes_of_the_words_left():
+def test_variants_are_hashes_of_what_is_left():
     rng = random.Random(1)
-    lines = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 9))).encode() for _ in range(200)]
+    lines = [" ".join(rng.choice(("a", "b", "c", "ab", "ca")) for _ in range(rng.randint(1, 9))).encode() for _ in range(200)]
     for base in module.PRIME_BASES:
-        by_words, by_hash = {}, {}
+        by_left, by_hash = {}, {}
         for line, at, h in zip(*(c.tolist() for c in module.variants(lines, base))):
-            w = lines[line].split()
-            left = tuple(w if at < 0 else w[:at] + w[at + 1 :])
-            assert by_words.setdefault(left, h) == h and by_hash.setdefault(h, left) == left
+            if at == module.SPACE:
+                continue
+            w = lines[line].split() if len(lines[line].split()) >= LEAST_WORDS else lines[line].decode()
+            left = ("whole", lines[line]) if at < 0 else (type(w), tuple(w[:at]) + tuple(w[at + 1 :]))
+            if at >= 0:
+                assert by_left.setdefault(left, h) == h and by_hash.setdefault(h, left) == left
+        spaced = {}
+        for line, at, h in zip(*(c.tolist() for c in module._without_space(lines, module.Words(lines), base))):
+            spaced.setdefault(h, set()).add((line, at))
+        wholes = {next(iter(v for v, a in found if a == module.NOTHING)): h for h, found in spaced.items() if any(a == module.NOTHING for _, a in found)}
+        for line, text in enumerate(lines):
+            gaps = [i for i, c in enumerate(text) if c == 32]
+            for other in [text[:i] + text[i + 1 :] for i in gaps]:
+                if other in lines and (at := lines.index(other)) in wholes:
+                    assert (line, module.SPACE) in spaced[wholes[at]]
