@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import fixed, rounded, share, unit
 from ..operators import downstream as D
-from ..operators import learners, search
-from ..operators.graph import GID
+from ..operators import learners, neighbours, search
+from ..operators.checkpoints import folder
+from ..operators.graph import GID, canonical
 from ..operators.kernels import trees as K
 from ..sources import export
 from ..sources import generators as S
@@ -40,9 +41,11 @@ def _edge_similarity(spark, sf_dir, edges):
     return edges.join(a, "src").join(b, "dst").select(GID, "src", "dst", F.round(sim, 9).alias("sim"))
 
 
-@query("knn_pairs", f"WITH {NEAR} SELECT u, v, round(sim, 6) + 0.0 AS sim, CAST(place AS BIGINT) AS place FROM nn")
+@query("knn_pairs", f"""WITH pr AS (SELECT a.vec_id AS u, b.vec_id AS v, round({SIM}, 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT u, v, round(sim, 6) + 0.0 AS sim, row_number() OVER (PARTITION BY u ORDER BY sim DESC, v) AS place FROM pr QUALIFY place <= 5""")
 def knn_pairs(spark, sf_dir):
-    near = T.neighbours(T.similar_pairs(T.table(spark, sf_dir, "embeddings"), "label"), 5)
+    """The five nearest of all vectors for each."""
+    near = neighbours.nearest(T.table(spark, sf_dir, "embeddings"), 5)
     return near.select("u", "v", rounded(F.col("sim")).alias("sim"), F.col("place").cast("long").alias("place"))
 
 
@@ -312,3 +315,20 @@ def stream_counts(spark, sf_dir):
     job = found.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query("stream_transitions", f"WITH {EV} SELECT src, dst, w FROM e1")
+def stream_transitions(spark, sf_dir):
+    """Transitions between event types by a stateful stream over the events table, dealt out by time into four micro-batches."""
+    events = T.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    bounds = events.select(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75]).alias("q")).first()["q"] or []
+    part = sum((F.coalesce((F.unix_micros("ts") > q).cast("int"), F.lit(0)) for q in bounds), F.lit(0))
+    for k in range(len(bounds) + 1):  # files are read in the order in which they are written
+        events.where(part == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    found = incremental.stateful_steps(stream)
+    schema = found.schema
+    job = found.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return canonical(spark.read.schema(schema).parquet(f"{path}/out"), graph_id="ev").select("src", "dst", "w")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import dot, norm
 from ..operators.graph import GID, canonical
+from ..operators.neighbours import nearest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,16 +75,10 @@ def similar_pairs(vectors: DataFrame, block: str, vec_id: str = "vec_id", embedd
     return a.join(b, "block").where("u <> v").select(F.lit("knn").alias(GID), "u", "v", "block", sim.alias("sim"))
 
 
-def neighbours(pairs: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most similar of each u; of equals the smallest v."""
-    order = Window.partitionBy(GID, "u").orderBy(F.col("sim").desc(), "v")
-    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
 def knn_graph(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """Vectors of one label linked to their ``k`` nearest; weight 1 or, if mutual, 2."""
-    near = neighbours(similar_pairs(table(spark, sf_dir, "embeddings"), "label"), k)
-    return canonical(near.select(GID, F.col("u").alias("src"), F.col("v").alias("dst")))
+    """Vectors linked to their ``k`` nearest of all; weight 1 or, if mutual, 2."""
+    near = nearest(table(spark, sf_dir, "embeddings"), k)
+    return canonical(near.select(F.col("u").alias("src"), F.col("v").alias("dst")), graph_id="knn")
 
 
 def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

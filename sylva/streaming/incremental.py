@@ -7,8 +7,12 @@ any batch come from three small tables. A batch that is delivered again replaces
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalar import plogp
 from ..operators.graph import GID, canonical, incidence, labelled
@@ -59,3 +63,23 @@ def steps_of_batch(events: DataFrame, actor: str = "user_id", state: str = "even
     nxt = F.lead(state).over(Window.partitionBy(actor).orderBy(*order))
     pairs = events.select(F.col(state).alias("src"), nxt.alias("dst")).where("dst is not null")
     return canonical(pairs, graph_id="ev")
+
+
+def stateful_steps(events: DataFrame, actor: str = "user_id", state: str = "event_type", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """(src, dst) of each actor's successive states over a whole stream: keyed state holds the last state of each actor.
+
+    So the step from one micro-batch to the next isn't lost, and any split of the stream into batches gives the same steps, as long as
+    an actor's events come in order between batches; within one they may come in any order. An actor's rows of
+    one micro-batch are sorted in one task; ``maxFilesPerTrigger`` bounds them. Null actors are one actor; null states are skipped.
+    """
+
+    def steps(_: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = pd.concat(list(chunks)).sort_values(list(order))[state].tolist()
+        if held.exists:
+            now = [held.get[0], *now]
+        held.update((now[-1],))
+        yield pd.DataFrame({"src": now[:-1], "dst": now[1:]})
+
+    kind = events.schema[state].dataType.simpleString()
+    rows = events.where(F.col(state).isNotNull()).select(actor, state, *order).groupBy(actor)
+    return rows.applyInPandasWithState(steps, f"src {kind}, dst {kind}", f"last {kind}", "append", GroupStateTimeout.NoTimeout)
