@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, xlog
-from .checkpoints import cut
+from .checkpoints import cut, stored
 from .graph import GID, degrees, few, volume
 
 
@@ -84,3 +84,80 @@ def ppr_pi_entropy(pi: DataFrame, edges: DataFrame, labels: DataFrame, query: Da
     phi = (1 - alpha) * F.coalesce("flow", F.lit(0.0)) + alpha * F.col("vol") * (1 - F.coalesce("qx", F.lit(0.0)))
     part = xlog(phi, F.col("vol")) + F.col("s") - xlog(F.col("vol"), F.col("vol"))
     return rows.groupBy(GID).agg((-F.sum(part)).alias("h_pi"))
+
+
+def push(edges: DataFrame, query: DataFrame, alpha: float = 0.15, eps: float = 1e-6) -> DataFrame:
+    """(graph_id, id, p, r): PageRank by forward push, and the residuals that are left.
+
+    Each round, all vertices whose residual exceeds ``eps`` times their weight push it: a share of ``alpha``
+    stays, the rest goes to the neighbours. Only vertices that mass has reached have rows, so work is
+    local to the query. Where the walk can't go on, the rest is lost, as in ``ppr``.
+    """
+    trans = transitions(edges)
+    weight = edges.select(GID, "src", "w").union(edges.where("src <> dst").select(GID, F.col("dst").alias("src"), "w")).groupBy(GID, F.col("src").alias("id")).agg(F.sum("w").alias("t"))
+    trans, weight = stored(trans), stored(weight)
+    state = stored(query.select(GID, "id", F.lit(0.0).alias("p"), F.col("q").alias("r")))
+    while True:
+        rows = state.join(weight, [GID, "id"], "left").withColumn("active", F.col("r") > eps * F.coalesce("t", F.lit(0.0)))
+        rows = stored(rows.select(GID, "id", "p", "r", "active"))
+        pushed = rows.where("active")
+        if pushed.isEmpty():
+            return state
+        come = pushed.select(GID, F.col("id").alias("src"), F.col("r").alias("at")).join(trans, [GID, "src"])
+        come = come.groupBy(GID, F.col("dst").alias("id")).agg(((1 - alpha) * F.sum(F.col("at") * F.col("p"))).alias("come"))
+        kept, rest = F.when(F.col("active"), alpha * F.col("r")).otherwise(0.0), F.when(F.col("active"), 0.0).otherwise(F.col("r"))
+        own = rows.select(GID, "id", (F.col("p") + kept).alias("p"), rest.alias("r"))
+        zero = F.lit(0.0)
+        state = stored(own.join(come, [GID, "id"], "full").select(GID, "id", F.coalesce("p", zero).alias("p"), (F.coalesce("r", zero) + F.coalesce("come", zero)).alias("r")))
+
+
+def pi_moves(pi: DataFrame, trans: DataFrame, labels: DataFrame) -> DataFrame:
+    """(graph_id, id, a, b, delta): the change of ``pi_entropy`` if a vertex of module a goes to one it has flow to or from.
+
+    In closed form: without v, module a lets out what it sent to v and no longer what v sent elsewhere; b the other way round.
+    """
+    at = pi.select(GID, F.col("id").alias("src"), F.col("p").alias("at"))
+    flow = trans.where("src <> dst").join(at, [GID, "src"]).select(GID, "src", "dst", (F.col("at") * F.col("p")).alias("f"))
+    of = lambda name, c: labels.select(GID, F.col("id").alias(name), F.col("c").alias(c))
+    flow = stored(flow.join(of("src", "cu"), [GID, "src"]).join(of("dst", "cv"), [GID, "dst"]))
+    out = flow.groupBy(GID, F.col("src").alias("id")).agg(F.sum("f").alias("out"))
+    both = flow.select(GID, F.col("src").alias("id"), F.col("cv").alias("b"), "f").union(flow.select(GID, F.col("dst").alias("id"), F.col("cu").alias("b"), "f"))
+    both = stored(both.groupBy(GID, "id", "b").agg(F.sum("f").alias("both")))
+    phi = flow.where("cu <> cv").groupBy(GID, F.col("cu").alias("c")).agg(F.sum("f").alias("phi"))
+    zero = F.lit(0.0)
+    vol = labels.join(pi, [GID, "id"]).groupBy(GID, "c").agg(F.sum("p").alias("vol"), F.count(F.lit(1)).alias("n"))
+    modules = stored(vol.join(phi, [GID, "c"], "left").select(GID, "c", "vol", "n", F.coalesce("phi", zero).alias("phi")))
+    side = lambda x: modules.select(GID, F.col("c").alias(x), F.col("vol").alias(f"v{x}"), F.col("phi").alias(f"f{x}"), F.col("n").alias(f"n{x}"))
+    own = labels.withColumnRenamed("c", "a").join(pi, [GID, "id"]).join(out, [GID, "id"], "left")
+    own = own.join(both.withColumnRenamed("b", "a").withColumnRenamed("both", "own"), [GID, "id", "a"], "left")
+    rows = own.join(both, [GID, "id"]).where("a <> b").join(side("a"), [GID, "a"]).join(side("b"), [GID, "b"])
+    out, ours = F.coalesce("out", zero), F.coalesce("own", zero)
+    part = lambda f, v: xlog(f, v) - xlog(v, v)
+    less = F.when(F.col("na") == 1, zero).otherwise(part(F.col("fa") - out + ours, F.col("va") - F.col("p")))
+    more = part(F.col("fb") + out - F.col("both"), F.col("vb") + F.col("p"))
+    delta = part(F.col("fa"), F.col("va")) + part(F.col("fb"), F.col("vb")) - less - more
+    return rows.select(GID, "id", "a", "b", delta.alias("delta"))
+
+
+def pi_search(pi: DataFrame, trans: DataFrame, labels: DataFrame, tolerance: float = 1e-3, rounds: int | None = None) -> DataFrame:
+    """(graph_id, id, c): labels of lower ``pi_entropy`` by synchronous rounds from given ones, each vertex with its best move.
+
+    Ends after two rounds in a row that lower no graph's entropy by over ``tolerance`` bits, or after ``rounds``.
+    """
+    from .search import _round
+
+    pi, trans, labels = stored(pi), stored(trans), stored(labels)
+
+    def best(_, now, __):
+        key = F.struct(F.round("delta", 9).alias("delta"), "a", "b")
+        moves = pi_moves(pi, trans, now).where("delta < -1e-9")
+        return moves.groupBy(GID, "id").agg(F.min(key).alias("m")).select(GID, "id", "m.a", "m.b", "m.delta")
+
+    value = lambda _, now, __: pi_entropy(pi, trans, now).withColumnRenamed("h_pi", "h2")
+    before, idle, done = stored(value(None, labels, None)), 0, 0
+    while idle < 2 and done != rounds:
+        labels, now = _round(None, labels, None, done, before, 3, best, value)
+        fall = before.withColumnRenamed("h2", "old").join(now, GID).agg(F.max(F.col("old") - F.col("h2"))).first()[0]
+        idle = idle + 1 if fall is None or fall <= tolerance else 0
+        before, done = now, done + 1
+    return labels

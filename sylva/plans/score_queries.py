@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators import graph, pi, scores, soft
-from ..operators.checkpoints import cut
+from ..operators.checkpoints import cut, stored
 from ..operators.graph import GID
 from ..sources import tables as T
 from .register import COMM, CS, CS_ALL, DEG, EV, H1, NATIONS, query, r6, term_sql
@@ -217,6 +217,43 @@ def ppr_iter10(spark, sf_dir):
     return pi.ppr(edges, _query_vertex(edges), iters=10, tol=0.0).select("id", F.round("p", 9).alias("p"))
 
 
+@query("ppr_push", "SELECT 'cs' AS graph_id, CAST(0 AS BIGINT) AS above, CAST(0 AS BIGINT) AS broken, 1.0 AS mass")
+def ppr_push(spark, sf_dir):
+    """Forward push on the customer-supplier graph, checked: residuals above their bound, vertices where mass isn't balanced, and all mass."""
+    edges, alpha, eps = cut(T.customer_supplier(spark, sf_dir)), 0.15, 1e-6
+    start = _query_vertex(edges)
+    found = stored(pi.push(edges, start, alpha, eps))
+    # What a vertex pushed is p / alpha, so r = q + (1 - alpha) * inflow - p / alpha.
+    came = pi.transitions(edges).withColumnRenamed("p", "step").join(found.select(GID, F.col("id").alias("src"), "p"), [GID, "src"])
+    came = came.groupBy(GID, F.col("dst").alias("id")).agg(F.sum((1 - alpha) / alpha * F.col("p") * F.col("step")).alias("come"))
+    zero = F.lit(0.0)
+    rows = graph.degrees(edges).join(found, [GID, "id"], "left").join(came, [GID, "id"], "left").join(start, [GID, "id"], "left")
+    p, r = F.coalesce("p", zero), F.coalesce("r", zero)
+    broken = F.abs(F.coalesce("q", zero) + F.coalesce("come", zero) - p / alpha - r) > 1e-9
+    count = lambda x: F.sum(x.cast("long"))
+    return rows.groupBy(GID).agg(count(r > eps * F.col("d")).alias("above"), count(broken).alias("broken"), rounded(F.sum(p + r), 9).alias("mass"))
+
+
+FLOW = "pi AS (SELECT id, d / m2 AS p FROM deg, tot), fl AS (SELECT tr.src, tr.dst, pi.p * tr.p AS f FROM tr JOIN pi ON pi.id = tr.src)"
+
+
+@query("pi_moves", f"""WITH {CS}, {NATIONS}, {DEG}, {TRANS}, {FLOW}, l2 AS (SELECT lab.id, c, p FROM lab JOIN pi USING (id)),
+w AS (SELECT v.id, v.c AS a, v.p, x.c AS b, sum(fl.f) AS f FROM l2 v JOIN fl ON fl.src = v.id JOIN l2 x ON x.id = fl.dst GROUP BY ALL),
+m AS (SELECT l2.c, sum(p) AS vol, count(*) AS n, any_value(coalesce(phi, 0)) AS phi FROM l2 LEFT JOIN (SELECT a AS c, sum(f) AS phi FROM w WHERE a <> b GROUP BY a) USING (c) GROUP BY l2.c),
+o AS (SELECT id, sum(f) AS tot, sum(CASE WHEN a = b THEN f ELSE 0 END) AS own FROM w GROUP BY id),
+t AS (SELECT w.id, w.a, w.b, x.vol - p AS va, x.phi - (o.tot - o.own) + o.own AS fa, x.n, y.vol + p AS vb, y.phi + o.tot - 2 * f AS fb, x.phi * log2(x.vol) - x.vol * log2(x.vol) + y.phi * log2(y.vol) - y.vol * log2(y.vol) AS old
+  FROM w JOIN o USING (id) JOIN m x ON x.c = a JOIN m y ON y.c = b WHERE a <> b)
+SELECT id, a, b, round(old - CASE WHEN n = 1 THEN 0 ELSE fa * log2(va) - va * log2(va) END - (fb * log2(vb) - vb * log2(vb)), 6) + 0.0 AS delta FROM t""")
+def pi_moves(spark, sf_dir):
+    """Changes of the entropy under the degree distribution by all moves of a vertex from its nation to one it trades with.
+
+    The graph is undirected, so flows are symmetric there, which the SQL uses and the operator doesn't.
+    """
+    edges, labels = _cs(spark, sf_dir)
+    found = pi.pi_moves(pi.degree_pi(edges), pi.transitions(edges), labels)
+    return found.select("id", "a", "b", rounded(F.col("delta")).alias("delta"))
+
+
 H_PI = "-sum(CASE WHEN phi > 0 THEN phi * log2(vol) ELSE 0 END + s - vol * log2(vol))"
 
 

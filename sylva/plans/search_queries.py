@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators import pi as pi_ops
-from ..operators import graph, leiden, scores, search, trees
+from ..operators import graph, hops, leiden, scores, search, trees
 from ..operators.graph import GID
 from ..operators.kernels import partition as P
 from ..operators.kernels import pi as pi_kernel
@@ -160,6 +160,42 @@ def connected_components(spark, sf_dir):
     return search.connected(pairs).select("id", "c")
 
 
+@query("hop_sums", f"""WITH RECURSIVE {CS}, inc AS (SELECT src AS id, dst AS nbr FROM e1 UNION ALL SELECT dst, src FROM e1), n AS (SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n),
+r AS (SELECT 2 * s_suppkey + 1 AS source, 2 * s_suppkey + 1 AS id, 0 AS hops FROM supplier UNION SELECT r.source, inc.nbr, r.hops + 1 FROM r JOIN inc USING (id) WHERE r.hops < 6),
+d AS (SELECT source, id, min(hops) AS hops FROM r GROUP BY 1, 2)
+SELECT source, count(*) AS reached, CAST(sum(hops) + (n - count(*)) * n AS BIGINT) AS total, CAST(max(hops) AS BIGINT) AS eccentricity FROM d, n GROUP BY source, n""")
+def hop_sums(spark, sf_dir):
+    """Hops from each supplier to all customers and suppliers along orders."""
+    vertices = T.nation_labels(spark, sf_dir).select(GID, "id")
+    found = hops.hop_sums(T.customer_supplier(spark, sf_dir), vertices, vertices.where("id % 2 = 1"))
+    return found.select("source", "reached", "total", "eccentricity")
+
+
+@query("diameter", f"""WITH RECURSIVE {CS}, inc AS (SELECT src AS id, dst AS nbr FROM e1 UNION ALL SELECT dst, src FROM e1),
+two AS (SELECT DISTINCT x.id, y.nbr FROM inc x JOIN inc y ON x.nbr = y.id WHERE x.id % 2 = 1),
+r AS (SELECT DISTINCT id AS source, id, 0 AS hops FROM two UNION SELECT r.source, two.nbr, r.hops + 2 FROM r JOIN two USING (id) WHERE r.hops < 12),
+d AS (SELECT source, id, min(hops) AS hops FROM r GROUP BY 1, 2),
+near AS (SELECT d.source, inc.id, min(d.hops) + 1 AS hops FROM inc JOIN d ON d.id = inc.nbr WHERE inc.id % 2 = 0 GROUP BY 1, 2),
+far AS (SELECT inc.id AS customer, near.id, min(near.hops) + 1 AS hops FROM inc JOIN near ON near.source = inc.nbr WHERE inc.id % 2 = 0 AND inc.id <> near.id GROUP BY 1, 2)
+SELECT CAST(greatest((SELECT max(hops) FROM d), (SELECT max(hops) FROM near), (SELECT max(hops) FROM far)) AS BIGINT) AS diameter""")
+def diameter(spark, sf_dir):
+    """The most hops between two customers or suppliers along orders."""
+    return hops.diameter(T.customer_supplier(spark, sf_dir)).select("diameter")
+
+
+@query("pi_modules", f"WITH {CS}, v AS (SELECT src AS id FROM e1 UNION SELECT dst FROM e1) SELECT count(*) AS vertices, count(*) AS labelled, true AS below_nations FROM v")
+def pi_modules(spark, sf_dir):
+    """Modules of low entropy under the degree distribution, searched from the nations of the customer-supplier graph."""
+    edges = search.cut(T.customer_supplier(spark, sf_dir))
+    everyone = search.cut(search.vertices_of(edges))
+    start = search.cut(T.nation_labels(spark, sf_dir).join(everyone, [GID, "id"], "left_semi"))
+    at, trans = search.cut(pi_ops.degree_pi(edges)), search.cut(pi_ops.transitions(edges))
+    labels = search.cut(pi_ops.pi_search(at, trans, start))
+    value = lambda x: pi_ops.pi_entropy(at, trans, x).first()["h_pi"]
+    below = value(labels) < value(start)
+    return everyone.join(labels, [GID, "id"], "left").agg(F.count(F.lit(1)).alias("vertices"), F.count("c").alias("labelled"), F.lit(below).alias("below_nations"))
+
+
 @query("hop_distance", """WITH RECURSIVE b AS (SELECT range AS id, range % 6 AS x, range // 6 AS y FROM range(36)) SELECT s.id AS source, b.id, CAST(abs(b.x - s.x) + abs(b.y - s.y) AS BIGINT) AS hops FROM b, b s WHERE s.id IN (0, 14)""")
 def hop_distance(spark, sf_dir):
     edges, vertices = S.grid(spark, 6, 6)
