@@ -183,19 +183,6 @@ def diameter(spark, sf_dir):
     return hops.diameter(T.customer_supplier(spark, sf_dir)).select("diameter")
 
 
-@query("pi_modules", f"WITH {CS}, v AS (SELECT src AS id FROM e1 UNION SELECT dst FROM e1) SELECT count(*) AS vertices, count(*) AS labelled, true AS below_nations FROM v")
-def pi_modules(spark, sf_dir):
-    """Modules of low entropy under the degree distribution, searched from the nations of the customer-supplier graph."""
-    edges = search.cut(T.customer_supplier(spark, sf_dir))
-    everyone = search.cut(search.vertices_of(edges))
-    start = search.cut(T.nation_labels(spark, sf_dir).join(everyone, [GID, "id"], "left_semi"))
-    at, trans = search.cut(pi_ops.degree_pi(edges)), search.cut(pi_ops.transitions(edges))
-    labels = search.cut(pi_ops.pi_search(at, trans, start))
-    value = lambda x: pi_ops.pi_entropy(at, trans, x).first()["h_pi"]
-    below = value(labels) < value(start)
-    return everyone.join(labels, [GID, "id"], "left").agg(F.count(F.lit(1)).alias("vertices"), F.count("c").alias("labelled"), F.lit(below).alias("below_nations"))
-
-
 @query("hop_distance", """WITH RECURSIVE b AS (SELECT range AS id, range % 6 AS x, range // 6 AS y FROM range(36)) SELECT s.id AS source, b.id, CAST(abs(b.x - s.x) + abs(b.y - s.y) AS BIGINT) AS hops FROM b, b s WHERE s.id IN (0, 14)""")
 def hop_distance(spark, sf_dir):
     edges, vertices = S.grid(spark, 6, 6)

@@ -11,7 +11,7 @@ from sylva.plans import catalog
 
 FOLDER = os.environ.get("SYLVA_TEST_TABLES", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"se_distributed", "pi_search", "se_gnn", "se_louvain", "dendrogram_checked", "leiden_distributed", "tree_refined", "pi_modules", "diameter"}
+SLOW = {"se_distributed", "pi_search", "se_gnn", "se_louvain", "dendrogram_checked", "leiden_distributed", "tree_refined", "diameter"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
