@@ -160,11 +160,11 @@ def classes(rows: DataFrame, unit: type, size: int, gram: int, leads: bool = Fal
     return classes_of(stored(find_anchors(rows, unit, size, gram, passing, leads)))
 
 
-def classes_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``classes`` of the rows of a stored table."""
-    more = [c for c in found.columns if c not in ("anchor", "block")]
-    known = stored(found.groupBy("anchor", "block").agg(F.min(F.struct(*more)).alias("first"), F.count(F.lit(1)).alias("n")))
+def classes_of(found: DataFrame, same: str = "block") -> tuple[DataFrame, DataFrame]:
+    """``classes`` of the rows of a stored table; members of a class agree in anchor and in the column ``same``."""
+    more = [c for c in found.columns if c not in ("anchor", same)]
+    known = stored(found.groupBy("anchor", same).agg(F.min(F.struct(*more)).alias("first"), F.count(F.lit(1)).alias("n")))
     several = known.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    firsts = split_join(known.select("anchor", "block", "first.*"), several, ["anchor"])
-    members = split_join(found, known.where("n > 1").select("anchor", "block", "first"), ["anchor", "block"])
+    firsts = split_join(known.select("anchor", same, "first.*"), several, ["anchor"])
+    members = split_join(found, known.where("n > 1").select("anchor", same, "first"), ["anchor", same])
     return members.where("did <> first.did or th <> first.th or place <> first.place"), firsts

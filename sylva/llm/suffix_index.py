@@ -6,24 +6,28 @@ a document with a smaller doc_id, or earlier in its own.
 Index. A shard's texts, each with an end of its own, are sorted by suffix and give their
 Burrows-Wheeler transform, which is kept as runs: each run's symbol and length and, sampled at the run's head,
 the suffix there, the suffix before it in order, and the length that the two
-have in common. The suffix array itself isn't kept. Walking the text from one sampled place to the next,
-each step lowers that length by one and moves both places on; this streams the
+have in common. The suffix array itself isn't kept. The texts are streamed through the transform
+from their ends, all of a shard side by side: a run's symbol and the number of that symbol in earlier runs
+take a place's row to the row of the place before it. Walking the text from one sampled place to the next,
+each step lowers the sampled length by one and moves both places on; these are the
 matching statistics, the longest match of each place with its neighbour in
-suffix order, and the neighbour. Where they reach ``SIZE`` the two places have equal strings; following
-neighbours links all places of one string, and all but the first in text order are
-marked.
+suffix order, and the neighbour. Rows in a row whose statistics reach ``SIZE`` have one string;
+all its places but the first in text order are marked.
 
 Shards. Which strings can be equal is settled by winnowed anchors, of which each
 string has one that its bytes fix: equal strings meet under one anchor. The
 corpus is repetitive, so equal blocks of an anchor (equal in anchor and XXH64) are run-compressed first: of
-a class only its first member is indexed and the others are repeated whole.
+a class only its first member is indexed. The others are chained with it where they adjoin, and what
+the first's document has there is compared with the member's bytes: nothing is removed by a hash. Should blocks of one
+class differ, only stretches of ``SIZE`` bytes that equal the first's are removed of them.
 Shards are ranges of anchors of about ``SHARD_BYTES``. An anchor with more than
 ``SHARD_BLOCKS`` distinct blocks is divided further: its strings get anchors again, by the next larger gram, under which blocks are
-classed and indexed in the same way. The largest gram is the string itself, so this ends.
+classed, by their bytes, and indexed in the same way. The largest gram is the string itself, so this ends.
 
 Scale. First shuffled is a small row for each anchor that occurs twice or
 more (those that don't are filtered by a bitmap of bounded size), then the
-blocks of anchors with several classes. Of the texts only those are shuffled that have bytes to remove. A task holds a shard at a time, and a shard
+blocks of anchors with several classes, then the bytes that members are compared with, each stretch once for each document that
+repeats it. Of the texts only those are shuffled that have bytes to lend or to remove. A task holds a shard at a time, and a shard
 at most one anchor of ``SHARD_BLOCKS`` blocks more than ``SHARD_BYTES``.
 
 Defined results: a null text is empty; a null doc_id comes after all others; rows that
@@ -42,9 +46,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Bytes, winnow
-from .repeats import PLACE, bitmap, classes, classes_of, completed, in_bitmap, numbered, sliced, texts_of
+from .repeats import PLACE, bitmap, chosen, classes, classes_of, completed, in_bitmap, numbered, sliced, texts_of
 from .rolling import digests, mixed
-from .runtime import stored, table
+from .runtime import split_join, stored, table
+from .substring_dedup import chains, merged
 
 SIZE = 100
 GRAM = 24
@@ -111,23 +116,33 @@ class RunIndex:
         walked = np.arange(self.length) - np.repeat(self.places, steps)
         return np.repeat(self.neighbours, steps) + walked, np.maximum(0, np.repeat(self.common, steps) - walked)
 
+    def rows(self) -> np.ndarray:
+        """The row of each place in suffix order, by steps over the runs from each text's end backwards."""
+        order = np.argsort(self.symbols, kind="stable")
+        earlier = np.empty(len(order), np.int64)  # of all symbols that sort before a run's, and of its own in earlier runs
+        earlier[order] = np.cumsum(self.sizes[order]) - self.sizes[order]
+        step = np.repeat(earlier - (np.cumsum(self.sizes) - self.sizes), self.sizes)
+        row = np.empty(self.length, np.int64)
+        place, here = self.ends.copy(), np.arange(len(self.ends))  # ends sort first, in order
+        left = place - self.starts
+        while True:
+            row[place] = here
+            on = np.flatnonzero(left > 0)
+            if not len(on):
+                return row
+            here, place, left = here[on], place[on] - 1, left[on] - 1
+            here += step[here]
+
     def repeated(self, size: int) -> np.ndarray:
         """The places, in order, whose string of ``size`` symbols also starts at a smaller place."""
-        neighbour, common = self.matching_statistics()
-        linked = np.flatnonzero(common >= size)
-        if not len(linked):
-            return linked
-        ahead = np.arange(self.length)
-        ahead[linked] = neighbour[linked]
-        walking = linked
-        while len(walking):  # twice as far at each step, to the place that heads the stretch
-            here = ahead[walking]
-            further = ahead[here]
-            ahead[walking] = further
-            walking = walking[further != here]
-        first = np.arange(self.length)
-        np.minimum.at(first, ahead[linked], linked)
-        return np.flatnonzero(first[ahead] != np.arange(self.length))
+        common = self.matching_statistics()[1]
+        if not np.any(common >= size):
+            return np.zeros(0, np.int64)
+        place = np.empty(self.length, np.int64)
+        place[self.rows()] = np.arange(self.length)
+        head = np.flatnonzero(common[place] < size)
+        first = np.repeat(np.minimum.reduceat(place, head), np.diff(np.append(head, self.length)))
+        return np.sort(place[place != first])
 
 
 def _common(packs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -228,8 +243,8 @@ def _index_shards(blocks: DataFrame, size: int) -> DataFrame:
 
 
 def _divided(blocks: DataFrame, size: int, gram: int) -> DataFrame:
-    """(anchor, block, did, th, place, data): the strings of ``blocks`` by their anchors of ``gram`` bytes, within each anchor of before."""
-    names = ["anchor", "block", "did", "th", "place", "data"]
+    """(anchor, did, th, place, data): the strings of ``blocks`` by their anchors of ``gram`` bytes, within each anchor of before."""
+    names = ["anchor", "did", "th", "place", "data"]
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,26 +256,63 @@ def _divided(blocks: DataFrame, size: int, gram: int) -> DataFrame:
             before, did, th, place = (batch.column(k).to_numpy()[text] for k in range(4))
             anchor = digests(found["anchor"].view(np.uint8), np.arange(len(text)) * 8, np.arange(len(text)) * 8 + 8, before.view(np.uint64))
             low, high = begin - parts.start[text], end - parts.start[text]
-            columns = [anchor.view(np.int64), digests(parts.data, begin, end, found["offset"]).view(np.int64), did, th, (place // PLACE + low) * PLACE + windows]
+            columns = [anchor.view(np.int64), did, th, (place // PLACE + low) * PLACE + windows]
             pieces = [data[t][a:b] for t, a, b in zip(text.tolist(), low.tolist(), high.tolist())]
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(pieces, pa.binary())], names=names)
 
-    return blocks.mapInArrow(divide, "anchor long, block long, did long, th long, place long, data binary")
+    return blocks.mapInArrow(divide, "anchor long, did long, th long, place long, data binary")
+
+
+def _lent(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(partner_did, partner_th, begin, end, data): the bytes of each of ``spans``, of other documents."""
+    listed = spans.groupBy(F.col("partner_did").alias("did"), F.col("partner_th").alias("th")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    names = ["partner_did", "partner_th", "begin", "end", "data"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            did, th = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, t in enumerate(texts_of(batch.column(2))):
+                spans = batch.column(3)[i].as_py()
+                for at in range(0, len(spans), 1000):
+                    some = spans[at : at + 1000]
+                    columns = [[did[i]] * len(some), [th[i]] * len(some), [s["begin"] for s in some], [s["end"] for s in some]]
+                    pieces = [t[s["begin"] : s["end"]] for s in some]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(pieces, pa.binary())], names=names)
+
+    joined = chosen(rows, listed).join(listed, ["did", "th"]).select("did", "th", "text", "spans")
+    return joined.mapInArrow(read, "partner_did long, partner_th long, begin long, end long, data binary")
+
+
+def _compared(rows: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(did, th, match): what the members' documents are to be compared with; ``match.data`` is null if it is in the document itself.
+
+    ``match.at`` lists the places whose bytes should equal those of the first members from ``match.begin`` to ``match.end``.
+    """
+    wide = lambda place: F.shiftleft(F.shiftright(place, 8), 16) + place % PLACE
+    partner = F.struct("first.did", "first.th", wide(F.col("first.place")).alias("place")).alias("partner")
+    found = chains(members.select("did", "th", wide(F.col("place")).alias("place"), partner), size)
+    span = ["partner_did", "partner_th", "begin", "end"]
+    found = stored(found.groupBy("did", "th", *span).agg(F.collect_list("at").alias("at")))
+    own = (F.col("did") == F.col("partner_did")) & (F.col("th") == F.col("partner_th"))
+    others = found.where(~own)
+    lent = split_join(others, _lent(rows, others.select(*span).distinct()), span)
+    matches = lent.unionByName(found.where(own).withColumn("data", F.lit(None).cast("binary")))
+    return matches.select("did", "th", F.struct("at", "begin", "end", "data").alias("match"))
 
 
 def repeated_strings(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(did, th, place): runs of strings of ``numbered`` rows that also start earlier."""
+    """(did, th, place, match): strings of ``numbered`` rows that also start earlier, as runs of places or as matches to be compared (:func:`_compared`)."""
     members, firsts = classes(rows, Bytes, size, gram)
     firsts = stored(firsts)
-    found = members.select("did", "th", "place")
     if not rows.where("th not in (0, 1)").isEmpty():  # rows equal in both have one block of each place; th is 0 or 1 where no ids are repeated
         rows = rows.dropDuplicates(["did", "th"])
-    found = found.union(_index_shards(_blocks(rows, firsts.where(F.col("classes") <= SHARD_BLOCKS), size, gram), size))
+    matches = _compared(rows, members, size)
+    found = _index_shards(_blocks(rows, firsts.where(F.col("classes") <= SHARD_BLOCKS), size, gram), size)
     hot = firsts.where(F.col("classes") > SHARD_BLOCKS)
     blocks = None if hot.isEmpty() else stored(_blocks(rows, hot, size, gram))
     while blocks is not None:
         gram = min(size, 2 * gram)
-        members, firsts = classes_of(stored(_divided(blocks, size, gram)))
+        members, firsts = classes_of(stored(_divided(blocks, size, gram)), "data")
         firsts = stored(firsts)
         found = found.union(members.select("did", "th", "place"))
         shard = ["anchor", "did", "th", "place", "data"]
@@ -268,26 +320,42 @@ def repeated_strings(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> Dat
         found = found.union(_index_shards(firsts.where(small).select(*shard), size))
         hot = firsts.where(~small).select(*shard)
         blocks = None if hot.isEmpty() else stored(hot)
-    return found
+    return found.unionByName(matches, allowMissingColumns=True)
+
+
+def _equal(text: np.ndarray, match: dict, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of ``size`` bytes or more of ``text`` that equal those of a match."""
+    begin, end, data = match["begin"], match["end"], match["data"]
+    other = text[begin:end] if data is None else np.frombuffer(data, np.uint8)
+    for at in match["at"]:
+        here = text[at : at + len(other)]
+        if np.array_equal(here, other):
+            yield at, at + len(here)
+            continue
+        same = here == other[: len(here)]
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+        yield from ((at + a, at + b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= size)
 
 
 def suffix_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str = "doc_id", gram: int = GRAM, data: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (removed bytes: start, end), kept_sha256, and the kept bytes if asked for."""
     rows = numbered(docs, text, doc_id)
-    found = repeated_strings(rows, size, gram).groupBy("did", "th").agg(F.collect_list("place").alias("places"))
+    runs = F.struct(F.collect_list("place").alias("places"), F.collect_list("match").alias("matches"))
+    found = repeated_strings(rows, size, gram).groupBy("did", "th").agg(runs.alias("runs"))
     names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", *(["kept"] if data else [])]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, places in zip(texts_of(batch.column(1)), batch.column(2)):
+            for t, runs in zip(texts_of(batch.column(1)), batch.column(2)):
                 spans: list[tuple[int, int]] = []
-                if places.is_valid:
-                    start, n = np.divmod(np.sort(places.values.to_numpy()), PLACE)
-                    reach = np.maximum.accumulate(start + n - 1 + size)
-                    head = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
-                    spans = list(zip(start[head].tolist(), reach[np.append(head[1:], len(start)) - 1].tolist()))
+                if runs.is_valid:
+                    start, n = np.divmod(runs["places"].values.to_numpy(), PLACE)
+                    stretches = list(zip(start.tolist(), (start + n - 1 + size).tolist()))
+                    here = np.frombuffer(t, np.uint8)
+                    stretches += [s for m in runs["matches"] for s in _equal(here, m.as_py(), size)]
+                    spans = merged(stretches)
                 edges = [0, *(x for s in spans for x in s), len(t)]
                 kept = b"".join([t[a:b] for a, b in zip(edges[::2], edges[1::2])])
                 row = (len(t), len(t) - len(kept), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest())

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+import sylva.llm.repeats as repeats
 import sylva.llm.suffix_index as module
 from sylva.llm.suffix_index import RunIndex, suffix_dedup
 
@@ -67,6 +68,28 @@ def test_repeated_rows_beside_a_partly_equal_text(spark, monkeypatch, most):
     assert got == [first, first, second]
 
 
+@pytest.mark.parametrize("most", [512, 1])
+def test_clashing_block_hashes_remove_nothing_wrong(spark, monkeypatch, most):
+    monkeypatch.setattr(module, "SHARD_BLOCKS", most)
+    monkeypatch.setattr(repeats, "digests", lambda values, start, end, seed: np.zeros(len(start), np.uint64))
+    rng = random.Random(6)
+    shared, long = prose(rng, 40)[:98], prose(rng, 60)
+    shared = {k: chr(64 + k) + shared + chr(64 + k) for k in range(1, 9)}  # no longer common string than 98 bytes
+    rows = [(k, prose(rng, 30) + shared[k] + prose(rng, 30)) for k in range(1, 9)] + [(9, long), (10, prose(rng, 9) + long)]
+    got = {r.doc_id: r for r in suffix_dedup(frame(spark, rows)).collect()}
+    want = {i: n for i, _, n, _, _ in brute(rows, 100)}
+    assert all(got[i].n_removed <= want[i] for i in want)
+    assert all(want[i] == 0 for i in range(1, 10)) and got[10].n_removed == want[10] >= len(long)
+
+
+def test_one_byte_throughout_and_copies_of_long_texts(spark):
+    rng = random.Random(7)
+    long = prose(rng, 30_000)
+    rows = [(1, "x" * 30_000), (2, long), (3, "y" + long), (4, long[:90_000] + "z" + long[90_000:]), (5, "x" * 5_000)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup(frame(spark, rows), data=False).collect())
+    assert got == brute(rows, 100)
+
+
 def test_index():
     rng = random.Random(2)
     for _ in range(40):
@@ -77,6 +100,7 @@ def test_index():
         order = sorted(range(len(joined)), key=lambda i: joined[i:])
         neighbour, statistics = index.matching_statistics()
         follows = dict(zip(order[1:], order))
+        assert index.rows().tolist() == np.argsort(order).tolist()
         assert {i: n for i, n in enumerate(neighbour.tolist()) if i != order[0]} == follows
         transform = [joined[i - 1] for i in order]
         assert np.repeat(index.symbols, index.sizes).tolist() == [max(s, 0) for s in transform]
