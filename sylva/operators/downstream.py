@@ -156,3 +156,13 @@ def folds(rows: DataFrame, key: str, by: str, k: int = 10, seed: int = 0) -> Dat
     """``rows`` with ``fold`` 1..k: shares of equal size within each value of ``by``, in the order of a seeded hash."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     return rows.withColumn("fold", F.ntile(k).over(Window.partitionBy(by).orderBy(order, key)))
+
+
+def set_operations(members: DataFrame, a, b) -> DataFrame:
+    """(op, key): the intersection, the union and the difference (except) of sets ``a`` and ``b`` of ``members(set, key)``.
+
+    All three come from one aggregation by key; a null key is a key like others.
+    """
+    sides = members.where(F.col("set").isin(a, b)).groupBy("key").agg(F.bool_or(F.col("set") == F.lit(a)).alias("a"), F.bool_or(F.col("set") == F.lit(b)).alias("b"))
+    ops = [F.when(F.col("a") & F.col("b"), F.lit("intersect")), F.lit("union"), F.when(F.col("a") & ~F.col("b"), F.lit("except"))]
+    return sides.select(F.explode(F.array_compact(F.array(*ops))).alias("op"), "key")

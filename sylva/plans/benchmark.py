@@ -90,6 +90,17 @@ def summarize(records: DataFrame, metric: str = "ari", methods: list[str] | None
     return records.groupBy("dataset").pivot("method", methods).agg(F.avg(metric))
 
 
+def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``old`` and ``new``, one for each key; a key of both has the new row. Of repeated keys in one table the greatest row counts.
+
+    One shuffle with partial aggregation, for tables of any size; null keys are keys like others.
+    """
+    values = [c for c in old.columns if c not in keys]
+    sides = [t.select(*keys, F.struct(F.lit(turn).alias("turn"), *values).alias("v")) for turn, t in enumerate((old, new))]
+    last = sides[0].union(sides[1]).groupBy(*keys).agg(F.max("v").alias("v"))
+    return last.select(*[c if c in keys else F.col("v")[c].alias(c) for c in old.columns])
+
+
 def spread(records: DataFrame, metric: str, by: tuple[str, ...] = ("dataset", "method")) -> DataFrame:
     """Mean, half the range, number and population deviation; NaN doesn't count."""
     x = F.when(~F.isnan(metric), F.col(metric))

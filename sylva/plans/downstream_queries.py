@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import fixed, rounded, share, unit
+from ..functions.scalar import argmax, fixed, rounded, share, unit
 from ..operators import downstream as D
 from ..operators import learners, neighbours, search
 from ..operators.checkpoints import folder
-from ..operators.graph import GID, canonical
+from ..operators.graph import GID, canonical, without_loops
 from ..operators.kernels import trees as K
 from ..sources import export
 from ..sources import generators as S
@@ -297,24 +297,70 @@ def facet_matrix(spark, sf_dir):
     return found.select("row", "col", "n", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
 
 
-@query("latex_rows")
+@query("latex_rows", f"""WITH {REC}, m AS (SELECT dataset, method, avg(x) AS x FROM rec GROUP BY 1, 2), b AS (SELECT *, abs(x - min(x) OVER (PARTITION BY dataset)) < 1e-9 AS best, format('{{:.3f}}', x) AS cell FROM m)
+SELECT dataset, dataset || ' & ' || string_agg(CASE WHEN best THEN '\\textbf{{' || cell || '}}' ELSE cell END, ' & ' ORDER BY method) || ' \\\\' AS "row" FROM b GROUP BY dataset""")
 def latex_rows(spark, sf_dir):
     return benchmark.latex_rows(_records(spark, sf_dir), "x", lower=True)
 
 
+MEANS = f"{REC}, m AS (SELECT dataset, method, round(avg(x), 6) + 0.0 AS x, count(*) AS n FROM rec GROUP BY 1, 2)"
+
+
+def _means(spark, sf_dir):
+    return _records(spark, sf_dir).groupBy("dataset", "method").agg(rounded(F.avg("x")).alias("x"), F.count(F.lit(1)).alias("n"))
+
+
+@query("results_upsert", f"""WITH {MEANS}, air AS (SELECT l_returnflag AS dataset, substr(CAST(l_shipdate AS VARCHAR), 1, 4) AS method, round(avg(l_tax), 6) + 0.0 AS x, count(*) AS n FROM lineitem GROUP BY 1, 2),
+o AS (SELECT * FROM m WHERE method < '1997'), w AS (SELECT * FROM air WHERE method >= '1995')
+SELECT dataset, method, x, n FROM w UNION ALL SELECT dataset, method, x, n FROM o WHERE (dataset, method) NOT IN (SELECT (dataset, method) FROM w)""")
+def results_upsert(spark, sf_dir):
+    """A table of results up to 1996 with another's from 1995 on: two years are replaced, later ones come in."""
+    lines = T.table(spark, sf_dir, "lineitem")
+    year = F.substring(F.col("l_shipdate").cast("string"), 1, 4).alias("method")
+    other = lines.groupBy(F.col("l_returnflag").alias("dataset"), year).agg(rounded(F.avg("l_tax")).alias("x"), F.count(F.lit(1)).alias("n"))
+    return benchmark.upserted(_means(spark, sf_dir).where("method < '1997'"), other.where("method >= '1995'"), ["dataset", "method"])
+
+
+@query("set_operations", """WITH a AS (SELECT l_partkey AS key FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT l_partkey AS key FROM lineitem WHERE l_returnflag = 'R')
+SELECT 'intersect' AS op, key FROM (SELECT key FROM a INTERSECT SELECT key FROM b) UNION ALL SELECT 'union', key FROM (SELECT key FROM a UNION SELECT key FROM b)
+UNION ALL SELECT 'except', key FROM (SELECT key FROM a EXCEPT SELECT key FROM b)""")
+def set_operations(spark, sf_dir):
+    """Parts of lines with flag A against those with flag R."""
+    return D.set_operations(T.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("set"), F.col("l_partkey").alias("key")), "A", "R")
+
+
+@query("json_records", f"WITH {MEANS} SELECT dataset, method, x, n FROM m")
+def json_records(spark, sf_dir):
+    """Results written as JSON and read back."""
+    path = f"{folder(spark)}/records-{uuid.uuid4().hex}"
+    export.write_records(_means(spark, sf_dir), path)
+    return export.read_records(spark, path, "dataset string, method string, x double, n long")
+
+
+@query("loops_dropped", f"WITH {EV} SELECT src, dst, w FROM e1 WHERE src <> dst")
+def loops_dropped(spark, sf_dir):
+    return without_loops(T.event_transitions(spark, sf_dir)).select("src", "dst", "w")
+
+
+@query("largest_element", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS place FROM embeddings")
+def largest_element(spark, sf_dir):
+    return T.table(spark, sf_dir, "embeddings").select("vec_id", argmax(F.col("embedding")).cast("long").alias("place"))
+
+
 # --- streams ---
 
 
 @query("stream_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_counts(spark, sf_dir):
     """Hourly counts by a streaming query over the events table, read to its end."""
-    name = f"counts_{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/counts-{uuid.uuid4().hex}"
     schema = T.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     found = incremental.windowed_transitions(stream)
-    job = found.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    job = incremental.to_batches(found, f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+    counts = incremental.latest_of(spark, found, f"{path}/out", ["start", "event_type"])
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
 @query("stream_transitions", f"WITH {EV} SELECT src, dst, w FROM e1")

@@ -6,6 +6,7 @@ that order. Readers take any DataFrame of numbered lines, as ``numbered_lines``
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +68,13 @@ def write_records(records: DataFrame, path: str) -> None:
 
 def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """JSON records, or None if there is no such file."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
     reader = spark.read.option("multiLine", path.endswith(".json"))
-    return (reader.schema(schema) if schema else reader).json(path)
+    try:
+        return (reader.schema(schema) if schema else reader).json(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_gml(lines: DataFrame, name: str = "gml") -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalar import plogp
 from ..operators.graph import GID, canonical, incidence, labelled
@@ -51,6 +53,24 @@ class GrowingGraph:
         return own.join(terms, GID).select(GID, (F.log2("m2") - F.col("s") / F.col("m2")).alias("h1"), (F.col("t") - F.col("s") / F.col("m2")).alias("h2"))
 
 
+def to_batches(changes: DataFrame, path: str) -> DataStreamWriter:
+    """A sink for a streamed aggregation: each batch's changed rows as a part of one table; a batch that comes again replaces itself."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return changes.writeStream.outputMode("update").foreachBatch(write)
+
+
+def latest_of(spark: SparkSession, changes: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """The last row of each key that ``to_batches`` wrote."""
+    schema = StructType([*changes.schema.fields, StructField("batch", LongType())])
+    spark.createDataFrame([], changes.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")  # a stream without rows has no batch
+    values = [c for c in changes.columns if c not in keys]
+    last = spark.read.schema(schema).parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(*[c if c in keys else F.col("v")[c].alias(c) for c in changes.columns])
+
+
 def windowed_transitions(events: DataFrame, window: str = "1 hour", late: str = "10 minutes", time: str = "ts", state: str = "event_type") -> DataFrame:
     """Counts of states by time window with a watermark, for streams and tables alike."""
     events = events.withColumn(time, F.col(time).cast("timestamp"))
