@@ -53,3 +53,34 @@ def test_clusters_are_not_compared_with_each_other(spark):
     assert computed - within < 0.1 * (len(x) ** 2 - within)
     near = neighbours.nearest(vectors, 5, block=32)
     assert {(r.u, r.v, r.place) for r in near.collect()} == brute(range(len(x)), x.astype(float), 5)
+
+
+def test_a_ring_is_sent_once_to_a_group(spark):
+    """What is shuffled grows with the vectors times the groups, not with the pairs of rings."""
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    packed, centres = neighbours.rings(frame(spark, range(len(x)), x), "vec_id", "embedding", pivots=4, block=16)
+    rows, groups = neighbours.dealt(packed, centres, 5)
+    n, sent = packed.count(), rows.count()
+    assert n > 180 and groups == 2 * spark.sparkContext.defaultParallelism and n < sent <= n * (groups + 1)
+
+
+def test_within_the_values_of_a_column(spark):
+    rng = np.random.default_rng(4)
+    x = clustered(rng, 5, 60, 0.5)
+    part = rng.integers(0, 3, len(x))
+    x[20:40] = x[20]  # copies, some of another value
+    vectors = frame(spark, range(len(x)), x).join(spark.createDataFrame([(i, None if i == 7 else f"p{p}") for i, p in enumerate(part.tolist())], "vec_id long, part string"), "vec_id")
+    got = {(r.u, r.v, r.place) for r in neighbours.nearest(vectors, 3, pivots=4, block=16, within="part").collect()}
+    want = set()
+    for p in range(3):
+        ids = [i for i in range(len(x)) if part[i] == p and i != 7]
+        want |= brute(ids, x[ids].astype(float), 3)
+    assert got == want
+
+
+def test_added_edges_follow_the_nearest_of_a_label(spark, tmp_path):
+    """The query's plan has no join of all pairs of a label."""
+    from sylva.plans import downstream_queries
+
+    plan = downstream_queries.rewire_add(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "xu#" not in plan and "xv#" not in plan
