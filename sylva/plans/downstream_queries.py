@@ -58,13 +58,13 @@ def rewire_drop(spark, sf_dir):
 
 @query("rewire_add", f"WITH {RING}, {NEAR} SELECT DISTINCT least(u, v) AS src, greatest(u, v) AS dst FROM nn WHERE place <= 2 AND NOT EXISTS (SELECT 1 FROM e1 WHERE src = least(u, v) AND dst = greatest(u, v))")
 def rewire_add(spark, sf_dir):
-    return D.added_edges(_ring(spark, sf_dir), T.similar_pairs(T.table(spark, sf_dir, "embeddings"), "label")).select("src", "dst")
+    return D.added_edges(_ring(spark, sf_dir), T.nearest_pairs(T.table(spark, sf_dir, "embeddings"), "label", 2)).select("src", "dst")
 
 
 @query("rewired_edges")
 def rewired_edges(spark, sf_dir):
     edges = search.cut(_ring(spark, sf_dir))
-    pairs = T.similar_pairs(T.table(spark, sf_dir, "embeddings"), "label")
+    pairs = T.nearest_pairs(T.table(spark, sf_dir, "embeddings"), "label", 2)
     return D.rewired(edges, T.vector_labels(spark, sf_dir), pairs, _edge_similarity(spark, sf_dir, edges)).select("src", "dst", "w")
 
 
