@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import latest, table
+from .runtime import latest, table, tidied
 
 WINDOW = 13
 COVERAGE = 20
@@ -237,7 +237,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scan, f"doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return rows.mapInArrow(tidied(scan), f"doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -264,7 +264,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rem
             texts = [_without(t.encode(), spans).decode() if g else t for g, t, (_, spans, _) in zip(gone, batch.column(at).to_pylist(), found)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidied(clean), docs.schema)
 
 
 def judged(found: DataFrame) -> DataFrame:

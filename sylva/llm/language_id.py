@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rolling import Sums, byte_values, mixed
-from .runtime import table
+from .runtime import table, tidied
 
 SAMPLE_DOCS = 120
 SAMPLE_WORDS = 240
@@ -269,7 +269,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(label, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(tidied(label), f"{schema}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -282,7 +282,7 @@ def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             found = _judged(model, batch.column(at))
             yield batch.filter(pa.array([lang != UNKNOWN and score >= LEAST_SCORE for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidied(clean), docs.schema)
 
 
 def label_words(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -301,7 +301,7 @@ def label_words(docs: DataFrame, model: Model, text: str = "text", doc_id: str =
                 out.append([{"start": int(a), "end": int(b), "lang": model.langs[best[a]]} for a, b in zip(edge, edge[1:])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "runs"])
 
-    return rows.mapInArrow(label, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, runs array<struct<start:long,end:long,lang:string>>")
+    return rows.mapInArrow(tidied(label), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, runs array<struct<start:long,end:long,lang:string>>")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, table
+from .runtime import cut, table, tidied
 from .tokens import token_ids
 
 CAPACITY = 2048
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabula
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInArrow(encode, schema + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(tidied(encode), schema + (", ids array<int>" if with_ids else ""))
 
 
 def match_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -147,7 +147,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     found = cut(found)  # the sort's sampling pass would encode the texts once more
     by_size = found.repartitionByRange(F.col("length").desc(), "doc_id", "piece", "ids_crc32").sortWithinPartitions(F.col("length").desc(), "doc_id", "piece", "ids_crc32")
-    rows = cut(by_size.mapInArrow(ranked, f"{schema}, part int, place long"))
+    rows = cut(by_size.mapInArrow(tidied(ranked), f"{schema}, part int, place long"))
     counts = rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
@@ -168,7 +168,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     with_rank = rows.join(offsets, ["length", "part"]).select(*found.columns, (F.col("earlier") + F.col("place")).alias("rank"))
-    return with_rank.mapInArrow(placed, f"{schema}, sequence_id long, offset long")
+    return with_rank.mapInArrow(tidied(placed), f"{schema}, sequence_id long, offset long")
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:

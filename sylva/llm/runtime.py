@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,28 @@ def latest(slot: str, key, make: Callable):
     return store[slot][1]
 
 
+def tidied(scan: Callable) -> Callable:
+    """``scan``, a function for mapInArrow, for worker processes that go on to other stages.
+
+    Values of ``latest`` made in another stage, as a tokenizer's tables, are dropped before it; memory that is free is given back to the system after it.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        stage, store = TaskContext.get().stageId(), sys.__dict__.setdefault("_sylva_latest", {})
+        if sys.__dict__.get("_sylva_stage") != stage:
+            store.clear()
+            sys.__dict__["_sylva_stage"] = stage
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None  # not in every C library
+            if trim:
+                trim(0)
+
+    return run
+
+
 def sha256_text(column: Column) -> Column:
     """Lowercase hex SHA-256 of a string column's UTF-8 bytes."""
     return F.sha2(column.cast("binary"), 256)

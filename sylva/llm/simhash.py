@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import cut, staying, table, text_hash
+from .runtime import cut, staying, table, text_hash, tidied
 
 SHINGLE = 3
 SEED = 42
@@ -86,7 +86,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, text_hash, fp) of every row; fp is the fingerprint as a signed long."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(tidied(_fingerprints), "doc_id long, text_hash long, fp long")
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -228,7 +228,7 @@ def links(fps: DataFrame) -> DataFrame:
         large = cut(sizes.where(F.col("count") > NODE_MAX).select("mask", "value"))
         split = not large.isEmpty()
         shared = rows.join(large, ["mask", "value"], "left_anti") if split else rows
-        found.append(shared.repartition("mask", "value").mapInArrow(_join_nodes, "u long, v long"))
+        found.append(shared.repartition("mask", "value").mapInArrow(tidied(_join_nodes), "u long, v long"))
         if not split:
             break
         deeper = spark.createDataFrame([(_signed(m), _signed(c)) for m in masks for c in _child_masks(m)], "mask long, child long")

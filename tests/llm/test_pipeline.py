@@ -41,3 +41,24 @@ def test_stages_against_brute_force(spark, folder):
 def test_contract():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "packing"]
     assert all((exact_dedup, simhash, decontaminate, language_id))
+
+
+def test_workers_drop_what_another_stage_made(spark):
+    """A tokenizer's tables, kept by worker processes, would stay beside the next stages' memory."""
+    import sys
+
+    import pyarrow as pa
+
+    from sylva.llm.runtime import latest, tidied
+
+    def make(batches):
+        latest("table", 1, lambda: [0] * 100)
+        yield from batches
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(sys.__dict__.get("_sylva_latest", {}))] * batch.num_rows, pa.int64())], names=["id"])
+
+    rows = spark.range(64, numPartitions=8)
+    assert rows.mapInArrow(make, "id long").count() == 64
+    assert {r.id for r in rows.mapInArrow(tidied(held), "id long").collect()} == {0}
