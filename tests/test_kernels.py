@@ -151,3 +151,16 @@ def test_matching_against_enumeration():
         gain = rng.integers(0, 20, rng.integers(1, 6, 2))
         wide = gain if gain.shape[0] <= gain.shape[1] else gain.T
         assert best_matching(gain) == max(sum(wide[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(wide.shape[1]), wide.shape[0]))
+
+
+def test_spectral_without_the_whole_matrix(monkeypatch):
+    """Vectors from the edges span what those of the whole matrix span, equal eigenvalues of equal components too."""
+    rng = np.random.default_rng(5)
+    part = [(a, b, float(rng.integers(1, 4))) for a in range(80) for b in range(a, 80) if rng.random() < (0.3 if a // 20 == b // 20 else 0.02)]
+    net = P.Net(320, [(a + 80 * i, b + 80 * i, w) for i in range(4) for a, b, w in part])
+    want, got = P._dense_vectors(net, 16), P._leading_vectors(net, 16)
+    assert np.abs(want @ want.T - got @ got.T).max() < 1e-6
+    labels = P.spectral(net, 16)
+    monkeypatch.setattr(P, "DENSE", 0)
+    monkeypatch.setattr(P, "_dense_vectors", None)
+    assert P.spectral(net, 16) == labels
