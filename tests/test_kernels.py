@@ -164,3 +164,13 @@ def test_spectral_without_the_whole_matrix(monkeypatch):
     monkeypatch.setattr(P, "DENSE", 0)
     monkeypatch.setattr(P, "_dense_vectors", None)
     assert P.spectral(net, 16) == labels
+
+
+def test_sparse_products_by_blocks(monkeypatch):
+    """A product held the elements of all rows at once; blocks give the same to the last bit."""
+    net, x = random_net(3, n=60, loops=True), np.random.default_rng(1).random((60, 5))
+    whole = soft.Sparse(net, 1.0)
+    monkeypatch.setattr(soft, "BLOCK", 7)
+    parts = soft.Sparse(net, 1.0)
+    assert len(parts.blocks) > 10 and (whole @ x == parts @ x).all()
+    assert np.allclose(parts @ x, (soft.dense(net) + np.eye(60)) @ x)
