@@ -270,3 +270,15 @@ def test_views(spark):
     found = downstream.drop_probabilities(edges, labels)
     once, again = (sorted(map(tuple, downstream.view(found, 3).collect())) for _ in range(2))
     assert once == again and 0 < len(once) < 78
+
+
+@pytest.mark.parametrize("name, runs", [("infomap", 10), ("se_louvain", 8), ("se_gnn", 3), ("se_hier", 4)])
+def test_runs_of_a_method_are_tasks_of_their_own(spark, monkeypatch, name, runs):
+    """All runs were one task's; now each is one, with the same labels."""
+    edges, _ = S.karate(spark)
+    method, started, keep = registry.get(name), [], search.multistart
+    monkeypatch.setattr(search, "multistart", lambda e, fn, v=None, seed=0, starts=8: (started.append(starts), keep(e, fn, v, seed, starts))[1])
+    k = 4 if name == "se_gnn" else None
+    mine = {r.id: r.c for r in method.fit_predict(edges, k=k).collect()}
+    assert started == [runs]
+    assert mine == {r.id: r.c for r in search.per_graph(edges, lambda net, s: method.fn(net, k, s)).collect()}
