@@ -105,7 +105,8 @@ def winnow(sequences: Bytes | Words, size: int, gram: int) -> dict[str, np.ndarr
         return {"anchor": none.view(np.uint64), "text": none, "begin": none, "windows": none, "offset": none}
     head, place, anchor = _least(sequences.sums, gram, size - gram + 1)
     # Runs of windows with one anchor, cut where a text's windows begin and end.
-    begin = np.union1d(head, np.concatenate((start[long], end[long] - size + 1)))
+    begin = np.sort(np.concatenate((head, start[long], end[long] - size + 1)))
+    begin = begin[np.concatenate(([True], begin[1:] != begin[:-1]))]
     which = np.searchsorted(head, begin, side="right") - 1
     text = np.searchsorted(end, begin, side="right")
     inside = begin + size <= np.append(end, 0)[text]

@@ -53,9 +53,10 @@ from .substring_dedup import chains, merged
 
 SIZE = 100
 GRAM = 24
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 17  # so that an index's arrays stay in a core's cache
 SHARD_BLOCKS = 4096
-PACK = 7  # symbols of nine bits in one 64-bit value
+PACK = 16  # symbols that are sorted by at first, at most
+WORD = 8  # bytes that are compared at once
 
 
 class RunIndex:
@@ -65,50 +66,48 @@ class RunIndex:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.ends = np.cumsum(sizes + 1) - 1  # places of separators
         self.starts = self.ends - sizes
-        symbols = np.frombuffer(b"\0".join(texts) + b"\0" * (PACK + 1), np.uint8).astype(np.int64) + 1
+        data = np.frombuffer(b"\0".join(texts) + b"\0" * WORD, np.uint8)
         n = self.length = int(self.ends[-1]) + 1 if len(texts) else 0
+        symbols = data[:n].astype(np.uint16) + np.uint16(1)
         symbols[self.ends] = 0
-        symbols[n:] = 0
-        packs = np.zeros(n, np.int64)
-        alive = np.ones(n, bool)
-        for j in range(PACK):  # nothing counts beyond a separator
-            here = symbols[j : j + n]
-            packs = packs << 9 | np.where(alive, here, 0)
-            alive &= here != 0
-        suffixes = self._sort(packs, int(sizes.max(initial=0)))
-        self._sample(suffixes, np.concatenate((symbols[n - 1 : n], symbols[: max(n - 1, 0)]))[suffixes], packs)
-
-    def _sort(self, packs: np.ndarray, longest: int) -> np.ndarray:
+        left = np.repeat(self.ends, sizes + 1) - np.arange(n)  # how many symbols there are up to the separator
+        suffixes = self._sort(symbols, left)
+        self._sample(suffixes, np.concatenate((symbols[n - 1 :], symbols[: max(n - 1, 0)]))[suffixes], data, left)
+
+    def _sort(self, symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
         """The suffix array, by doubling; separators count as different, in order."""
-        n, reach = self.length, PACK
-        end = np.repeat(self.ends, self.ends - self.starts + 1)
-        key = packs
+        n = self.length
+        used = np.bincount(symbols, minlength=257) > 0
+        codes = (np.cumsum(used) - used[0]).astype(np.int64)  # from 1, in order; 0 for separators
+        codes[0] = 0
+        base, room = int(codes[-1]) + 1, (1 << 63 - n.bit_length()) - 1
+        here, key, reach, most = codes[symbols], np.zeros(n, np.int64), 0, 1
+        while most * base <= room and reach < PACK:  # nothing counts beyond a separator
+            key *= base
+            key[: n - reach] += np.where(left[: n - reach] >= reach, here[reach:], 0)
+            reach, most = reach + 1, most * base
         while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1]))) if n else order
-            if reach > longest or n and rank[order[-1]] == n - 1:
-                break
-            at = np.arange(n) + reach
-            inside = at <= end
-            ahead = np.zeros(n, np.int64)
-            ahead[inside] = rank[at[inside]] + 1
-            key = rank * (n + 1) + ahead
+            order, ordered = _ordered(key)
+            new = np.cumsum(ordered[1:] != ordered[:-1])
+            if reach > left.max(initial=0) or n and (new[-1] if n > 1 else 0) == n - 1:
+                return order
+            rank = np.zeros(n, np.int64)
+            rank[order[1:]] = new
+            key = rank * (n + 1)
+            key[: n - reach] += np.where(left[: n - reach] >= reach, rank[reach:] + 1, 0)
             reach *= 2
-        return np.argsort(rank * n + np.arange(n)) if n else rank
 
-    def _sample(self, suffixes: np.ndarray, transform: np.ndarray, packs: np.ndarray) -> None:
+    def _sample(self, suffixes: np.ndarray, transform: np.ndarray, data: np.ndarray, left: np.ndarray) -> None:
         """Keep the transform's runs, and what is known at the head of each, in text order."""
         head = np.flatnonzero(np.concatenate(([True], (transform[1:] != transform[:-1]) | (transform[1:] == 0)))) if len(transform) else transform
-        self.symbols, self.sizes = transform[head].astype(np.uint16), np.diff(np.append(head, len(transform)))
+        self.symbols, self.sizes = transform[head], np.diff(np.append(head, len(transform)))
         place = suffixes[head]
         neighbour = np.where(head > 0, suffixes[head - 1], -1) if len(head) else place
         common = np.zeros(len(head), np.int64)
         some = np.flatnonzero(neighbour >= 0)
-        common[some] = _common(packs, place[some], neighbour[some])
-        order = np.argsort(place)
-        self.places, self.neighbours, self.common = place[order], neighbour[order], common[order]
+        common[some] = _common(data, place[some], neighbour[some], np.minimum(left[place[some]], left[neighbour[some]]))
+        order, self.places = _ordered(place)
+        self.neighbours, self.common = neighbour[order], common[order]
 
     def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each place of the text the place before it in suffix order, and the length the two have in common."""
@@ -145,22 +144,27 @@ class RunIndex:
         return np.sort(place[place != first])
 
 
-def _common(packs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common beginnings of the suffixes at ``a`` and ``b``."""
+def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of values from 0 in order of value, then place, and the values in that order."""
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)) >> 63 - bits:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = key << bits | np.arange(len(key))  # values sort several times as fast as places by value
+    both.sort()
+    return both & (1 << bits) - 1, both >> bits
+
+
+def _common(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many bytes are equal from ``a`` and ``b`` on, up to ``most``; ``WORD`` bytes follow the last."""
+    words = np.lib.stride_tricks.as_strided(data[:WORD].view("<u8"), (len(data) - WORD + 1,), (1,))
     out = np.zeros(len(a), np.int64)
-    active = np.arange(len(a))
+    active = np.flatnonzero(most > 0)
     while len(active):
-        x, y = packs[a[active] + out[active]], packs[b[active] + out[active]]
-        on = (x == y) & (x & 511 != 0)
-        done, x, y = active[~on], x[~on], y[~on]
-        same = np.ones(len(done), bool)
-        for j in range(PACK - 1, -1, -1):
-            u, v = x >> 9 * j & 511, y >> 9 * j & 511
-            same &= (u == v) & (u != 0)
-            out[done] += same
-        active = active[on]
-        out[active] += PACK
-    return out
+        differ = words[a[active] + out[active]] ^ words[b[active] + out[active]]
+        out[active] += np.bitwise_count((differ & -differ) - np.uint64(1)) >> 3  # bytes below the lowest bit that differs
+        active = active[(differ == 0) & (out[active] < most[active])]
+    return np.minimum(out, most)
 
 
 def _block_keys(anchor: np.ndarray, did: np.ndarray, th: np.ndarray, place: np.ndarray) -> np.ndarray:

@@ -121,3 +121,16 @@ def test_index():
                         want.append(i)
                     seen.add(s)
             assert index.repeated(size).tolist() == want
+
+
+def test_places_by_value_packed_and_not():
+    rng = np.random.default_rng(4)
+    for key in (rng.integers(0, 50, 1000), rng.integers(0, 1 << 62, 1000), rng.integers(0, 3, 1000) << 61, np.zeros(0, np.int64)):
+        order, ordered = module._ordered(key)
+        want = sorted(range(len(key)), key=lambda i: (key[i], i))
+        assert order.tolist() == want and ordered.tolist() == key[want].tolist()
+
+
+def test_an_index_fits_a_cache():
+    """Arrays of eight bytes a place stay within some 2 MB."""
+    assert module.SHARD_BYTES * 8 <= 2 << 20
