@@ -29,16 +29,16 @@ def degree_pi(edges: DataFrame) -> DataFrame:
 def ppr_step(pi: DataFrame, trans: DataFrame, query: DataFrame, alpha: float) -> DataFrame:
     """One power iteration: alpha at the query vertices, the rest along the walk."""
     moved = trans.join(pi.select(GID, F.col("id").alias("src"), F.col("p").alias("at")), [GID, "src"])
-    moved = moved.groupBy(GID, F.col("dst").alias("id")).agg(((1 - alpha) * F.sum(F.col("at") * F.col("p"))).alias("p"))
+    moved = moved.select(GID, F.col("dst").alias("id"), ((1 - alpha) * F.col("at") * F.col("p")).alias("p"))
     return moved.union(query.select(GID, "id", (alpha * F.col("q")).alias("p"))).groupBy(GID, "id").agg(F.sum("p").alias("p"))
 
 
 def ppr(edges: DataFrame, query: DataFrame, alpha: float = 0.15, iters: int = 200, tol: float = 1e-12, every: int = 5) -> DataFrame:
     """Personalised PageRank of ``query(graph_id, id, q)``; stops when the largest change in L1 is below ``tol``.
 
-    Written to the checkpoint folder, and tested, after every ``every`` steps.
+    Written to the checkpoint folder, and tested, after every ``every`` steps. The walk's transitions are stored, not made anew in each.
     """
-    trans = transitions(edges)
+    trans = cut(transitions(edges))
     pi = query.select(GID, "id", F.col("q").alias("p"))
     before = pi
     for i in range(1, iters + 1):
