@@ -370,9 +370,10 @@ def stream_transitions(spark, sf_dir):
     path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     bounds = events.select(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75]).alias("q")).first()["q"] or []
     part = sum((F.coalesce((F.unix_micros("ts") > q).cast("int"), F.lit(0)) for q in bounds), F.lit(0))
-    for k in range(len(bounds) + 1):  # files are read in the order in which they are written
-        events.where(part == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for k in range(len(bounds) + 1):  # files are read in the order in which they are written, and an actor's are one of each part
+        events.where(part == k).repartition(width, "user_id").write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", width).parquet(f"{path}/in")
     found = incremental.stateful_steps(stream)
     schema = found.schema
     job = found.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,7 +95,12 @@ def stateful_steps(events: DataFrame, actor: str = "user_id", state: str = "even
     """
 
     def steps(_: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = pd.concat(list(chunks)).sort_values(list(order))[state].tolist()
+        rows = list(chunks)
+        rows = rows[0] if len(rows) == 1 else pd.concat(rows)
+        keys = [rows[c].to_numpy() for c in reversed(order)]
+        # An actor has few rows, for which a sort of the frame takes longest of all; objects may be null, which only that one sorts.
+        some = rows[state].to_numpy()[np.lexsort(keys)] if all(k.dtype != object for k in keys) else rows.sort_values(list(order))[state]
+        now = some.tolist()
         if held.exists:
             now = [held.get[0], *now]
         held.update((now[-1],))
