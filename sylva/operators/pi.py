@@ -148,9 +148,9 @@ def pi_search(pi: DataFrame, trans: DataFrame, labels: DataFrame, tolerance: flo
 
     pi, trans, labels = stored(pi), stored(trans), stored(labels)
 
-    def best(_, now, __):
+    def best(_, now, __, of):
         key = F.struct(F.round("delta", 9).alias("delta"), "a", "b")
-        moves = pi_moves(pi, trans, now).where("delta < -1e-9")
+        moves = pi_moves(pi, trans, now).where(of & (F.col("delta") < -1e-9))
         return moves.groupBy(GID, "id").agg(F.min(key).alias("m")).select(GID, "id", "m.a", "m.b", "m.delta")
 
     value = lambda _, now, __: pi_entropy(pi, trans, now).withColumnRenamed("h_pi", "h2")
