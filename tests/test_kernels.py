@@ -174,3 +174,11 @@ def test_sparse_products_by_blocks(monkeypatch):
     parts = soft.Sparse(net, 1.0)
     assert len(parts.blocks) > 10 and (whole @ x == parts @ x).all()
     assert np.allclose(parts @ x, (soft.dense(net) + np.eye(60)) @ x)
+
+
+def test_fixed_k_has_its_spectral_start_at_any_size(monkeypatch):
+    """Over 3,000 vertices the first start was a random one, whatever was asked for."""
+    net, seen = P.Net(3001, [(i, i + 1, 1.0) for i in range(3000)]), []
+    monkeypatch.setattr(P, "spectral", lambda net, k, seed=0: (seen.append(net.n), [i * k // net.n for i in range(net.n)])[1])
+    assert P.fixed_k(net, 3, starts=1) == [i * 3 // 3001 for i in range(3001)]
+    assert seen == [3001]
