@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, xlog
 from .checkpoints import cut, stored
-from .graph import GID, degrees, few, volume
+from .graph import GID, MOST_GRAPHS, degrees, few, volume
 
 
 def transitions(edges: DataFrame) -> DataFrame:
@@ -53,6 +53,36 @@ def ppr(edges: DataFrame, query: DataFrame, alpha: float = 0.15, iters: int = 20
     return pi
 
 
+def stationary(edges: DataFrame, query: DataFrame, alpha: float = 0.15, iters: int = 200, tol: float = 1e-12) -> DataFrame:
+    """What ``ppr`` comes to, for vertices that mass reaches: steps end when one more of the walk's would change less than ``tol`` in L1.
+
+    Solves p = alpha q + (1 - alpha) p P by conjugate gradients: P is symmetric where a vertex counts by one over its weight. On a two-sided graph
+    the walk itself loses only a share of alpha of its error in a step, and takes some 170 of them. A step joins the transitions once, as the walk's does.
+    """
+    trans = cut(transitions(edges))
+    both = edges.select(GID, "src", "w").union(edges.where("src <> dst").select(GID, F.col("dst").alias("src"), "w"))
+    weight = both.groupBy(GID, F.col("src").alias("id")).agg(F.sum("w").alias("t"))
+    d, zero = F.when(F.col("t") != 0, F.col("t")).otherwise(1.0), F.lit(0.0)
+    state = weight.join(query.select(GID, "id", "q"), [GID, "id"], "full").select(GID, "id", d.alias("d"), zero.alias("p"), (alpha * F.coalesce("q", zero)).alias("r"))
+    state = stored(state.withColumn("z", F.col("r")))
+    size = lambda rows: stored(rows.groupBy(GID).agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rr"), F.sum(F.abs("r")).alias("left")))
+    now = size(state)
+    for _ in range(iters):
+        most = now.agg(F.max("left").alias("left"), F.count(F.lit(1)).alias("graphs")).first()
+        if not most["graphs"] or most["left"] < tol:
+            break
+        small = F.broadcast if most["graphs"] <= MOST_GRAPHS else lambda x: x
+        moved = trans.join(state.where("z <> 0").select(GID, F.col("id").alias("src"), "z"), [GID, "src"])
+        moved = moved.groupBy(GID, F.col("dst").alias("id")).agg(F.sum(F.col("z") * F.col("p")).alias("come"))
+        rows = stored(state.join(moved, [GID, "id"], "left").select(*state.columns, (F.col("z") - (1 - alpha) * F.coalesce("come", zero)).alias("b")))
+        along = rows.groupBy(GID).agg(F.sum(F.col("z") * F.col("b") / F.col("d")).alias("zb"))
+        step = small(along.join(small(now), GID).select(GID, ratio(F.col("rr"), F.col("zb")).alias("step"), F.col("rr").alias("old")))
+        rows = rows.join(step, GID).select(GID, "id", "d", (F.col("p") + F.col("step") * F.col("z")).alias("p"), (F.col("r") - F.col("step") * F.col("b")).alias("r"), "z", "old")
+        now = size(rows)
+        state = rows.join(small(now.select(GID, "rr")), GID).select(GID, "id", "d", "p", "r", (F.col("r") + ratio(F.col("rr"), F.col("old")) * F.col("z")).alias("z"))
+    return state.where("p > 0").select(GID, "id", "p")
+
+
 def pi_entropy(pi: DataFrame, trans: DataFrame, labels: DataFrame) -> DataFrame:
     """(graph_id, h_pi): entropy of a partition under ``pi``; modules without volume don't count."""
     own = labels.join(pi, [GID, "id"])

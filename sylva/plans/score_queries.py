@@ -207,6 +207,12 @@ def _unrolled(rounds: int, alpha: float) -> str:
     return ", ".join(parts)
 
 
+def _settled(alpha: float, iters: int = 200) -> str:
+    """``px``: the walk with restarts after as many steps as the operator takes at most, when it no longer changes."""
+    return f"""q AS (SELECT min(src) AS q FROM e1), step AS (SELECT src, dst, {1 - alpha} * p AS p FROM tr UNION ALL SELECT src, q, CAST({alpha} AS DOUBLE) FROM rs, q),
+walk AS (SELECT 0 AS i, q AS id, CAST(1 AS DOUBLE) AS p FROM q UNION ALL SELECT i + 1, dst, sum(walk.p * step.p) FROM walk JOIN step ON step.src = walk.id WHERE i < {iters} GROUP BY i, dst), px AS (SELECT id, p FROM walk WHERE i = {iters})"""
+
+
 def _query_vertex(edges):
     return edges.groupBy(GID).agg(F.min("src").alias("id")).select(GID, "id", F.lit(1.0).alias("q"))
 
@@ -265,13 +271,13 @@ def h_pi(spark, sf_dir):
     return pi.pi_entropy(pi.degree_pi(edges), pi.transitions(edges), labels).select(rounded(F.col("h_pi")).alias("h_pi"))
 
 
-@query("h_pi_ppr", f"""WITH {CS}, {NATIONS}, {TRANS}, {_unrolled(5, 0.15)}, x AS (SELECT c, sum(p) AS vol, sum(p * log2(p)) AS s, sum(CASE WHEN id = (SELECT id FROM p0) THEN 1.0 ELSE 0.0 END) AS qx FROM lab JOIN p5 USING (id) WHERE p > 0 GROUP BY c),
-o AS (SELECT a.c, sum(p5.p * tr.p) AS flow FROM tr JOIN lab a ON a.id = tr.src JOIN lab b ON b.id = tr.dst JOIN p5 ON p5.id = tr.src WHERE a.c <> b.c GROUP BY a.c),
+@query("h_pi_ppr", f"""WITH RECURSIVE {CS}, {NATIONS}, {TRANS}, {_settled(0.15)}, x AS (SELECT c, sum(p) AS vol, sum(p * log2(p)) AS s, sum(CASE WHEN id = (SELECT q FROM q) THEN 1.0 ELSE 0.0 END) AS qx FROM lab JOIN px USING (id) WHERE p > 0 GROUP BY c),
+o AS (SELECT a.c, sum(px.p * tr.p) AS flow FROM tr JOIN lab a ON a.id = tr.src JOIN lab b ON b.id = tr.dst JOIN px ON px.id = tr.src WHERE a.c <> b.c GROUP BY a.c),
 y AS (SELECT vol, s, 0.85 * coalesce(flow, 0) + 0.15 * vol * (1 - qx) AS phi FROM x LEFT JOIN o USING (c)) SELECT {r6(H_PI)} AS h_pi FROM y""")
 def h_pi_ppr(spark, sf_dir):
     edges, labels = _cs(spark, sf_dir)
     query_vertex = _query_vertex(edges)
-    p = pi.ppr(edges, query_vertex, iters=5, tol=0.0)
+    p = pi.stationary(edges, query_vertex)
     return pi.ppr_pi_entropy(p, edges, labels, query_vertex).select(rounded(F.col("h_pi")).alias("h_pi"))
 
 

@@ -8,7 +8,7 @@ from sylva.operators import downstream, graph, moves, pi, ranking, scores, searc
 from sylva.operators.graph import GID
 from sylva.operators.kernels import partition as P
 from sylva.operators.kernels import pi as Q
-from sylva.plans import benchmark, facade, registry
+from sylva.plans import benchmark, facade, registry, score_queries
 from sylva.sources import export
 from sylva.sources import generators as S
 from sylva.streaming import incremental
@@ -112,6 +112,25 @@ def test_ppr_equals_kernel(spark):
     assert whole == pytest.approx(Q.entropy(truth, Q.ppr(net, 0), Q.ppr_transition(net, 0)), abs=1e-6)
 
 
+def test_stationary_distribution_of_the_walk(spark, monkeypatch):
+    """``h_pi_ppr`` took five steps of the walk, by which it hasn't settled; a two-sided graph takes some 170."""
+    two = [(a, 6 + b, 1.0) for a in range(6) for b in range(3) if a or b]
+    nets = {"two": P.Net(9, two), "loops": P.Net(5, [(0, 0, 2.0), (0, 1, 1.0), (1, 2, 3.0), (3, 4, 1.0)])}
+    edges = spark.createDataFrame([(g, u, v, w) for g, net in nets.items() for u, v, w in net.edges()], S.EDGES)
+    start = spark.createDataFrame([("two", 0, 1.0), ("loops", 1, 1.0), ("loops", 9, 0.0)], f"{GID} string, id long, q double")
+    got = {(r[GID], r.id): r.p for r in pi.stationary(edges, start).collect()}
+    for g, net in nets.items():
+        want = Q.ppr(net, {"two": 0, "loops": 1}[g])
+        assert [got.get((g, u), 0.0) for u in range(net.n)] == pytest.approx(want.tolist(), abs=1e-11)
+    alone = spark.createDataFrame([("none", 7, 1.0)], f"{GID} string, id long, q double")
+    assert [r.p for r in pi.stationary(edges.limit(0), alone).collect()] == pytest.approx([0.15])
+
+    labels = [u % 2 for u in range(9)]
+    of = spark.createDataFrame([("two", u, c) for u, c in enumerate(labels)], f"{GID} string, id long, c long")
+    monkeypatch.setattr(score_queries, "_cs", lambda *_: (edges.where("graph_id = 'two'"), of))
+    assert score_queries.h_pi_ppr(spark, "").first().h_pi == pytest.approx(Q.entropy(labels, Q.ppr(nets["two"], 0), Q.ppr_transition(nets["two"], 0)), abs=1e-6)
+
+
 def test_edgeless_graph_and_isolated_vertices(spark):
     edges = spark.createDataFrame([], S.EDGES)
     labels = spark.createDataFrame([("g", 1, 1), ("g", 2, 1)], f"{GID} string, id long, c long")
